@@ -19,6 +19,8 @@ EVENT_NAMES = {
     "purchase": "purchase",
     "error": "page_view",
 }
+# A type's events from this k on get another name. add_payment_info never occurs.
+RENAMED = {"signup": (80, "add_shipping_info"), "error": (50, "session_start")}
 CATEGORIES = ("Desktop", "mobile", "Tablet")
 MEDIUMS = ("(none)", "organic", "referral", "cpc", "<Other>", "(data deleted)", "(not set)")
 SOURCES = (
@@ -162,9 +164,13 @@ def raw_export(spark: SparkSession, folder: str, with_items: bool = False) -> Da
     return full.select(
         F.date_format("ts", "yyyyMMdd").alias("event_date"),
         us.alias("event_timestamp"),
-        F.coalesce(*[F.when(F.col("event_type") == a, b) for a, b in EVENT_NAMES.items()]).alias(
-            "event_name"
-        ),
+        F.coalesce(
+            *[
+                F.when((F.col("event_type") == a) & (k >= least), b)
+                for a, (least, b) in RENAMED.items()
+            ],
+            *[F.when(F.col("event_type") == a, b) for a, b in EVENT_NAMES.items()],
+        ).alias("event_name"),
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_pseudo_id"),
         F.when(k % 50 != 0, us - k * F.lit(1_000_000).cast("bigint")).alias(
             "user_first_touch_timestamp"

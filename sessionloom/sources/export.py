@@ -47,14 +47,19 @@ def read_export(
 
 
 def read_sharded_export(
-    spark: SparkSession, root: str, start: str, end: str, fmt: str = "parquet"
+    spark: SparkSession,
+    root: str,
+    start: str,
+    end: str,
+    fmt: str = "parquet",
+    prefix: str = "events_",
 ) -> DataFrame:
     """The same for one folder per day, ``root/events_D``. Days without a folder are skipped."""
     first, last = (datetime.strptime(d, "%Y%m%d") for d in (start, end))
     days = [
         f"{first + timedelta(days=n):%Y%m%d}" for n in range((last - first).days + 1)
     ]
-    return spark.read.format(fmt).schema(EXPORT_SCHEMA).load(f"{root}/events_{{{','.join(days)}}}")
+    return spark.read.format(fmt).schema(EXPORT_SCHEMA).load(f"{root}/{prefix}{{{','.join(days)}}}")
 
 
 def write_export(raw: DataFrame, root: str) -> None:
