@@ -18,14 +18,17 @@ def event_param(key: str, value_type: str = "string", params: str = "event_param
     """The value stored under ``key``, read from one field of the value struct.
 
     NULL when the key is absent or its value sits in another field; the query fails when an
-    event repeats the key. A higher-order function in the projection: rows do not multiply.
+    event repeats the key. Plain array functions in the projection: rows do not multiply, the
+    lookup stays in generated code, and a scan reads only the value fields asked for.
     """
     if value_type not in VALUE_FIELDS:
         raise ValueError(
             f"value_type must be one of {', '.join(VALUE_FIELDS)}; got {value_type!r}"
         )
-    matches = F.filter(params, lambda entry: entry["key"] == key)
-    value = F.get(matches, F.lit(0))["value"][VALUE_FIELDS[value_type]]
+    keys = F.col(f"{params}.key")
+    at = F.array_position(keys, key).cast("int") - 1
+    value = F.get(f"{params}", at)["value"][VALUE_FIELDS[value_type]]
+    hits = F.size(keys) - F.size(F.array_remove(keys, key))
     return F.when(
-        F.size(matches) > 1, F.raise_error(F.lit(f"event carries the key {key} more than once"))
+        hits > 1, F.raise_error(F.lit(f"event carries the key {key} more than once"))
     ).otherwise(value)

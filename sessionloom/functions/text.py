@@ -16,17 +16,28 @@ MISSING_ITEM_TEXTS = ("", "not available in demo dataset")
 BRACKETED = r"^[(<]([^\n]*)[)>]\z"
 
 
-def clean_string(column: Column | str) -> Column:
-    """Lower-case; missing-value texts become NULL, '(none)' becomes 'direct', outer brackets go."""
-    low = F.lower(F.col(column) if isinstance(column, str) else column)
+def clean_lowered(low: Column) -> Column:
+    """clean_string for text that is lower-case already. Uses ``low`` several times: pass a column."""
+    # Few values open with a bracket; only those pay for the pattern.
     return (
-        F.when(low.isin(*MISSING_TEXTS), F.lit(None).cast("string"))
+        F.when(~(low.startswith("(") | low.startswith("<")), low)
+        .when(low.isin(*MISSING_TEXTS), F.lit(None).cast("string"))
         .when(low == NO_MEDIUM_TEXT, F.lit(NO_MEDIUM_LABEL))
         .otherwise(F.regexp_replace(low, BRACKETED, "$1"))
     )
 
 
+def clean_string(column: Column | str) -> Column:
+    """Lower-case; missing-value texts become NULL, '(none)' becomes 'direct', outer brackets go."""
+    return clean_lowered(F.lower(F.col(column) if isinstance(column, str) else column))
+
+
+def clean_item_lowered(low: Column) -> Column:
+    """clean_item_string for text that is lower-case already."""
+    cleaned = clean_lowered(low)
+    return F.when(~cleaned.isin(*MISSING_ITEM_TEXTS), cleaned)
+
+
 def clean_item_string(column: Column | str) -> Column:
     """As clean_string; the further texts that item fields use for 'no value' become NULL too."""
-    cleaned = clean_string(column)
-    return F.when(~cleaned.isin(*MISSING_ITEM_TEXTS), cleaned)
+    return clean_item_lowered(F.lower(F.col(column) if isinstance(column, str) else column))

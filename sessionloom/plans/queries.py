@@ -51,6 +51,7 @@ from sessionloom.operators.snapshot import SnapshotStore, attribution_dimension
 from sessionloom.operators.staging import TEXT_FIELDS, stage_events
 from sessionloom.plans import dashboard, reports
 from sessionloom.plans.build import build
+from sessionloom.session import configure
 from sessionloom.sources.adapter import raw_export, table
 from sessionloom.sources.export import read_export, read_sharded_export, write_export
 from sessionloom.sources.tables import export_report, overwrite_partitions, work_folder
@@ -92,7 +93,7 @@ def portable(df: DataFrame) -> DataFrame:
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = lambda spark, folder: portable(f(spark, folder))
+    QUERIES[f.__name__] = lambda spark, folder: portable(f(configure(spark), folder))
     return f
 
 
@@ -104,14 +105,16 @@ def staged(spark, folder, with_items=False) -> DataFrame:
 
 
 def sessions_of(spark, folder, gap=1800) -> DataFrame:
-    return session_facts(session_rollup(sessionise(staged(spark, folder), gap)))
+    return rolled(staged(spark, folder), gap)
+
+
+def rolled(events, gap=1800) -> DataFrame:
+    return session_facts(session_rollup(sessionise(events, gap)))
 
 
 def funnel_of(spark, folder, gap=1800) -> DataFrame:
     events = staged(spark, folder)
-    return reports.funnel_report(
-        sessions_of(spark, folder, gap), devices(events), traffic_sources(events)
-    )
+    return reports.funnel_report(rolled(events, gap), devices(events), traffic_sources(events))
 
 
 def items_of(spark, folder, gap=1800) -> DataFrame:
@@ -122,8 +125,7 @@ def products_of(spark, folder, gap=DAY) -> DataFrame:
     return reports.product_report(items_of(spark, folder, gap))
 
 
-def facts_of(spark, folder, gap=1800) -> Facts:
-    events = staged(spark, folder)
+def facts_of(events, gap=1800) -> Facts:
     sessionised = sessionise(events, gap)
     return Facts(
         session_facts(session_rollup(sessionised)),
@@ -389,7 +391,7 @@ def attribution_asof_sessions(spark, folder):
     """Sessions with the version valid just before they start (none before a device's first)."""
     events = staged(spark, folder)
     before = F.col("session_start") - F.expr("interval 1 microsecond")
-    facts = sessions_of(spark, folder).select(
+    facts = rolled(events).select(
         "session_id", "device_id", before.alias("looked_up_at")
     )
     return asof_join(
@@ -406,7 +408,7 @@ def attribution_current(spark, folder):
 def attribution_current_lookup(spark, folder):
     """Each session with its device's open version."""
     events = staged(spark, folder)
-    facts = sessions_of(spark, folder).select("session_id", "device_id")
+    facts = rolled(events).select("session_id", "device_id")
     return with_current_version(
         facts, attribution_history(events), "device_id", ["version_num", "medium"]
     )
@@ -473,7 +475,7 @@ def funnel_grouping_sets(spark, folder):
     """Segment totals by GROUPING SETS; must equal the one-pass form."""
     events = staged(spark, folder)
     totals = reports.dimension_totals(
-        sessions_of(spark, folder, DAY), devices(events), traffic_sources(events)
+        rolled(events, DAY), devices(events), traffic_sources(events)
     )
     return reports.by_step(reports.segment_totals_grouping_sets(totals))
 
@@ -593,13 +595,13 @@ SESSION_METRICS = [
 @query
 def metrics_by_day(spark, folder):
     """All metrics by day, on the calendar as time spine."""
-    spine = calendar_of(staged(spark, folder))
-    return metric(facts_of(spark, folder, DAY), list(METRICS), grain="day", spine=spine)
+    events = staged(spark, folder)
+    return metric(facts_of(events, DAY), list(METRICS), grain="day", spine=calendar_of(events))
 
 
 @query
 def metrics_by_week(spark, folder):
-    return metric(facts_of(spark, folder, DAY), list(METRICS), grain="week")
+    return metric(facts_of(staged(spark, folder), DAY), list(METRICS), grain="week")
 
 
 @query
@@ -607,7 +609,7 @@ def metrics_by_segment(spark, folder):
     names = ["sessions", "devices", "session_conversion_rate", "events_per_session",
              "avg_session_duration_min"]
     return metric(
-        facts_of(spark, folder, DAY), names, by=["device_category", "continent", "source"]
+        facts_of(staged(spark, folder), DAY), names, by=["device_category", "continent", "source"]
     )
 
 
@@ -615,14 +617,14 @@ def metrics_by_segment(spark, folder):
 def metrics_by_geography(spark, folder):
     names = ["sessions", "devices", "view_item_rate", "events"]
     by = ["sub_continent", "country", "region", "city", "brand"]
-    return metric(facts_of(spark, folder, DAY), names, by=by, grain="month")
+    return metric(facts_of(staged(spark, folder), DAY), names, by=by, grain="month")
 
 
 @query
 def metrics_by_native_span(spark, folder):
     names = ["sessions", "devices", "events", "add_to_cart_rate"]
     return metric(
-        facts_of(spark, folder, DAY),
+        facts_of(staged(spark, folder), DAY),
         names,
         by=["spans_multiple_ga_sessions", "campaign"],
         where={"medium": ["organic", "cpc", None]},
@@ -633,13 +635,13 @@ def metrics_by_native_span(spark, folder):
 def metric_events(spark, folder):
     """Events by name and the event's own medium, per month."""
     return metric(
-        facts_of(spark, folder), ["events"], by=["event_name", "medium"], grain="month"
+        facts_of(staged(spark, folder)), ["events"], by=["event_name", "medium"], grain="month"
     )
 
 
 @query
 def metrics_overall(spark, folder):
-    return metric(facts_of(spark, folder, DAY), list(METRICS))
+    return metric(facts_of(staged(spark, folder), DAY), list(METRICS))
 
 
 # --- data quality -------------------------------------------------------------------------
@@ -719,10 +721,13 @@ FIGURES = [
 @query
 def figure_parity(spark, folder):
     """Twelve headline figures against stated values; those outside their tolerance."""
+    events = staged(spark, folder, with_items=True)
+    sessionised = sessionise(events, DAY)
+    sessions = session_facts(session_rollup(sessionised))
     tables = {
-        "funnel": funnel_of(spark, folder, DAY),
-        "weekly": reports.weekly_report(sessions_of(spark, folder, DAY)),
-        "product": products_of(spark, folder),
+        "funnel": reports.funnel_report(sessions, devices(events), traffic_sources(events)),
+        "weekly": reports.weekly_report(sessions),
+        "product": reports.product_report(item_facts(sessionised)),
     }
     return checks.drifted(checks.figures(tables, FIGURES))
 

@@ -58,7 +58,7 @@ def channel() -> Column:
 def dimension_totals(
     sessions: DataFrame, devices: DataFrame, traffic: DataFrame
 ) -> DataFrame:
-    """Funnel totals per (device_category, continent, channel).
+    """Funnel totals by device_category, continent and channel, a row per source of a channel.
 
     Totals come before the joins: per device and source ahead of the device join, so a device
     with very many sessions meets it with one row per source, and per source ahead of the join
@@ -72,12 +72,11 @@ def dimension_totals(
         "device_category",
         "continent",
     )
-    named = per_source.join(
+    return per_source.join(
         traffic.select("traffic_source_key", "medium", "traffic_source"),
         "traffic_source_key",
         "left",
-    ).withColumn("channel", channel())
-    return _add_up(named, "device_category", "continent", "channel")
+    ).select("device_category", "continent", channel().alias("channel"), *SUMS)
 
 
 def segment_totals(totals: DataFrame) -> DataFrame:
@@ -111,33 +110,46 @@ def segment_totals_grouping_sets(totals: DataFrame) -> DataFrame:
     return grouped.select(kind.alias("segment_type"), value.alias("segment_value"), *SUMS)
 
 
-def by_step(segments: DataFrame) -> DataFrame:
+def by_step(segments: DataFrame, *kept: str, overall: bool = False) -> DataFrame:
     """One row per segment and step: sessions reaching it, the step before, and both.
 
-    The base step and the first event step follow on all sessions.
+    The base step and the first event step follow on all sessions. ``overall`` also spreads the
+    totals over all sessions that ``with_overall`` put next to the segment's.
     """
-    everyone = F.col("segment_sessions")
     rows = []
     for n, step in enumerate(REPORT_STEPS, start=1):
-        reached = everyone if step == "sessions" else F.col(f"reach_{step}")
-        before = everyone if n <= 2 else F.col(f"reach_{REPORT_STEPS[n - 2]}")
-        both = reached if n <= 2 else F.col(f"joint_{step}")
+        reached = "segment_sessions" if n == 1 else f"reach_{step}"
+        before = "segment_sessions" if n <= 2 else f"reach_{REPORT_STEPS[n - 2]}"
+        fields = {
+            "sessions_reached": reached,
+            "prev_step_sessions": before,
+            "reached_from_prev": reached if n <= 2 else f"joint_{step}",
+        }
+        if overall:
+            fields["all_reached"] = f"all_{reached}"
         rows.append(
             F.struct(
                 F.lit(step).alias("step"),
                 F.lit(n).alias("step_sort"),
-                reached.alias("sessions_reached"),
-                before.alias("prev_step_sessions"),
-                both.alias("reached_from_prev"),
+                *[F.col(c).alias(name) for name, c in fields.items()],
             )
         )
     return segments.select(
-        "segment_type",
-        "segment_value",
-        "segment_sessions",
-        F.explode(F.array(*rows)).alias("s"),
-    ).select("segment_type", "segment_value", "s.step", "s.step_sort", "segment_sessions",
-             "s.sessions_reached", "s.prev_step_sessions", "s.reached_from_prev")
+        "segment_type", "segment_value", "segment_sessions", *kept, F.inline(F.array(*rows))
+    )
+
+
+def with_overall(segments: DataFrame) -> DataFrame:
+    """Put the totals over all sessions next to each segment's, as ``all_*``.
+
+    One window over the segments, which are few: not a function of the number of sessions.
+    """
+    everything = Window.partitionBy()
+    is_overall = F.col("segment_type") == "overall"
+    reached = ["segment_sessions"] + [f"reach_{s}" for s in FLAGS]
+    return segments.withColumns(
+        {f"all_{c}": F.max(F.when(is_overall, F.col(c))).over(everything) for c in reached}
+    )
 
 
 def funnel_report(
@@ -152,25 +164,19 @@ def funnel_report(
 
 def funnel_rates(segments: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Report rows from segment totals. Windows here see segments, not sessions."""
-    steps = by_step(segments)
+    # Ranked with the unknown segment in place, so the others keep a hole for it. A segment's
+    # size is the same at every step, so one rank serves all steps.
+    by_size = Window.partitionBy("segment_type").orderBy(F.desc("segment_sessions"))
+    ranked = with_overall(segments).withColumn("_rank", F.dense_rank().over(by_size))
+    placed = by_step(ranked, "all_segment_sessions", "_rank", overall=True)
+
     is_overall = F.col("segment_type") == "overall"
-    of_step = Window.partitionBy("step")
     n, reached = F.col("segment_sessions"), F.col("sessions_reached")
     before, joint = F.col("prev_step_sessions"), F.col("reached_from_prev")
-    rest_n, rest_reached = F.col("_rest_sessions"), F.col("_rest_reached")
-
-    by_size = Window.partitionBy("segment_type", "step").orderBy(F.desc("segment_sessions"))
+    rest_n, rest_reached = F.col("all_segment_sessions") - n, F.col("all_reached") - reached
     type_sort = F.coalesce(
         *[F.when(F.col("segment_type") == k, v) for k, v in SEGMENT_TYPES.items()]
     )
-    placed = steps.withColumns(
-        {
-            "_rest_sessions": F.max(F.when(is_overall, n)).over(of_step) - n,
-            "_rest_reached": F.max(F.when(is_overall, reached)).over(of_step) - reached,
-            # Ranked with the unknown segment in place, so the others keep a hole for it.
-            "_rank": F.dense_rank().over(by_size),
-        }
-    )
     z = settings.z
     gap = (reached, n, rest_reached, rest_n)
     return placed.select(

@@ -6,10 +6,10 @@ the line items. Every row of ``events`` is used and every part can occur as an i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.sources.export import EXPORT_SCHEMA
+from sessionloom.sources.export import ITEMS_TYPE, PARAMS_TYPE
 
 # Fixed values of the mapping.
 EVENT_NAMES = {
@@ -36,35 +36,23 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def _pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
-
-
-def _param(key: str, text: Column | None = None, whole: Column | None = None,
-           real: Column | None = None) -> Column:
-    value = F.struct(
-        (F.lit(None) if text is None else text).cast("string").alias("string_value"),
-        (F.lit(None) if whole is None else whole).cast("bigint").alias("int_value"),
-        F.lit(None).cast("double").alias("float_value"),
-        (F.lit(None) if real is None else real).cast("double").alias("double_value"),
-    )
-    return F.struct(F.lit(key).alias("key"), value.alias("value"))
-
-
 def source_events(spark: SparkSession, folder: str) -> DataFrame:
     """``events`` with the helper columns the mapping uses."""
-    e = table(spark, folder, "events")
-    user, k = F.col("user_id"), F.col("k")
-    return (
-        e.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
-        .withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-        .withColumn("src", F.expr("(user_id + (dayofmonth(ts) div 5) % 3) % 7"))
-        .withColumn(
-            "n_items",
-            F.when(F.col("event_type").isin("view", "click", "purchase"), k % 4).otherwise(0),
-        )
-        .withColumn("is_purchase", F.col("event_type") == "purchase")
-        .withColumn("device_no", (user + F.when(k >= 90, 1).otherwise(0)) % 3)
+    parsed = table(spark, folder, "events").selectExpr(
+        "*", "cast(get_json_object(props, '$.k') as int) AS k"
+    )
+    return parsed.selectExpr(
+        "event_id",
+        "ts",
+        "user_id",
+        "event_type",
+        "value",
+        "k",
+        "unix_micros(cast(ts as timestamp)) AS us",
+        "cast((user_id + (dayofmonth(ts) div 5) % 3) % 7 as int) AS src",
+        "cast((user_id + if(k >= 90, 1, 0)) % 3 as int) AS device_no",
+        "if(event_type IN ('view', 'click', 'purchase'), k % 4, 0) AS n_items",
+        "event_type = 'purchase' AS bought",
     )
 
 
@@ -75,145 +63,124 @@ def _with_places(spark: SparkSession, folder: str, events: DataFrame) -> DataFra
     return (
         events.join(
             customer.select("c_custkey", "c_mktsegment", "c_nationkey"),
-            F.col("user_id") == F.col("c_custkey"),
+            F.expr("user_id = c_custkey"),
             "left",
         )
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
-        .join(region, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+        .join(nation, F.expr("c_nationkey = n_nationkey"), "left")
+        .join(region, F.expr("n_regionkey = r_regionkey"), "left")
     )
 
 
 def event_items(spark: SparkSession, folder: str, events: DataFrame) -> DataFrame:
     """(event_id, items): the parts of each event as an array; at most three per event."""
     part = table(spark, folder, "part")
-    n_parts = part.agg((F.max("p_partkey") + 1).alias("n")).scalar()
-    lines = events.where(F.col("n_items") > 0).select(
-        "event_id", "event_type", F.explode(F.sequence(F.lit(0), F.col("n_items") - 1)).alias("i")
+    parts = part.selectExpr("max(p_partkey) + 1 AS n").scalar()
+    lines = events.where("n_items > 0").selectExpr(
+        "event_id", "event_type", "explode(sequence(0, n_items - 1)) AS i"
+    )
+    picked = lines.withColumn("partkey", F.expr("event_id * 31 + i * 17") % parts)
+    item = """named_struct(
+        'item_id', concat('P', p_partkey),
+        'item_name', if(p_partkey % 17 = 0, '(not set)', p_name),
+        'item_brand', p_brand,
+        'item_variant', if(p_size < 10, 'Not available in demo dataset', cast(p_size as string)),
+        'item_category', case when p_partkey % 13 = 0 then '(not set)'
+            when event_type = 'purchase' then p_type else concat('Home/', p_type, '/') end,
+        'item_list_id', if(i > 0, '', 'list'),
+        'item_list_index', cast(i as string),
+        'promotion_name', '(not set)',
+        'creative_name', if(i = 1, '<Other>', null),
+        'price', p_retailprice,
+        'price_in_usd', p_retailprice,
+        'quantity', if(event_type IN ('click', 'purchase'), cast(i + 1 as bigint), null),
+        'item_revenue', if(event_type = 'purchase', p_retailprice * (i + 1), null),
+        'item_revenue_in_usd', if(event_type = 'purchase', p_retailprice * (i + 1), null))"""
+    placed = picked.join(part, F.expr("partkey = p_partkey")).selectExpr(
+        "event_id", f"named_struct('i', i, 'item', {item}) AS placed"
     )
-    keyed = lines.withColumn(
-        "partkey", (F.col("event_id") * 31 + F.col("i") * 17) % n_parts
-    ).join(part, F.col("partkey") == F.col("p_partkey"))
-    price, quantity = F.col("p_retailprice"), (F.col("i") + 1).cast("bigint")
-    is_purchase = F.col("event_type") == "purchase"
-    revenue = F.when(is_purchase, price * quantity)
-    item = F.struct(
-        F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("item_id"),
-        F.when(F.col("p_partkey") % 17 == 0, "(not set)").otherwise(F.col("p_name")).alias(
-            "item_name"
-        ),
-        F.col("p_brand").alias("item_brand"),
-        F.when(F.col("p_size") < 10, "Not available in demo dataset")
-        .otherwise(F.col("p_size").cast("string"))
-        .alias("item_variant"),
-        F.when(F.col("p_partkey") % 13 == 0, "(not set)")
-        .when(is_purchase, F.col("p_type"))
-        .otherwise(F.concat(F.lit("Home/"), F.col("p_type"), F.lit("/")))
-        .alias("item_category"),
-        F.when(F.col("i") > 0, "").otherwise("list").alias("item_list_id"),
-        F.col("i").cast("string").alias("item_list_index"),
-        F.lit("(not set)").alias("promotion_name"),
-        F.when(F.col("i") == 1, "<Other>").alias("creative_name"),
-        price.alias("price"),
-        price.alias("price_in_usd"),
-        F.when(F.col("event_type").isin("click", "purchase"), quantity).alias("quantity"),
-        revenue.alias("item_revenue"),
-        revenue.alias("item_revenue_in_usd"),
+    return placed.groupBy("event_id").agg(
+        F.expr("array_sort(collect_list(placed)).item").alias("items")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("i", item.alias("item"))))
-    return keyed.groupBy("event_id").agg(
-        F.transform(ordered, lambda entry: entry["item"]).alias("items")
+
+
+def _named(cases: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in cases.items()) + ")"
+
+
+def _param(key: str, text="null", whole="null", real="null") -> str:
+    value = (
+        f"named_struct('string_value', cast({text} as string), 'int_value', cast({whole} as "
+        f"bigint), 'float_value', cast(null as double), 'double_value', cast({real} as double))"
     )
+    return f"named_struct('key', '{key}', 'value', {value})"
+
+
+def _pick(values: tuple[str, ...], index: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"get(array({listed}), {index})"
 
 
 def raw_export(spark: SparkSession, folder: str, with_items: bool = False) -> DataFrame:
     """The export over all of ``events``. Without items the arrays are NULL and parts stay unread."""
     events = source_events(spark, folder)
     full = _with_places(spark, folder, events)
-    item_type = next(
-        f.dataType for f in spark.createDataFrame([], EXPORT_SCHEMA).schema if f.name == "items"
-    )
     if with_items:
         full = full.join(event_items(spark, folder, events), "event_id", "left")
     else:
-        full = full.withColumn("items", F.lit(None).cast(item_type))
-
-    k, us, bought = F.col("k"), F.col("us"), F.col("is_purchase")
-    title = F.when(k % 7 == 1, "(not set)").otherwise(F.concat(F.lit("Page "), "event_type"))
-    native = F.expr(f"us div {NATIVE_SESSION_SECONDS * 1_000_000}")
-    engaged = F.when(
-        k % 2 == 0, _param("engaged", text=(k % 2).cast("string"))
-    ).otherwise(_param("engaged", whole=k % 2))
-    params = F.concat(
-        F.when(k % 7 == 0, F.array().cast(_params_type(spark))).otherwise(
-            F.array(_param("page_title", text=title))
-        ),
-        F.array(
-            _param(
-                "page_location",
-                text=F.concat(F.lit("https://Shop.example/"), "event_type", F.lit("?k="), k),
-            ),
-            _param("ga_session_id", whole=native),
-            engaged,
-            _param("value", real=F.col("value")),
-        ),
-        F.when(k % 50 == 0, F.array(engaged)).otherwise(F.array().cast(_params_type(spark))),
+        full = full.withColumn("items", F.lit(None).cast(ITEMS_TYPE))
+
+    renamed = [
+        f"when event_type = '{t}' and k >= {least} then '{n}'" for t, (least, n) in RENAMED.items()
+    ]
+    named = [f"when event_type = '{t}' then '{n}'" for t, n in EVENT_NAMES.items()]
+    engaged = (
+        "if(k % 2 = 0, " + _param("engaged", text="'0'") + ", " + _param("engaged", whole="1") + ")"
     )
-    hidden = F.lit("(not set)")
-    continent = F.when(F.col("user_id") % 11 == 0, hidden).otherwise(F.col("r_name"))
-    units = F.expr("cast(n_items * (n_items + 1) div 2 as bigint)")
-    return full.select(
-        F.date_format("ts", "yyyyMMdd").alias("event_date"),
-        us.alias("event_timestamp"),
-        F.coalesce(
-            *[
-                F.when((F.col("event_type") == a) & (k >= least), b)
-                for a, (least, b) in RENAMED.items()
-            ],
-            *[F.when(F.col("event_type") == a, b) for a, b in EVENT_NAMES.items()],
-        ).alias("event_name"),
-        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user_pseudo_id"),
-        F.when(k % 50 != 0, us - k * F.lit(1_000_000).cast("bigint")).alias(
-            "user_first_touch_timestamp"
-        ),
-        params.alias("event_params"),
-        F.struct(
-            _pick(CATEGORIES, F.col("device_no")).alias("category"),
-            F.when(F.col("user_id") % 5 == 0, "<Other>")
-            .otherwise(F.col("c_mktsegment"))
-            .alias("mobile_brand_name"),
-        ).alias("device"),
-        F.struct(
-            continent.alias("continent"),
-            F.concat(F.lit("Sub "), "r_name").alias("sub_continent"),
-            F.col("n_name").alias("country"),
-            F.concat(F.lit("Region "), F.col("n_nationkey").cast("string")).alias("region"),
-            F.when(F.col("user_id") % 3 == 0, hidden)
-            .otherwise(F.concat(F.lit("City "), F.col("n_nationkey").cast("string")))
-            .alias("city"),
-        ).alias("geo"),
-        F.struct(
-            _pick(MEDIUMS, F.col("src")).alias("medium"),
-            _pick(SOURCES, F.col("src")).alias("source"),
-            _pick(CAMPAIGNS, F.col("src")).alias("name"),
-        ).alias("traffic_source"),
-        F.struct(
-            F.when(
-                bought,
-                F.when(k % 10 == 0, hidden).otherwise(
-                    F.concat(F.lit("T"), F.col("event_id").cast("string"))
-                ),
-            ).alias("transaction_id"),
-            F.when(bought, F.col("value")).alias("purchase_revenue"),
-            F.when(bought, F.col("value")).alias("purchase_revenue_in_usd"),
-            F.when(bought, F.col("value") / 10).alias("tax_value"),
-            F.when(bought, F.col("value") / 10).alias("tax_value_in_usd"),
-            F.when(bought, units).alias("total_item_quantity"),
-            F.when(bought, F.col("n_items").cast("bigint")).alias("unique_items"),
-        ).alias("ecommerce"),
+    none = f"cast(array() as {PARAMS_TYPE})"
+    title = "if(k % 7 = 1, '(not set)', concat('Page ', event_type))"
+    params = f"""concat(
+        if(k % 7 = 0, {none}, array({_param("page_title", text=title)})),
+        array(
+            {_param("page_location", text="concat('https://Shop.example/', event_type, '?k=', k)")},
+            {_param("ga_session_id", whole=f"us div {NATIVE_SESSION_SECONDS * 1_000_000}")},
+            {engaged},
+            {_param("value", real="value")}),
+        if(k % 50 = 0, array({engaged}), {none}))"""
+    device = {
+        "category": _pick(CATEGORIES, "device_no"),
+        "mobile_brand_name": "if(user_id % 5 = 0, '<Other>', c_mktsegment)",
+    }
+    geo = {
+        "continent": "if(user_id % 11 = 0, '(not set)', r_name)",
+        "sub_continent": "concat('Sub ', r_name)",
+        "country": "n_name",
+        "region": "concat('Region ', n_nationkey)",
+        "city": "if(user_id % 3 = 0, '(not set)', concat('City ', n_nationkey))",
+    }
+    traffic = {
+        "medium": _pick(MEDIUMS, "src"),
+        "source": _pick(SOURCES, "src"),
+        "name": _pick(CAMPAIGNS, "src"),
+    }
+    bought = {
+        "transaction_id": "if(k % 10 = 0, '(not set)', concat('T', event_id))",
+        "purchase_revenue": "value",
+        "purchase_revenue_in_usd": "value",
+        "tax_value": "value / 10",
+        "tax_value_in_usd": "value / 10",
+        "total_item_quantity": "cast(n_items * (n_items + 1) div 2 as bigint)",
+        "unique_items": "cast(n_items as bigint)",
+    }
+    return full.selectExpr(
+        "date_format(ts, 'yyyyMMdd') AS event_date",
+        "us AS event_timestamp",
+        f"case {' '.join(renamed + named)} end AS event_name",
+        "concat('U', user_id) AS user_pseudo_id",
+        "if(k % 50 <> 0, us - k * 1000000L, null) AS user_first_touch_timestamp",
+        f"{params} AS event_params",
+        f"{_named(device)} AS device",
+        f"{_named(geo)} AS geo",
+        f"{_named(traffic)} AS traffic_source",
+        _named({n: f"if(bought, {v}, null)" for n, v in bought.items()}) + " AS ecommerce",
         "items",
     )
-
-
-def _params_type(spark: SparkSession):
-    schema = spark.createDataFrame([], EXPORT_SCHEMA).schema
-    return next(f.dataType for f in schema if f.name == "event_params")

@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 from sessionloom.sources.tables import overwrite_partitions
 
 # Fields of the export that are read. Days are 'yyyyMMdd', times are microseconds.
-EXPORT_SCHEMA = """
+PARAMS_TYPE = """array<struct<key: string, value: struct<
+    string_value: string, int_value: bigint, float_value: double, double_value: double>>>"""
+ITEMS_TYPE = """array<struct<
+    item_id: string, item_name: string, item_brand: string, item_variant: string,
+    item_category: string, item_list_id: string, item_list_index: string,
+    promotion_name: string, creative_name: string, price: double, price_in_usd: double,
+    quantity: bigint, item_revenue: double, item_revenue_in_usd: double>>"""
+EXPORT_SCHEMA = f"""
     event_date string,
     event_timestamp bigint,
     event_name string,
     user_pseudo_id string,
     user_first_touch_timestamp bigint,
-    event_params array<struct<key: string, value: struct<
-        string_value: string, int_value: bigint, float_value: double, double_value: double>>>,
+    event_params {PARAMS_TYPE},
     device struct<category: string, mobile_brand_name: string>,
     geo struct<continent: string, sub_continent: string, country: string, region: string,
         city: string>,
@@ -25,11 +31,7 @@ EXPORT_SCHEMA = """
     ecommerce struct<transaction_id: string, purchase_revenue: double,
         purchase_revenue_in_usd: double, tax_value: double, tax_value_in_usd: double,
         total_item_quantity: bigint, unique_items: bigint>,
-    items array<struct<item_id: string, item_name: string, item_brand: string,
-        item_variant: string, item_category: string, item_list_id: string,
-        item_list_index: string, promotion_name: string, creative_name: string, price: double,
-        price_in_usd: double, quantity: bigint, item_revenue: double,
-        item_revenue_in_usd: double>>
+    items {ITEMS_TYPE}
 """
 
 
