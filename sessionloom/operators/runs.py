@@ -21,23 +21,30 @@ SLICE = "_slice"
 class HotKeys:
     """When a key is cut, and how finely.
 
-    ``max_keys`` bounds the broadcast list. It loses nothing: the largest keys are listed, a key
-    outside the list holds less than 1/max_keys of the rows and runs uncut.
+    Every row is processed whichever keys are cut, so finding them may be approximate: rows are
+    counted by one in ``counted_one_in`` of the times, and ``max_keys`` bounds the broadcast list
+    (a key outside it holds less than 1/max_keys of the rows and runs uncut).
     """
 
     min_rows: int = 1_000_000
     slice_rows: int = 100_000
     max_keys: int = 10_000
+    counted_one_in: int = 64
 
 
 def hot_keys(df: DataFrame, key: str, at: str, policy: HotKeys) -> DataFrame:
-    """At most ``max_keys`` rows (_hot_key, _lo, _width): first time and slice width in microseconds."""
+    """At most ``max_keys`` rows (_hot_key, _lo, _width): first time and slice width in microseconds.
+
+    Which rows are counted follows from their time alone, so that every evaluation, also after a
+    lost executor, lists the same keys.
+    """
     micros = F.unix_micros(at)
+    counted = F.pmod(F.xxhash64(at), F.lit(policy.counted_one_in)) == 0
     return (
-        df.where(F.col(key).isNotNull())
+        df.where(F.col(key).isNotNull() & counted)
         .groupBy(key)
         .agg(
-            F.count(F.lit(1)).alias("_rows"),
+            (F.count(F.lit(1)) * policy.counted_one_in).alias("_rows"),
             F.min(micros).alias("_lo"),
             F.max(micros).alias("_hi"),
         )
@@ -54,9 +61,10 @@ def hot_keys(df: DataFrame, key: str, at: str, policy: HotKeys) -> DataFrame:
 
 def with_slices(df: DataFrame, hot: DataFrame, key: str, at: str) -> DataFrame:
     """Add ``_slice``: the time slice of a hot key's row, NULL for every other key."""
-    elapsed = F.unix_micros(at) - F.col("_lo")
+    # A missing time sorts first, so it belongs to the lowest slice.
+    elapsed = F.coalesce(F.unix_micros(at), F.lit(-(2**62))) - F.col("_lo")
     return df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").select(
-        *df.columns, F.floor(elapsed / F.col("_width")).cast("int").alias(SLICE)
+        *df.columns, F.floor(elapsed / F.col("_width")).alias(SLICE)
     )
 
 

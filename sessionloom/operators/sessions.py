@@ -25,7 +25,9 @@ def sessionise(
         "device_id",
         EVENT_ORDER,
         "time_stamp",
-        lambda now, before: F.timestamp_diff("SECOND", before, now) > gap_seconds,
+        lambda now, before: F.coalesce(
+            F.timestamp_diff("SECOND", before, now) > gap_seconds, F.lit(True)
+        ),
         previous="_previous",
         flag="is_new_session",
         number="session_num",
@@ -46,14 +48,17 @@ def session_rollup(sessionised: DataFrame) -> DataFrame:
     Grouped on (device_id, session_num) with the key hashed afterwards. Events collapse to
     session partials before anything moves, so a device or session of any size is safe.
     """
-    place = F.struct(*EVENT_ORDER)
-    first = F.struct("session_id", "event_date", "first_touch", *TRAFFIC)
+    # One row of a session opens it; only that row builds the struct.
+    opening = F.when(
+        F.col("is_new_session") == 1,
+        F.struct("session_id", "event_date", "first_touch", *TRAFFIC),
+    )
     rolled = sessionised.groupBy("device_id", "session_num").agg(
         F.min("time_stamp").alias("session_start"),
         F.max("time_stamp").alias("session_end"),
         F.count(F.lit(1)).alias("event_count"),
         F.countDistinct("session_id").alias("ga_session_count"),
-        F.min_by(first, place).alias("first"),
+        F.max(opening).alias("first"),
         *[
             F.max(F.when(F.col("event_name") == step, 1).otherwise(0)).alias(f"reached_{step}")
             for step in FUNNEL_EVENTS
