@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.config import TRAFFIC
-from sessionloom.sources.tables import overwrite_partitions, path_exists
+from sessionloom.sources.tables import overwrite_partitions, read_if_there
 
 KEY = "device_id"
 CHECKED = "traffic_source_key"
@@ -60,11 +61,14 @@ def snapshot_changes(open_versions: DataFrame, current: DataFrame, run_at: datet
     )
 
 
+def _schema() -> str:
+    texts = {KEY, CHECKED, *TRAFFIC, "attribution_version_key"}
+    return ", ".join(f"{c} {'string' if c in texts else 'timestamp'}" for c in VERSION)
+
+
 def no_versions(spark: SparkSession) -> DataFrame:
     """An empty set of open versions, for the first run."""
-    texts = {KEY, CHECKED, *TRAFFIC, "attribution_version_key"}
-    schema = ", ".join(f"{c} {'string' if c in texts else 'timestamp'}" for c in VERSION)
-    return spark.createDataFrame([], schema)
+    return spark.createDataFrame([], _schema())
 
 
 class SnapshotStore:
@@ -81,42 +85,42 @@ class SnapshotStore:
         self.open_path = f"{root}/open"
         self.closed_path = f"{root}/closed"
 
-    def last_run(self, before: int | None = None) -> int | None:
-        if not path_exists(self.spark, self.open_path):
-            return None
-        runs = self.spark.read.parquet(self.open_path).select("snapshot_run")
-        if before is not None:
-            runs = runs.where(F.col("snapshot_run") < before)
-        return runs.agg(F.max("snapshot_run")).first()[0]
+    def _stored(self, path: str) -> DataFrame | None:
+        return read_if_there(self.spark, path, f"{_schema()}, snapshot_run bigint")
+
+    def _open(self, before: int | None = None) -> tuple[int | None, DataFrame]:
+        """The latest run (before a given one) and its open versions."""
+        stored = self._stored(self.open_path)
+        if stored is None:
+            return None, no_versions(self.spark)
+        runs = stored if before is None else stored.where(F.col("snapshot_run") < before)
+        last = runs.agg(F.max("snapshot_run")).first()[0]
+        return last, stored.where(F.col("snapshot_run") == last).select(*VERSION)
 
     def run(self, current: DataFrame, run_at: datetime) -> None:
         """Record one run; running it again with the same time replaces it."""
         run_id = run_micros(run_at)
-        last = self.last_run(before=run_id)
-        before = (
-            no_versions(self.spark)
-            if last is None
-            else self.spark.read.parquet(self.open_path)
-            .where(F.col("snapshot_run") == last)
-            .drop("snapshot_run")
-        )
+        _, before = self._open(before=run_id)
         after = snapshot_changes(before, current, run_at).withColumn(
             "snapshot_run", F.lit(run_id).cast("bigint")
         )
         still_open = F.col("valid_to").isNull()
-        overwrite_partitions(after.where(~still_open), self.closed_path, "snapshot_run")
-        overwrite_partitions(after.where(still_open), self.open_path, "snapshot_run")
+        after.persist(StorageLevel.MEMORY_AND_DISK)  # two writes from one join
+        try:
+            overwrite_partitions(after.where(~still_open), self.closed_path, "snapshot_run")
+            overwrite_partitions(after.where(still_open), self.open_path, "snapshot_run")
+        finally:
+            after.unpersist()
 
     def read(self) -> DataFrame:
         """The whole history: every closed version and the open ones of the latest run."""
-        last = self.last_run()
-        if last is None:
-            return no_versions(self.spark)
-        kept = self.spark.read.parquet(self.open_path).where(F.col("snapshot_run") == last)
-        if path_exists(self.spark, self.closed_path):
-            closed = self.spark.read.schema(kept.schema).parquet(self.closed_path)
-            kept = kept.unionByName(closed.where(F.col("snapshot_run") <= last))
-        return kept.select(*VERSION)
+        last, versions = self._open()
+        closed = self._stored(self.closed_path) if last is not None else None
+        if closed is not None:
+            versions = versions.unionByName(
+                closed.where(F.col("snapshot_run") <= last).select(*VERSION)
+            )
+        return versions
 
 
 def run_micros(run_at: datetime) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from sessionloom.config import Settings
 from sessionloom.operators.dims import calendar, calendar_of, devices, traffic_sources
@@ -18,7 +18,8 @@ from sessionloom.operators.sessions import (
 )
 from sessionloom.operators.staging import stage_events
 from sessionloom.plans.reports import funnel_report, product_report, weekly_report
-from sessionloom.sources.tables import overwrite_table
+from sessionloom.sources.export import read_export
+from sessionloom.sources.tables import overwrite_partitions, overwrite_table
 
 
 def build(
@@ -59,3 +60,23 @@ def build(
     store("rpt_funnel_weekly", weekly_report(sessions, settings))
     store("rpt_product_funnel", product_report(items, settings=settings))
     return tables
+
+
+def build_window(
+    spark: SparkSession,
+    export: str,
+    root: str,
+    settings: Settings = Settings(),
+    policy: HotKeys = HotKeys(),
+) -> dict[str, DataFrame]:
+    """A full refresh over the configured window: afterwards the tables hold just those days."""
+    raw = read_export(spark, export, settings.start_date, settings.end_date)
+    return build(raw, root, settings, policy)
+
+
+def refresh_days(
+    spark: SparkSession, export: str, staged_path: str, start: str, end: str
+) -> None:
+    """Restage the days ``start`` to ``end`` of a day-partitioned staging table; others stay."""
+    staged = stage_events(read_export(spark, export, start, end))
+    overwrite_partitions(staged, staged_path, "event_date")

@@ -119,7 +119,7 @@ _RAW_TEXT = {
 assert set(_RAW_TEXT) == set(TEXT_FIELDS)
 
 
-def tables(gap: int = 1800) -> str:
+def tables(gap: int = 1800, only: str = "true") -> str:
     """WITH clause: raw, stg, sess (events with sessions), fs (session fact), dimensions, items."""
     flags = ",\n".join(
         f"CAST(max(CASE WHEN event_name = '{s}' THEN 1 ELSE 0 END) AS INTEGER) AS reached_{s}"
@@ -179,7 +179,7 @@ def tables(gap: int = 1800) -> str:
     CASE WHEN event_type = 'purchase' THEN CAST(n_items * (n_items + 1) // 2 AS BIGINT) END
       AS total_item_quantity,
     CASE WHEN event_type = 'purchase' THEN CAST(n_items AS BIGINT) END AS unique_items
-  FROM raw
+  FROM (SELECT *, CAST(ts AS DATE) AS event_date FROM raw) WHERE {only}
 ), gaps AS (
   SELECT *, date_sub('second', lag(time_stamp) OVER w, time_stamp) AS secs FROM stg
   WINDOW w AS (PARTITION BY device_id ORDER BY {ORDER})
@@ -841,11 +841,13 @@ def oracles() -> dict[str, str]:
             "source_name, valid_from, valid_to, CASE WHEN valid_to IS NULL THEN 1 ELSE 0 END AS is_current"
         ),
         "incremental_overwrite": tables() + rounded(
-            f"SELECT event_date, CASE WHEN {in_window} THEN 2 ELSE 1 END AS load, count(*) AS n_events "
-            f"FROM stg WHERE NOT ({in_window}) OR event_name = 'purchase' GROUP BY 1, 2",
+            "SELECT event_date, event_name, count(*) AS n_events FROM stg "
+            f"WHERE NOT ({in_window}) OR event_name = 'purchase' GROUP BY 1, 2",
             "",
             "event_date",
         ),
+        "built_window": tables(DAY, in_window)
+        + rounded(f"SELECT {fact_columns} FROM fs", "", **FACT_TIMES),
         "funnel_overall": tables(DAY) + rounded(
             "SELECT step, step_sort, segment_sessions, sessions_reached, reach_rate, "
             "reach_rate_lower, reach_rate_upper FROM funnel WHERE segment_type = 'overall'",

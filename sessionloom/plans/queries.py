@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionloom.config import REPORT_STEPS, TRAFFIC
+from sessionloom.config import REPORT_STEPS, TRAFFIC, Settings
 from sessionloom.functions import (
     calendar_columns,
     clean_item_string,
@@ -50,7 +50,7 @@ from sessionloom.operators.sessions import (
 from sessionloom.operators.snapshot import SnapshotStore, attribution_dimension
 from sessionloom.operators.staging import TEXT_FIELDS, stage_events
 from sessionloom.plans import dashboard, reports
-from sessionloom.plans.build import build
+from sessionloom.plans.build import build, build_window, refresh_days
 from sessionloom.session import configure
 from sessionloom.sources.adapter import raw_export, table
 from sessionloom.sources.export import read_export, read_sharded_export, write_export
@@ -436,22 +436,30 @@ def dim_attribution(spark, folder):
 
 @query
 def incremental_overwrite(spark, folder):
-    """A day-partitioned table loaded once, then reloaded for the window with changed rows only."""
-    path = work_folder(spark, "incremental")
-    events = staged(spark, folder).select("event_date", "device_id", "event_name", "time_stamp")
-    overwrite_partitions(events.withColumn("load", F.lit(1)), path, "event_date")
-    first, last = (F.to_date(F.lit(d), "yyyyMMdd") for d in WINDOW)
-    again = events.where(
-        F.col("event_date").between(first, last) & (F.col("event_name") == "purchase")
-    )
-    overwrite_partitions(again.withColumn("load", F.lit(2)), path, "event_date")
+    """Day-partitioned staging, then a window whose export changed is restaged; other days stay."""
+    root = work_folder(spark, "incremental")
+    raw = raw_export(spark, folder)
+    write_export(raw, f"{root}/export")
+    refresh_days(spark, f"{root}/export", f"{root}/staged", "00000101", "99991231")
+    changed = raw.where((F.col("event_name") == "purchase") & F.col("event_date").between(*WINDOW))
+    write_export(changed, f"{root}/export")
+    refresh_days(spark, f"{root}/export", f"{root}/staged", *WINDOW)
     return (
-        spark.read.parquet(path)
-        .groupBy("event_date", "load")
+        spark.read.parquet(f"{root}/staged")
+        .groupBy("event_date", "event_name")
         .agg(F.count(F.lit(1)).alias("n_events"))
     )
 
 
+@query
+def built_window(spark, folder):
+    """A build over two weeks of a stored export; its session fact."""
+    root = work_folder(spark, "window")
+    write_export(raw_export(spark, folder), f"{root}/export")
+    window = Settings(start_date=WINDOW[0], end_date=WINDOW[1], gap_seconds=DAY)
+    return build_window(spark, f"{root}/export", f"{root}/tables", window)["fct_sessions"]
+
+
 # --- reports ------------------------------------------------------------------------------
 
 
