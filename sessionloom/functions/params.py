@@ -27,7 +27,7 @@ def event_param(key: str, value_type: str = "string", params: str = "event_param
         )
     keys = F.col(f"{params}.key")
     at = F.array_position(keys, key).cast("int") - 1
-    value = F.get(f"{params}", at)["value"][VALUE_FIELDS[value_type]]
+    value = F.get(F.col(f"{params}.value.{VALUE_FIELDS[value_type]}"), at)
     hits = F.size(keys) - F.size(F.array_remove(keys, key))
     return F.when(
         hits > 1, F.raise_error(F.lit(f"event carries the key {key} more than once"))

@@ -32,21 +32,22 @@ def build(
     """Write staging, facts, dimensions, history and reports under ``root``; return them.
 
     Sessionised events are stored, so the device shuffle happens once for the facts that share
-    it. ``whole_span`` takes the calendar from the events instead of the configured window.
+    it. Event and session tables are partitioned by day. ``whole_span`` takes the calendar from
+    the events instead of the configured window.
     """
     tables: dict[str, DataFrame] = {}
 
-    def store(name: str, df: DataFrame) -> DataFrame:
-        tables[name] = overwrite_table(df, f"{root}/{name}")
+    def store(name: str, df: DataFrame, by: str | None = None) -> DataFrame:
+        tables[name] = overwrite_table(df, f"{root}/{name}", by)
         return tables[name]
 
-    staged = store("stg_events", stage_events(raw))
+    staged = store("stg_events", stage_events(raw), "event_date")
     sessionised = store("events_sessionised", sessionise(staged, settings.gap_seconds, policy))
     rollup = store("session_rollup", session_rollup(sessionised))
     tables["session_funnel_steps"] = funnel_steps(rollup)
-    sessions = store("fct_sessions", session_facts(rollup))
-    store("fct_events", event_facts(sessionised))
-    items = store("fct_event_items", item_facts(sessionised))
+    sessions = store("fct_sessions", session_facts(rollup), "session_date")
+    store("fct_events", event_facts(sessionised), "event_date")
+    items = store("fct_event_items", item_facts(sessionised), "event_date")
     device_dim = store("dim_devices", devices(staged))
     traffic = store("dim_traffic_source", traffic_sources(staged))
     days = (

@@ -34,17 +34,19 @@ def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | No
         raise
 
 
-def overwrite_table(df: DataFrame, path: str) -> DataFrame:
-    """Full refresh: replace the table at ``path`` and read it back."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def overwrite_table(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    """Full refresh: replace the table at ``path`` and read it back.
 
+    ``by`` partitions the table on a column. The rows are rebalanced on it, so a partition has
+    few files and a large one is still written by several tasks.
+    """
+    writer = (df.hint("rebalance", by) if by else df).write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
-def overwrite_partitions(df: DataFrame, path: str, *by: str) -> None:
-    """Replace only the partitions present in ``df``; the others stay.
 
-    The rebalance hint gives each partition few files and splits a large one over several tasks.
-    """
+def overwrite_partitions(df: DataFrame, path: str, *by: str) -> None:
+    """Replace only the partitions present in ``df``; the others stay. Rebalanced as above."""
     (
         df.hint("rebalance", *by)
         .write.mode("overwrite")

@@ -8,7 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sessionloom.config import EVENT_ORDER, FUNNEL_EVENTS, TRAFFIC
 
-LOCAL_MERGE = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+STREAM_SETTINGS = {
+    # A device's events become partial sessions before they are shuffled.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # Open sessions live on disk next to the executor, not in its heap.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming"
+    ".state.RocksDBStateStoreProvider",
+}
 
 
 def stream_sessions(
@@ -51,10 +57,10 @@ def stream_sessions(
 def write_available(sessions: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Process what has arrived, append closed sessions to ``path`` and stop.
 
-    Progress and open sessions live in ``checkpoint``; the next call goes on from there. Events
-    of a device are merged to partial sessions before they are shuffled.
+    Progress and open sessions live in ``checkpoint``; the next call goes on from there.
     """
-    sessions.sparkSession.conf.set(LOCAL_MERGE, "true")
+    for name, value in STREAM_SETTINGS.items():
+        sessions.sparkSession.conf.set(name, value)
     query = (
         sessions.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
