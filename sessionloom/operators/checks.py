@@ -227,22 +227,33 @@ class Figure:
 
 
 def figures(tables: Mapping[str, DataFrame], wanted: Sequence[Figure]) -> DataFrame:
-    """Actual, expected and tolerance of every figure."""
-
-    def one(f: Figure) -> DataFrame:
-        return (
-            tables[f.table]
-            .withColumn("_value", F.expr(f.value).cast("double"))
-            .where(F.expr(f.row))
-            .select(
-                F.lit(f.name).alias("check_name"),
-                F.col("_value").alias("actual"),
-                F.lit(float(f.expected)).alias("expected"),
-                F.lit(float(f.tolerance)).alias("tolerance"),
+    """Actual, expected and tolerance of every figure; all figures of a table from one pass."""
+
+    def of_table(name: str) -> DataFrame:
+        mine = [f for f in wanted if f.table == name]
+        values = {f"_value{n}": F.expr(f.value).cast("double") for n, f in enumerate(mine)}
+        entries = [
+            F.when(
+                F.expr(f.row),
+                F.struct(
+                    F.lit(f.name).alias("check_name"),
+                    F.col(value).alias("actual"),
+                    F.lit(float(f.expected)).alias("expected"),
+                    F.lit(float(f.tolerance)).alias("tolerance"),
+                ),
             )
+            for f, value in zip(mine, values)
+        ]
+        # Values first: a value may look at all rows (a share of a total), not only its own.
+        return (
+            tables[name]
+            .withColumns(values)
+            .select(F.explode(F.array(*entries)).alias("f"))
+            .where(F.col("f").isNotNull())
+            .select("f.*")
         )
 
-    return reduce(DataFrame.unionByName, [one(f) for f in wanted])
+    return reduce(DataFrame.unionByName, [of_table(n) for n in dict.fromkeys(f.table for f in wanted)])
 
 
 def drifted(checked: DataFrame) -> DataFrame:

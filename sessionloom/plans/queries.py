@@ -54,7 +54,12 @@ from sessionloom.plans.build import build, build_window, refresh_days
 from sessionloom.session import configure
 from sessionloom.sources.adapter import raw_export, table
 from sessionloom.sources.export import read_export, read_sharded_export, write_export
-from sessionloom.sources.tables import export_report, overwrite_partitions, work_folder
+from sessionloom.sources.tables import (
+    export_report,
+    overwrite_partitions,
+    overwrite_table,
+    work_folder,
+)
 from sessionloom.streaming.sessions import stream_sessions, write_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -117,8 +122,13 @@ def funnel_of(spark, folder, gap=1800) -> DataFrame:
     return reports.funnel_report(rolled(events, gap), devices(events), traffic_sources(events))
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """An intermediate that is read several times, written once, as in a build."""
+    return overwrite_table(df, work_folder(df.sparkSession, name))
+
+
 def items_of(spark, folder, gap=1800) -> DataFrame:
-    return item_facts(sessionise(staged(spark, folder, True), gap))
+    return kept(item_facts(sessionise(staged(spark, folder, True), gap)), "items")
 
 
 def products_of(spark, folder, gap=DAY) -> DataFrame:
@@ -379,7 +389,7 @@ def attribution_asof(spark, folder):
     facts = events.select("device_id", "time_stamp", "event_name", traffic_key().alias("event_key"))
     return asof_join(
         facts,
-        attribution_history(events),
+        kept(attribution_history(events), "history"),
         "device_id",
         "time_stamp",
         ["version_num", "traffic_source_key", "valid_from"],
@@ -395,7 +405,11 @@ def attribution_asof_sessions(spark, folder):
         "session_id", "device_id", before.alias("looked_up_at")
     )
     return asof_join(
-        facts, attribution_history(events), "device_id", "looked_up_at", ["version_num"]
+        kept(facts, "sessions"),
+        kept(attribution_history(events), "history"),
+        "device_id",
+        "looked_up_at",
+        ["version_num"],
     )
 
 
