@@ -31,10 +31,16 @@ DEVICE_COLUMNS = ("continent", "sub_continent", "country", "region", "city", "de
 
 
 def cleaned(c: str) -> str:
+    """Without a pattern: brackets are found by first and last character."""
+    t = f"lower({c})"
+    wrapped = (
+        f"length({t}) > 1 AND left({t}, 1) IN ('(', '<') AND right({t}, 1) IN (')', '>') "
+        f"AND position(chr(10) IN {t}) = 0"
+    )
     return (
-        f"CASE WHEN lower({c}) IN ('(not set)', '(data deleted)') THEN NULL "
-        f"WHEN lower({c}) = '(none)' THEN 'direct' "
-        rf"ELSE regexp_replace(lower({c}), '^[(<]([^\n]*)[)>]\z', '\1') END"
+        f"CASE {t} WHEN '(none)' THEN 'direct' WHEN '(not set)' THEN NULL "
+        f"WHEN '(data deleted)' THEN NULL "
+        f"ELSE CASE WHEN {wrapped} THEN substr({t}, 2, length({t}) - 2) ELSE {t} END END"
     )
 
 
@@ -56,25 +62,19 @@ def ratio(k: str, n: str) -> str:
 
 
 def wilson(k: str, n: str, side: str) -> str:
+    """In counts: the roots of the score equation, (k + z2/2 -+ z sqrt(k(n-k)/n + z2/4)) / (n + z2)."""
     n = f"nullif(CAST({n} AS DOUBLE), 0)"
-    p, z, sign = f"(CAST({k} AS DOUBLE) / {n})", Z_95, "-" if side == "lower" else "+"
-    return (
-        f"(({p} + pow({z}, 2) / (2 * {n}) {sign} {z} * sqrt({p} * (1 - {p}) / {n} "
-        f"+ pow({z}, 2) / (4 * pow({n}, 2)))) / (1 + pow({z}, 2) / {n}))"
-    )
+    k, z2 = f"CAST({k} AS DOUBLE)", f"({Z_95} * {Z_95})"
+    root = f"{Z_95} * sqrt({k} * ({n} - {k}) / {n} + {z2} / 4)"
+    return f"(({k} + {z2} / 2 {'-' if side == 'lower' else '+'} {root}) / ({n} + {z2}))"
 
 
 def newcombe(k1: str, n1: str, k2: str, n2: str, side: str) -> str:
-    p1, p2 = ratio(k1, n1), ratio(k2, n2)
-    if side == "lower":
-        return (
-            f"({p1} - {p2} - sqrt(pow({p1} - {wilson(k1, n1, 'lower')}, 2) "
-            f"+ pow({wilson(k2, n2, 'upper')} - {p2}, 2)))"
-        )
-    return (
-        f"({p1} - {p2} + sqrt(pow({wilson(k1, n1, 'upper')} - {p1}, 2) "
-        f"+ pow({p2} - {wilson(k2, n2, 'lower')}, 2)))"
-    )
+    other = {"lower": "upper", "upper": "lower"}[side]
+    distances = [f"{ratio(k1, n1)} - {wilson(k1, n1, side)}", f"{ratio(k2, n2)} - {wilson(k2, n2, other)}"]
+    squares = " + ".join(f"({d}) * ({d})" for d in distances)
+    sign = "-" if side == "lower" else "+"
+    return f"({ratio(k1, n1)} - {ratio(k2, n2)} {sign} sqrt({squares}))"
 
 
 def rounded(sql: str, doubles: str, dates: str = "", times: str = "") -> str:
@@ -180,20 +180,19 @@ def tables(gap: int = 1800, only: str = "true") -> str:
       AS total_item_quantity,
     CASE WHEN event_type = 'purchase' THEN CAST(n_items AS BIGINT) END AS unique_items
   FROM (SELECT *, CAST(ts AS DATE) AS event_date FROM raw) WHERE {only}
-), gaps AS (
-  SELECT *, date_sub('second', lag(time_stamp) OVER w, time_stamp) AS secs FROM stg
-  WINDOW w AS (PARTITION BY device_id ORDER BY {ORDER})
-), flagged AS (
-  SELECT *, CASE WHEN secs IS NULL OR secs > {gap} THEN 1 ELSE 0 END AS is_new_session FROM gaps
-), numbered AS (
-  SELECT * EXCLUDE (secs), CAST(sum(is_new_session) OVER (PARTITION BY device_id ORDER BY {ORDER}
-      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session_num,
-    secs // 60 AS mins_since_prev
-  FROM flagged
+), cut AS (
+  SELECT *, date_sub('second', lag(time_stamp) OVER w, time_stamp) // 60 AS mins_since_prev,
+    coalesce(date_sub('second', lag(time_stamp) OVER w, time_stamp) > {gap}, true) AS opens
+  FROM stg WINDOW w AS (PARTITION BY device_id ORDER BY {ORDER})
+), counted AS (
+  SELECT * EXCLUDE (opens), CAST(opens AS INTEGER) AS is_new_session,
+    count(*) FILTER (opens) OVER (PARTITION BY device_id ORDER BY {ORDER}
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session_num
+  FROM cut
 ), sess AS (
   SELECT *, {key("device_id", "session_num")} AS session_key,
     row_number() OVER (PARTITION BY device_id, session_num ORDER BY {ORDER}) AS nth
-  FROM numbered
+  FROM counted
 ), roll AS (
   SELECT session_key, device_id, session_num, min(time_stamp) AS session_start,
     max(time_stamp) AS session_end, count(*) AS event_count,
@@ -218,8 +217,6 @@ def tables(gap: int = 1800, only: str = "true") -> str:
 ), days AS (
   SELECT CAST(unnest(generate_series(min(event_date), max(event_date), INTERVAL 1 DAY)) AS DATE)
     AS date_day FROM stg
-), parts AS (
-  SELECT *, count(*) OVER () AS n_parts FROM part
 ), lines AS (
   SELECT sess.*, i.i, (eid * 31 + i.i * 17) % (SELECT max(p_partkey) + 1 FROM part) AS partkey
   FROM sess, (VALUES (0), (1), (2)) AS i(i) WHERE i.i < n_items
@@ -243,24 +240,19 @@ def tables(gap: int = 1800, only: str = "true") -> str:
     CASE WHEN event_type = 'purchase' THEN p_retailprice * (i + 1) END AS item_revenue,
     CASE WHEN event_type = 'purchase' THEN p_retailprice * (i + 1) END AS item_revenue_in_usd
   FROM raw_items
-), changed AS (
-  SELECT *, {TRAFFIC_KEY} AS traffic_source_key,
-    CASE WHEN {TRAFFIC_KEY} = lag({TRAFFIC_KEY}) OVER (PARTITION BY device_id ORDER BY {ORDER})
-         THEN 0 ELSE 1 END AS is_change
-  FROM stg
-), versioned AS (
-  SELECT *, CAST(sum(is_change) OVER (PARTITION BY device_id ORDER BY {ORDER}
-      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS version_num FROM changed
-), spans AS (
-  SELECT device_id, version_num, min(traffic_source_key) AS traffic_source_key,
-    min(medium) AS medium, min(traffic_source) AS traffic_source, min(source_name) AS source_name,
-    min(time_stamp) AS valid_from
-  FROM versioned GROUP BY device_id, version_num
+), opening AS (
+  SELECT device_id, {", ".join(TRAFFIC)}, time_stamp, session_id, event_name FROM stg
+  QUALIFY row(medium, traffic_source, source_name) IS DISTINCT FROM
+    lag(row(medium, traffic_source, source_name)) OVER (PARTITION BY device_id ORDER BY {ORDER})
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY {ORDER}) AS version_num FROM opening
 ), hist AS (
-  SELECT {key("device_id", "version_num")} AS attribution_version_key, *,
-    lead(valid_from) OVER w AS valid_to,
-    CASE WHEN lead(valid_from) OVER w IS NULL THEN 1 ELSE 0 END AS is_current
-  FROM spans WINDOW w AS (PARTITION BY device_id ORDER BY version_num)
+  SELECT {key("device_id", "version_num")} AS attribution_version_key, device_id, version_num,
+    {TRAFFIC_KEY} AS traffic_source_key, {", ".join(TRAFFIC)}, time_stamp AS valid_from,
+    lead(time_stamp) OVER w AS valid_to,
+    CAST(row_number() OVER (PARTITION BY device_id ORDER BY version_num DESC) = 1 AS INTEGER)
+      AS is_current
+  FROM numbered WINDOW w AS (PARTITION BY device_id ORDER BY version_num)
 ), cur AS (
   SELECT device_id, {TRAFFIC_KEY} AS traffic_source_key, {", ".join(TRAFFIC)},
     time_stamp AS attributed_at
@@ -287,19 +279,14 @@ _ITEM_TEXTS = (
 )
 
 
-def _step_union() -> str:
-    selects = []
+def _step_list() -> str:
+    """Per session: a struct for every step with its flag and the flag of the step before."""
+    structs = []
     for n, step in enumerate(REPORT_STEPS, start=1):
-        flag = "1" if n == 1 else f"reached_{step}"
-        before = "1" if n <= 2 else f"reached_{REPORT_STEPS[n - 2]}"
-        selects.append(
-            f"SELECT segment_type, segment_value, '{step}' AS step, {n} AS step_sort, "
-            f"count(*) AS segment_sessions, CAST(sum({flag}) AS BIGINT) AS sessions_reached, "
-            f"CAST(sum({before}) AS BIGINT) AS prev_step_sessions, "
-            f"CAST(sum({before} * {flag}) AS BIGINT) AS reached_from_prev "
-            "FROM segmented GROUP BY segment_type, segment_value"
-        )
-    return " UNION ALL ".join(selects)
+        hit = "1" if n == 1 else f"reached_{step}"
+        prior = "1" if n <= 2 else f"reached_{REPORT_STEPS[n - 2]}"
+        structs.append(f"{{'step': '{step}', 'step_sort': {n}, 'hit': {hit}, 'prior': {prior}}}")
+    return f"[{', '.join(structs)}]"
 
 
 def _funnel_columns() -> str:
@@ -336,33 +323,39 @@ def _category_rates() -> str:
 
 
 _WEEK_STEPS = ("view_item", "add_to_cart", "begin_checkout", "purchase")
-_REPORTS = f"""labelled AS (
-  SELECT fs.*, dev.device AS device_category, dev.continent,
-    CASE WHEN t.traffic_source = 'direct' THEN 'direct' WHEN t.medium IS NULL THEN 'unknown'
-         ELSE t.medium END AS channel
-  FROM fs LEFT JOIN dev ON fs.device_id = dev.device_id
-  LEFT JOIN traffic AS t ON fs.traffic_source_key = t.traffic_source_key
-), segmented AS (
-  SELECT 'overall' AS segment_type, 'all sessions' AS segment_value, * FROM labelled
-  UNION ALL SELECT 'device_category', coalesce(device_category, 'unknown'), * FROM labelled
-  UNION ALL SELECT 'continent', coalesce(continent, 'unknown'), * FROM labelled
-  UNION ALL SELECT 'channel', coalesce(channel, 'unknown'), * FROM labelled
-), steps AS ({_step_union()}
+_REPORTS = f"""long AS (
+  SELECT coalesce(d.device, 'unknown') AS device_category,
+    coalesce(d.continent, 'unknown') AS continent,
+    coalesce(CASE t.traffic_source WHEN 'direct' THEN 'direct' ELSE t.medium END, 'unknown') AS channel,
+    unnest({_step_list()}) AS one
+  FROM fs LEFT JOIN dev AS d USING (device_id) LEFT JOIN traffic AS t USING (traffic_source_key)
+), steps AS (
+  SELECT CASE grouping(device_category, continent, channel) WHEN 7 THEN 'overall'
+      WHEN 3 THEN 'device_category' WHEN 5 THEN 'continent' ELSE 'channel' END AS segment_type,
+    coalesce(device_category, continent, channel, 'all sessions') AS segment_value,
+    one.step AS step, one.step_sort AS step_sort, count(*) AS segment_sessions,
+    count(*) FILTER (one.hit = 1) AS sessions_reached,
+    count(*) FILTER (one.prior = 1) AS prev_step_sessions,
+    count(*) FILTER (one.hit = 1 AND one.prior = 1) AS reached_from_prev
+  FROM long GROUP BY GROUPING SETS ((one.step, one.step_sort),
+    (one.step, one.step_sort, device_category), (one.step, one.step_sort, continent),
+    (one.step, one.step_sort, channel))
 ), ranked AS (
-  SELECT s.*, o.segment_sessions - s.segment_sessions AS rest_sessions,
-    o.sessions_reached - s.sessions_reached AS rest_reached,
-    CASE s.segment_type WHEN 'overall' THEN 1 WHEN 'device_category' THEN 2
-         WHEN 'continent' THEN 3 WHEN 'channel' THEN 4 END AS segment_type_sort,
-    CAST(CASE WHEN s.segment_type = 'overall' THEN 0 WHEN s.segment_value = 'unknown' THEN 99
-         ELSE dense_rank() OVER (PARTITION BY s.segment_type, s.step
-                                 ORDER BY s.segment_sessions DESC) END AS INTEGER) AS segment_sort
-  FROM steps AS s JOIN steps AS o ON o.segment_type = 'overall' AND o.step = s.step
+  SELECT *, max(segment_sessions) FILTER (segment_type = 'overall') OVER p - segment_sessions
+      AS rest_sessions,
+    max(sessions_reached) FILTER (segment_type = 'overall') OVER p - sessions_reached AS rest_reached,
+    list_position(['overall', 'device_category', 'continent', 'channel'], segment_type)
+      AS segment_type_sort,
+    CAST(CASE WHEN segment_type = 'overall' THEN 0 WHEN segment_value = 'unknown' THEN 99
+         ELSE dense_rank() OVER (PARTITION BY segment_type, step
+                                 ORDER BY segment_sessions DESC) END AS INTEGER) AS segment_sort
+  FROM steps WINDOW p AS (PARTITION BY step)
 ), funnel AS (SELECT {_funnel_columns()} FROM ranked
 ), per_week AS (
-  SELECT CAST(date_trunc('week', session_date) AS DATE) AS week_start,
+  SELECT session_date - CAST(isodow(session_date) - 1 AS INTEGER) AS week_start,
     count(DISTINCT session_date) AS days_in_week, count(*) AS sessions,
-    {", ".join(f"CAST(sum(reached_{s}) AS BIGINT) AS sessions_with_{s}" for s in _WEEK_STEPS)}
-  FROM fs GROUP BY 1
+    {", ".join(f"count(*) FILTER (reached_{s} = 1) AS sessions_with_{s}" for s in _WEEK_STEPS)}
+  FROM fs GROUP BY ALL
 ), weekly AS (
   SELECT week_start, strftime(week_start, '%d %b') AS week_label,
     CAST(row_number() OVER (ORDER BY week_start) AS INTEGER) AS week_sort, days_in_week,
@@ -374,26 +367,24 @@ _REPORTS = f"""labelled AS (
   FROM per_week
 ), named_items AS (SELECT * FROM items WHERE item_name IS NOT NULL
 ), modal AS (
-  SELECT item_name, item_category FROM (
-    SELECT item_name, item_category, count(*) AS n FROM named_items
-    WHERE event_name = 'view_item' AND item_category IS NOT NULL GROUP BY 1, 2)
-  QUALIFY row_number() OVER (PARTITION BY item_name ORDER BY n DESC, item_category) = 1
-), session_category AS (
-  SELECT e.session_id, coalesce(m.item_category, 'unknown') AS item_category,
-    max(CASE WHEN i.event_name = 'view_item' THEN 1 ELSE 0 END) AS viewed,
-    max(CASE WHEN i.event_name = 'add_to_cart' THEN 1 ELSE 0 END) AS carted,
-    max(CASE WHEN i.event_name = 'purchase' THEN 1 ELSE 0 END) AS purchased,
-    sum(CASE WHEN i.event_name = 'purchase' THEN i.quantity ELSE 0 END) AS units,
-    sum(CASE WHEN i.event_name = 'purchase' THEN i.item_revenue_in_usd ELSE 0 END) AS revenue
-  FROM named_items AS i JOIN fe AS e ON i.event_id = e.event_id
-  LEFT JOIN modal AS m ON i.item_name = m.item_name GROUP BY 1, 2
+  SELECT item_name, item_category FROM named_items
+  WHERE event_name = 'view_item' AND item_category IS NOT NULL GROUP BY item_name, item_category
+  QUALIFY row_number() OVER (PARTITION BY item_name ORDER BY count(*) DESC, item_category) = 1
+), visits AS (
+  SELECT session_key, coalesce(modal.item_category, 'unknown') AS item_category,
+    bool_or(event_name = 'view_item') AS v, bool_or(event_name = 'add_to_cart') AS c,
+    bool_or(event_name = 'purchase') AS p,
+    sum(quantity) FILTER (event_name = 'purchase') AS units,
+    sum(item_revenue_in_usd) FILTER (event_name = 'purchase') AS revenue
+  FROM named_items LEFT JOIN modal USING (item_name) GROUP BY ALL
 ), per_category AS (
-  SELECT item_category, CAST(sum(viewed) AS BIGINT) AS sessions_viewed,
-    CAST(sum(viewed * carted) AS BIGINT) AS sessions_viewed_and_carted,
-    CAST(sum(viewed * purchased) AS BIGINT) AS sessions_viewed_and_purchased,
-    CAST(sum(purchased) AS BIGINT) AS sessions_purchased,
-    CAST(sum(units) AS BIGINT) AS units_purchased, sum(revenue) AS item_revenue_in_usd
-  FROM session_category GROUP BY 1
+  SELECT item_category, count(*) FILTER (v) AS sessions_viewed,
+    count(*) FILTER (v AND c) AS sessions_viewed_and_carted,
+    count(*) FILTER (v AND p) AS sessions_viewed_and_purchased,
+    count(*) FILTER (p) AS sessions_purchased,
+    CAST(coalesce(sum(units), 0) AS BIGINT) AS units_purchased,
+    coalesce(sum(revenue), 0.0) AS item_revenue_in_usd
+  FROM visits GROUP BY item_category
 ), product AS (
   SELECT item_category, CAST(CASE WHEN item_category = 'unknown' THEN 999
       ELSE row_number() OVER (ORDER BY sessions_viewed DESC, item_category) END AS INTEGER)
