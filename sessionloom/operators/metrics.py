@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from datetime import date
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -104,6 +105,7 @@ def _fact_totals(
     by: Sequence[str],
     grain: str | None,
     where: Mapping[str, Sequence],
+    days: tuple[date | None, date | None],
 ) -> DataFrame:
     """The parts that belong to one fact, per group.
 
@@ -117,11 +119,16 @@ def _fact_totals(
         raise ValueError(f"no path from {fact} to {', '.join(sorted(unknown))}")
 
     rows = with_derived_dimensions(facts.sessions) if fact == "sessions" else facts.events
-    date = "session_date" if fact == "sessions" else "event_date"
+    day = "session_date" if fact == "sessions" else "event_date"
+    first, last = days
+    if first is not None:
+        rows = rows.where(F.col(day) >= F.lit(first))
+    if last is not None:
+        rows = rows.where(F.col(day) <= F.lit(last))
     if fact == "events" and "spans_multiple_ga_sessions" in dims:
         flags = with_derived_dimensions(facts.sessions).select("session_id", *SESSION_DIMENSIONS)
         # Events of one session are joined as one row.
-        inner = ["session_id", "device_id", "traffic_source_key", date, *EVENT_DIMENSIONS]
+        inner = ["session_id", "device_id", "traffic_source_key", day, *EVENT_DIMENSIONS]
         rows = (
             rows.groupBy(*inner)
             .agg(*[F.sum(F.expr(METRICS[p].value)).alias(p) for p in parts])
@@ -131,7 +138,7 @@ def _fact_totals(
     else:
         values = {p: METRICS[p].value for p in parts if not METRICS[p].distinct}
 
-    time = [_time(date, grain).alias(TIME)] if grain else []
+    time = [_time(day, grain).alias(TIME)] if grain else []
     groups = [TIME] if grain else []
     device_dims = [d for d in dims if d in DEVICE_DIMENSIONS]
     traffic_dims = [d for d in dims if d in TRAFFIC_DIMENSIONS]
@@ -174,11 +181,13 @@ def metric(
     grain: str | None = None,
     where: Mapping[str, Sequence] | None = None,
     spine: DataFrame | None = None,
+    start: date | None = None,
+    end: date | None = None,
 ) -> DataFrame:
     """One row per group (``by`` dimensions and ``metric_time`` at ``grain``), one column per name.
 
     Simple metrics are computed in one pass per fact, ratios from their sums afterwards. ``where``
-    maps a dimension to the values kept. With ``spine`` (a calendar) every period of it appears;
+    maps a dimension to the values kept, ``start`` and ``end`` (inclusive) bound the days read. With ``spine`` (a calendar) every period of it appears;
     that needs a grain and no ``by``.
     """
     if grain is not None and grain not in GRAINS:
@@ -191,7 +200,7 @@ def metric(
     for fact in ("sessions", "events"):
         mine = [p for p in parts if METRICS[p].fact == fact]
         if mine:
-            per_fact.append(_fact_totals(facts, fact, mine, by, grain, where or {}))
+            per_fact.append(_fact_totals(facts, fact, mine, by, grain, where or {}, (start, end)))
     if len(per_fact) == 1:
         joined = per_fact[0]
     else:

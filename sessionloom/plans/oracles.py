@@ -429,6 +429,7 @@ def metric_sql(
     gap: int = DAY,
     where: str = "true",
     spine: bool = False,
+    days: str = "",
 ) -> str:
     parts: list[str] = []
     for name in names:
@@ -454,7 +455,7 @@ def metric_sql(
         return (
             f"SELECT {select} FROM {source} LEFT JOIN dev ON dev.device_id = {fact}.device_id "
             f"LEFT JOIN traffic AS t ON t.traffic_source_key = {fact}.traffic_source_key "
-            f"WHERE {where} {group}"
+            f"WHERE {where} {f'AND {fact}.{date} {days}' if days else ''} {group}"
         )
 
     groups = (["metric_time"] if grain else []) + list(by)
@@ -951,6 +952,12 @@ def oracles() -> dict[str, str]:
             ("spans_multiple_ga_sessions", "campaign"),
             where="(t.medium IN ('organic', 'cpc') OR t.medium IS NULL)",
         ),
+        "metrics_in_window": metric_sql(
+            ["sessions", "events", "begin_checkout_rate", "session_start_rate"],
+            ("spans_multiple_ga_sessions",),
+            "quarter",
+            days=in_window.removeprefix("event_date"),
+        ),
         "metric_events": metric_sql(["events"], ("event_name", "medium"), "month", 1800),
         "dq_failures": _check_sql(),
         "dq_failing_rows": """

@@ -653,6 +653,20 @@ def metrics_by_native_span(spark, folder):
     )
 
 
+@query
+def metrics_in_window(spark, folder):
+    """Rates of two weeks by native-id span and quarter."""
+    first, last = (datetime.strptime(d, "%Y%m%d").date() for d in WINDOW)
+    return metric(
+        facts_of(staged(spark, folder), DAY),
+        ["sessions", "events", "begin_checkout_rate", "session_start_rate"],
+        by=["spans_multiple_ga_sessions"],
+        grain="quarter",
+        start=first,
+        end=last,
+    )
+
+
 @query
 def metric_events(spark, folder):
     """Events by name and the event's own medium, per month."""

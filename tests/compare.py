@@ -47,7 +47,9 @@ def difference(spark, con, folder: str, name: str) -> str | None:
     expected = Counter(tuple(str(r[at[c]]) for c in columns) for r in want.fetchall())
     actual = Counter(tuple(str(r[c]) for c in columns) for r in got.collect())
     if actual == expected:
-        return None
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        pairs = [j for j in ("CartesianProduct", "NestedLoopJoin") if j in plan]
+        return f"the plan forms pairs: {pairs}" if pairs else None
     lost, extra = expected - actual, actual - expected
     show = lambda rows: [dict(zip(columns, r)) for r in list(rows)[:2]]
     return f"{sum(actual.values())}/{sum(expected.values())} rows; missing {show(lost)}; extra {show(extra)}"
