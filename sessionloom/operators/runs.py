@@ -45,7 +45,8 @@ def hot_keys(df: DataFrame, key: str, at: str, policy: HotKeys) -> DataFrame:
         .groupBy(key)
         .agg(
             (F.count(F.lit(1)) * policy.counted_one_in).alias("_rows"),
-            F.min(micros).alias("_lo"),
+            # Never NULL, so that both uses of the list plan it alike and share one evaluation.
+            F.coalesce(F.min(micros), F.lit(0)).alias("_lo"),
             F.max(micros).alias("_hi"),
         )
         .where(F.col("_rows") >= policy.min_rows)
@@ -54,7 +55,9 @@ def hot_keys(df: DataFrame, key: str, at: str, policy: HotKeys) -> DataFrame:
         .select(
             F.col(key).alias("_hot_key"),
             "_lo",
-            F.expr(f"(_hi - _lo) div (1 + _rows div {policy.slice_rows}) + 1").alias("_width"),
+            F.expr(
+                f"coalesce((_hi - _lo) div (1 + _rows div {policy.slice_rows}), 0) + 1"
+            ).alias("_width"),
         )
     )
 
