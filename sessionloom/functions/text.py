@@ -17,7 +17,7 @@ BRACKETED = r"^[(<]([^\n]*)[)>]\z"
 
 
 def clean_lowered(low: Column) -> Column:
-    """clean_string for text that is lower-case already. Uses ``low`` several times: pass a column."""
+    """clean_string for lower-case text. Uses ``low`` several times, so pass a plain column."""
     # Few values open with a bracket; only those pay for the pattern.
     return (
         F.when(~(low.startswith("(") | low.startswith("<")), low)

@@ -1 +1 @@
-"""DataFrame -> DataFrame operators: staging, sessions, items, dimensions, history, metrics, checks."""
+"""DataFrame -> DataFrame operators."""

@@ -253,7 +253,8 @@ def figures(tables: Mapping[str, DataFrame], wanted: Sequence[Figure]) -> DataFr
             .select("f.*")
         )
 
-    return reduce(DataFrame.unionByName, [of_table(n) for n in dict.fromkeys(f.table for f in wanted)])
+    names = dict.fromkeys(f.table for f in wanted)
+    return reduce(DataFrame.unionByName, [of_table(n) for n in names])
 
 
 def drifted(checked: DataFrame) -> DataFrame:

@@ -187,8 +187,8 @@ def metric(
     """One row per group (``by`` dimensions and ``metric_time`` at ``grain``), one column per name.
 
     Simple metrics are computed in one pass per fact, ratios from their sums afterwards. ``where``
-    maps a dimension to the values kept, ``start`` and ``end`` (inclusive) bound the days read. With ``spine`` (a calendar) every period of it appears;
-    that needs a grain and no ``by``.
+    maps a dimension to the values kept; ``start`` and ``end`` (inclusive) bound the days read.
+    With ``spine`` (a calendar) every period of it appears; that needs a grain and no ``by``.
     """
     if grain is not None and grain not in GRAINS:
         raise ValueError(f"grain must be one of {', '.join(GRAINS)}")

@@ -23,17 +23,19 @@ class HotKeys:
 
     Every row is processed whichever keys are cut, so finding them may be approximate: rows are
     counted by one in ``counted_one_in`` of the times, and ``max_keys`` bounds the broadcast list
-    (a key outside it holds less than 1/max_keys of the rows and runs uncut).
+    (a key outside it holds less than 1/max_keys of the rows and runs uncut). Slices are equally
+    long, and far smaller than a task could take, so that a burst in time still fits one. Rows
+    without a key are never cut.
     """
 
     min_rows: int = 1_000_000
-    slice_rows: int = 100_000
+    slice_rows: int = 20_000
     max_keys: int = 10_000
     counted_one_in: int = 64
 
 
 def hot_keys(df: DataFrame, key: str, at: str, policy: HotKeys) -> DataFrame:
-    """At most ``max_keys`` rows (_hot_key, _lo, _width): first time and slice width in microseconds.
+    """At most ``max_keys`` rows (_hot_key, _lo, _width): first time and slice width in µs.
 
     Which rows are counted follows from their time alone, so that every evaluation, also after a
     lost executor, lists the same keys.

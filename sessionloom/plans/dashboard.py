@@ -54,7 +54,8 @@ def peak_and_low(weekly: DataFrame) -> DataFrame:
     week = F.struct("week_start", "week_label", "session_conversion_rate")
     days = F.datediff(w, F.lit("1970-01-01").cast("date"))
     ends = weekly.where(r.isNotNull()).agg(
-        F.min_by(week, F.struct(-r, days)).alias("peak"), F.min_by(week, F.struct(r, days)).alias("low")
+        F.min_by(week, F.struct(-r, days)).alias("peak"),
+        F.min_by(week, F.struct(r, days)).alias("low"),
     )
     both = F.array(
         *[F.struct(F.lit(k).alias("kind"), F.col(k).alias("week")) for k in ("peak", "low")]

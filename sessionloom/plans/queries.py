@@ -158,7 +158,9 @@ def text_cleaning(spark, folder):
             for n, c in TEXT_FIELDS.items()
         ]
     )
-    urls = table(spark, folder, "pages").select(F.lit("url").alias("field"), F.col("url").alias("raw_text"))
+    urls = table(spark, folder, "pages").select(
+        F.lit("url").alias("field"), F.col("url").alias("raw_text")
+    )
     return (
         raw.select(F.explode(fields).alias("f"))
         .select("f.*")
@@ -310,7 +312,8 @@ def stg_events_window(spark, folder):
 def stg_events_shards(spark, folder):
     """The same window from one folder per day."""
     root = work_folder(spark, "shards")
-    overwrite_partitions(raw_export(spark, folder).withColumn("shard", F.col("event_date")), root, "shard")
+    raw = raw_export(spark, folder).withColumn("shard", F.col("event_date"))
+    overwrite_partitions(raw, root, "shard")
     events = stage_events(read_sharded_export(spark, root, *WINDOW, prefix="shard="))
     return events.groupBy("event_date").agg(F.count(F.lit(1)).alias("n_events"))
 
@@ -878,8 +881,9 @@ def streamed_sessions(spark, folder):
 
     events.where(F.col("event_date") < cut).write.parquet(f"{root}/in")
     run()
+    later = F.col("time_stamp") + F.expr("interval 2 days")
     closing = events.orderBy(F.desc("time_stamp")).limit(1).withColumns(
-        {"device_id": F.lit("closing"), "time_stamp": F.col("time_stamp") + F.expr("interval 2 days")}
+        {"device_id": F.lit("closing"), "time_stamp": later}
     )
     late = events.where(F.col("event_date") >= cut).unionByName(closing)
     late.write.mode("append").parquet(f"{root}/in")

@@ -30,7 +30,7 @@ def _flag(condition: Column) -> Column:
 
 
 def step_totals(sessions: DataFrame, *by: str) -> DataFrame:
-    """Additive funnel totals: sessions, sessions per step, sessions with a step and the one before."""
+    """Additive funnel totals: sessions, per step those reaching it, and it and the one before."""
     joint = [
         F.sum(F.col(FLAGS[before]) * F.col(FLAGS[step])).alias(f"joint_{step}")
         for before, step in zip(REPORT_STEPS[1:], REPORT_STEPS[2:])
@@ -47,7 +47,7 @@ def _add_up(totals: DataFrame, *by: str) -> DataFrame:
 
 
 def channel() -> Column:
-    """'direct' where the source is direct, 'unknown' where the medium is missing, else the medium."""
+    """The medium; 'direct' where the source is direct, 'unknown' where there is no medium."""
     return (
         F.when(F.col("traffic_source") == "direct", "direct")
         .when(F.col("medium").isNull(), UNKNOWN)

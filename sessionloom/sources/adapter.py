@@ -139,7 +139,7 @@ def _pick(values: tuple[str, ...], index: str) -> str:
 
 
 def raw_export(spark: SparkSession, folder: str, with_items: bool = False) -> DataFrame:
-    """The export over all of ``events``. Without items the arrays are NULL and parts stay unread."""
+    """The export over all of ``events``. Without items, arrays are NULL and parts stay unread."""
     events = source_events(spark, folder)
     full = _with_places(spark, folder, events)
     if with_items:

@@ -52,7 +52,8 @@ def difference(spark, con, folder: str, name: str) -> str | None:
         return f"the plan forms pairs: {pairs}" if pairs else None
     lost, extra = expected - actual, actual - expected
     show = lambda rows: [dict(zip(columns, r)) for r in list(rows)[:2]]
-    return f"{sum(actual.values())}/{sum(expected.values())} rows; missing {show(lost)}; extra {show(extra)}"
+    counts = f"{sum(actual.values())}/{sum(expected.values())} rows"
+    return f"{counts}; missing {show(lost)}; extra {show(extra)}"
 
 
 def main() -> None:
@@ -71,7 +72,7 @@ def main() -> None:
         except Exception as e:  # report and go on
             problem = f"{type(e).__name__}: {str(e)[:600]}"
         bad += problem is not None
-        print(f"{name}: {'ok' if problem is None else problem} ({time.time() - started:.1f}s)", flush=True)
+        print(f"{name}: {problem or 'ok'} ({time.time() - started:.1f}s)", flush=True)
     print(f"{len(names) - bad}/{len(names)} equal")
 
 

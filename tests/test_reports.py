@@ -26,8 +26,8 @@ def session_rows(spark, rows):
         (str(n), d, day, f"k{d}", *[int(s in steps) for s in FUNNEL_EVENTS])
         for n, (d, day, steps) in enumerate(rows)
     ]
-    schema = f"session_id string, device_id string, session_date date, traffic_source_key string, {flags}"
-    return spark.createDataFrame(data, schema)
+    schema = "session_id string, device_id string, session_date date, traffic_source_key string"
+    return spark.createDataFrame(data, f"{schema}, {flags}")
 
 
 def dims(spark, devices, channels):

@@ -99,12 +99,14 @@ def as_set(df, *columns):
 def test_sliced_sessions_equal_plain_ones(spark, policy, gap):
     df = with_missing_times(random_events(spark))
     columns = ["event_name", "device_id", "is_new_session", "session_num", "mins_since_prev"]
-    assert as_set(sessionise(df, gap, policy), *columns) == as_set(plain_sessions(df, gap), *columns)
+    got, want = sessionise(df, gap, policy), plain_sessions(df, gap)
+    assert as_set(got, *columns) == as_set(want, *columns)
 
 
 def test_hot_keys_are_bounded_and_sliced(spark):
     df = random_events(spark)
-    listed = hot_keys(df, "device_id", "time_stamp", HotKeys(1, 4, max_keys=5, counted_one_in=1)).collect()
+    policy = HotKeys(1, 4, max_keys=5, counted_one_in=1)
+    listed = hot_keys(df, "device_id", "time_stamp", policy).collect()
     assert len(listed) == 5 and listed[0]["_hot_key"] == "hot"
     assert hot_keys(df, "device_id", "time_stamp", HotKeys()).count() == 0
 
@@ -166,7 +168,8 @@ def test_asof_upper_bound_is_excluded(spark):
         "device_id string, at timestamp",
     )
     got = asof_join(facts, versions, "device_id", "at", ["version_num"])
-    found = {(r.device_id, int((r["at"] - T0).total_seconds())): r.version_num for r in got.collect()}
+    second = lambda r: int((r["at"] - T0).total_seconds())
+    found = {(r.device_id, second(r)): r.version_num for r in got.collect()}
     assert found == {
         ("a", -1): None, ("a", 0): 1, ("a", 4): 1, ("a", 5): None, ("a", 9): 2, ("a", 12): None,
         ("b", 0): None,
