@@ -37,11 +37,15 @@ EVENT_DIMENSIONS = ("event_name",)
 
 @dataclass(frozen=True)
 class Simple:
-    """A sum over rows of a fact. ``distinct`` counts distinct devices instead."""
+    """A sum over rows of a fact. ``distinct`` counts distinct devices instead.
+
+    A ``count`` is 0, not NULL, over no rows at all.
+    """
 
     fact: str
     value: str = ""
     distinct: bool = False
+    count: bool = False
 
 
 @dataclass(frozen=True)
@@ -52,13 +56,13 @@ class Ratio:
 
 def _catalogue() -> dict[str, Simple | Ratio]:
     metrics: dict[str, Simple | Ratio] = {
-        "sessions": Simple("sessions", "cast(session_id is not null as int)"),
+        "sessions": Simple("sessions", "cast(session_id is not null as int)", count=True),
         "devices": Simple("sessions", distinct=True),
         "session_events_total": Simple("sessions", "event_count"),
         "session_duration_min_total": Simple(
             "sessions", "timestampdiff(SECOND, session_start, session_end) / 60D"
         ),
-        "events": Simple("events", "cast(event_id is not null as int)"),
+        "events": Simple("events", "cast(event_id is not null as int)", count=True),
         "events_per_session": Ratio("session_events_total", "sessions"),
         "avg_session_duration_min": Ratio("session_duration_min_total", "sessions"),
     }
@@ -168,8 +172,9 @@ def _fact_totals(
     for dim, accepted in where.items():
         wanted = F.col(dim).isin([v for v in accepted if v is not None])
         totals = totals.where(wanted | F.col(dim).isNull() if None in accepted else wanted)
+    sums = {p: F.coalesce(F.sum(p), F.lit(0)) if METRICS[p].count else F.sum(p) for p in values}
     return totals.groupBy(*groups, *by).agg(
-        *[F.sum(p).alias(p) for p in values],
+        *[total.alias(p) for p, total in sums.items()],
         *[F.countDistinct("device_id").alias(p) for p in distinct],
     )
 

@@ -180,3 +180,11 @@ def test_metric_arguments(spark, folder):
         metric(facts, ["sessions"], by=["event_name"])
     with pytest.raises(ValueError):
         metric(facts, ["sessions"], grain="hour")
+
+
+def test_metrics_over_no_rows(spark, folder):
+    events = staged(spark, folder)
+    facts = Facts(rolled(events).where("false"), events, events, events)
+    got = metric(facts, ["sessions", "devices", "sessions_with_purchase", "view_item_rate"])
+    assert [tuple(r) for r in got.collect()] == [(0, 0, None, None)]
+    assert metric(facts, ["sessions"], grain="day").count() == 0
