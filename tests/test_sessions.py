@@ -103,6 +103,40 @@ def test_sliced_sessions_equal_plain_ones(spark, policy, gap):
     assert as_set(got, *columns) == as_set(want, *columns)
 
 
+def brute_force(rows, gap):
+    """Sessions, versions and their numbers by walking each device's events in order."""
+    found = {}
+    for device in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == device), key=lambda r: (r[1], r[2], r[3]))
+        session = version = 0
+        before = None
+        for r in mine:
+            session += before is None or int(r[1] - before[1]) > gap
+            version += before is None or r[4] != before[4]
+            found[r[3]] = (session, version)
+            before = r
+    return found
+
+
+@pytest.mark.parametrize("policy", [HotKeys(), SLICED])
+def test_against_brute_force(spark, policy):
+    rng = random.Random(7)
+    rows = [
+        (rng.choice("aaabcd"), rng.randrange(60_000), str(rng.randrange(9)), f"e{i}",
+         rng.choice("xyz"))
+        for i in range(600)
+    ]
+    df = events(spark, rows)
+    want = brute_force(rows, 600)
+    sessions = {r.event_name: r.session_num for r in sessionise(df, 600, policy).collect()}
+    assert sessions == {name: n for name, (n, _) in want.items()}
+    last_versions = {}
+    for device, *_, name, _ in rows:
+        last_versions[device] = max(last_versions.get(device, 0), want[name][1])
+    history = attribution_history(df, policy).groupBy("device_id").agg(F.max("version_num"))
+    assert {r[0]: r[1] for r in history.collect()} == last_versions
+
+
 def test_hot_keys_are_bounded_and_sliced(spark):
     df = random_events(spark)
     policy = HotKeys(1, 4, max_keys=5, counted_one_in=1)
