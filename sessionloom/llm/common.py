@@ -10,6 +10,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 _ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -19,7 +20,7 @@ NULL_ID = -(2**63)
 Batches = Iterator[pa.RecordBatch]
 
 
-def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema: str | StructType) -> DataFrame:
     """mapInArrow whose Python workers can import this package where it isn't installed."""
     env = df.sparkSession.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
