@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -29,20 +31,34 @@ def map_batches(df: DataFrame, fn: Callable[[Batches], Batches], schema: str | S
     return df.mapInArrow(fn, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a checkpoint in the shared folder that spark.checkpoint.dir names.
+def cut_folder(spark: SparkSession) -> None:
+    """Sees to a checkpoint folder.
 
-    Spark itself reads that setting at its start. Only a local session without one gets a
+    Spark itself reads spark.checkpoint.dir at its start. Only a local session without one gets a
     folder of its own; on a cluster that would be lost with its machine, so it is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a checkpoint in the shared folder that spark.checkpoint.dir names."""
+    cut_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the checkpoint folder of this application, which all executors share.
+
+    It is Spark's own subfolder of spark.checkpoint.dir and goes when that is cleared.
+    """
+    cut_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -75,10 +91,10 @@ def raw(column: pa.Array) -> list[bytes]:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of about limit bytes of text (one row may hold more)."""
-    sizes = [len(x) if x else 0 for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
+    sizes = pc.binary_length(batch.column(column)).to_pylist()
     start = total = 0
     for i, size in enumerate(sizes):
-        total += size
+        total += size or 0
         if total >= limit:
             yield batch.slice(start, i + 1 - start)
             start, total = i + 1, 0

@@ -6,10 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bpe, chat, decontaminate, html, quality, simhash, urls
-from sessionloom.llm.common import read
+from sessionloom.llm import bpe, chat, dac, decontaminate, html, quality, simhash, suffix, urls
+from sessionloom.llm.common import read, shared_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The id after each document in token files.
+END = 2
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,4 +50,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_html, op4_quality, op5_chat, op6_url_filter, op7_byte_bpe)}
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark, "tokens")
+    dac.write(read(spark, sf_dir, "documents"), folder, TOKENIZER, END)
+    return dac.read_back(spark, folder)
+
+
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeat_report(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_html, op4_quality, op5_chat, op6_url_filter, op7_byte_bpe, op8_token_files, op9_repeated_passages)}
