@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bpe, chat, dac, decontaminate, html, quality, simhash, suffix, urls
+from sessionloom.llm import bpe, chat, dac, decontaminate, html, lines, quality, simhash, suffix, urls
 from sessionloom.llm.common import read, shared_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,4 +60,8 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeat_report(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_html, op4_quality, op5_chat, op6_url_filter, op7_byte_bpe, op8_token_files, op9_repeated_passages)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_html, op4_quality, op5_chat, op6_url_filter, op7_byte_bpe, op8_token_files, op9_repeated_passages, op10_line_dedup)}
