@@ -2,16 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from sessionloom.llm import bpe, decontaminate, lines, quality, simhash
+from sessionloom.llm.common import read, with_texts
 
-#: Cutoffs are fitted and tokens made by a library, which SQL can't express.
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or a certified cutoff go."""
+    return quality.keep_good(docs, read(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that stand earlier, equal or nearly so, go out of the texts; no document goes."""
+    return with_texts(docs, lines.dedup_lines(docs).select("doc_id", "text"))
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one of the smallest doc_id."""
+    return simhash.first_of_groups(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of benchmark phrases are cut out of the texts; no document goes."""
+    return with_texts(docs, decontaminate.without_benchmark(docs, read(spark, sf_dir, "benchmark")))
+
+
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Tokens of what is left, as counts and digests, read back from the decoded bytes too."""
+    return bpe.token_digests(docs, RANKS, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", simhash_near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("byte-level BPE", byte_level_bpe),
+]
+
+#: Cutoffs are certified and tokens made by libraries, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the documents that the stages leave."""
+    docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -100,3 +100,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
             start, total = i + 1, 0
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def with_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """docs with the texts (doc_id, text) of an operator and, where there is one, n_chars to match.
+
+    texts has NULL_ID where the id is NULL. Other columns come along without the old texts; of a
+    repeated doc_id the least row of them stands for the document, as does one text.
+    """
+    names = docs.columns
+    rest = [c for c in names if c not in ("doc_id", "text", "n_chars")]
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
+    own = own.groupBy("_id").agg(F.min("_rest").alias("_rest"))
+    joined = own.join(texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "_id")
+    kinds = dict(docs.dtypes)
+    made = {
+        "doc_id": shown_id("_id").cast(kinds["doc_id"]).alias("doc_id"),
+        "text": F.col("_text").alias("text"),
+        "n_chars": F.length("_text").cast(kinds.get("n_chars", "long")).alias("n_chars"),
+    }
+    return joined.select(*(made.get(c, F.col(f"_rest.`{c}`").alias(c)) for c in names))

@@ -337,8 +337,10 @@ def _without(batches: Batches) -> Batches:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, text) with every span of benchmark words cut out of the texts; no document goes."""
+    """(doc_id, text) with every span of benchmark words cut out of the texts; no document goes.
+
+    doc_id is NULL_ID where it is NULL.
+    """
     hits = contamination(docs, benchmark).where("n_hit > 0").select("doc_id", "spans")
     joined = one_row_per_id(docs).join(hits, "doc_id", "left")
-    cut_out = map_batches(joined, _without, f"doc_id long, text string, spans {SPANS}")
-    return cut_out.select(shown_id(), "text")
+    return map_batches(joined, _without, f"doc_id long, text string, spans {SPANS}").select("doc_id", "text")

@@ -1,13 +1,14 @@
 """Quality rules whose cutoffs are certified on labelled documents.
 
 Each rule rejects a document if a ratio exceeds a cutoff of its stratum (its language). Labelled
-documents are split by a hash of their id. One half proposes: the cutoff that rejects most bad
-documents at little cost in good ones, and of equals the largest. The other half, the holdout,
-certifies: beginning at the safest candidate and going down to the proposal, each cutoff must
-have an exact binomial (Clopper-Pearson) upper bound on its share of rejected good documents that
-is at most the rule's part of the limit. The walk ends at the first that fails, so a fixed
-sequence needs no further correction; rules and strata are corrected for by Bonferroni. With
-probability 1 - DELTA, in every stratum at most LIMIT of good documents are rejected by the rules.
+documents are split by a hash of their id. One half proposes: for each rule the cutoff that rejects
+most bad documents at little cost in good ones, and of equals the largest. The other half, the
+holdout, certifies all rules of a stratum together: beginning many steps above the proposals and
+going down to them, each set of cutoffs must have an exact binomial (Clopper-Pearson) upper bound
+on its share of rejected good documents that is at most LIMIT. The walk ends at the first set that
+fails; such a fixed sequence of tests needs no further correction, and strata are corrected for by
+Bonferroni. So with probability 1 - DELTA, in no stratum more than LIMIT of good documents are
+rejected by the rules.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import types as T
 from sessionloom.llm.common import Batches, cut, map_batches
 
 #: Largest share of good documents that all rules together may reject in a stratum.
-LIMIT = 0.05
+LIMIT = 0.02
 #: Probability that the guarantee fails in any stratum.
 DELTA = 0.05
 #: A wrongly rejected good document of the proposing half weighs as many caught bad ones.
 COST = 20
 #: A stratum with fewer labelled good documents in either half is calibrated with all such strata together.
-LEAST_LABELLED = 300
+LEAST_LABELLED = 250
 POOLED = "\x00pooled"
 
 MIN_WORDS = 50
@@ -145,18 +146,24 @@ def upper_bound(errors: int, n: int, delta: float) -> float:
     return high
 
 
-def choose(propose_good: list[int], propose_bad: list[int], holdout_good: list[int], n_holdout: int, limit: float, delta: float) -> int | None:
-    """Index of the certified cutoff in GRID, or None. Each list: documents over each cutoff."""
-    gain = [b - COST * g for b, g in zip(propose_bad, propose_good)]
-    if not gain or max(gain) <= 0 or n_holdout == 0:
-        return None
-    proposal = max(i for i, x in enumerate(gain) if x == max(gain))
-    certified = None
-    for i in range(len(GRID) - 1, proposal - 1, -1):
-        if upper_bound(holdout_good[i], n_holdout, delta) > limit:
+def propose(good: list[int], bad: list[int]) -> int | None:
+    """Index in GRID of a rule's proposed cutoff, or None. Each list: documents over each cutoff."""
+    gain = [b - COST * g for b, g in zip(bad, good)]
+    return max(i for i, x in enumerate(gain) if x == max(gain)) if max(gain, default=0) > 0 else None
+
+
+def certify(levels: dict[int, int], limit: float, delta: float) -> int | None:
+    """The smallest certified step from the proposals, or None.
+
+    levels counts the holdout's good documents by level; a document is rejected at all steps
+    below its level. The walk goes from the safest step down and ends at the first that fails.
+    """
+    n, certified = sum(levels.values()), None
+    for step in range(len(GRID) - 1, -1, -1):
+        if upper_bound(sum(c for level, c in levels.items() if level > step), n, delta) > limit:
             break
-        certified = i
-    return certified
+        certified = step
+    return certified if n else None
 
 
 def _ratio(rule: str, numbers: dict[str, Column] | None = None) -> Column:
@@ -164,41 +171,50 @@ def _ratio(rule: str, numbers: dict[str, Column] | None = None) -> Column:
     return F.when(under > 0, over / under).otherwise(0.0)
 
 
+def _bucket(rule: str) -> Column:
+    """How many cutoffs of GRID the rule's ratio is over."""
+    return F.size(F.filter(F.array(*map(F.lit, GRID)), lambda g: _ratio(rule) > g))
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame) -> dict[str, dict[str, float]]:
     """Per stratum, the certified cutoff of each rule; rules without one are absent.
 
     measured is the result of measures; labels has doc_id and quality (1 good, 0 bad). A document
     that is labelled twice alike counts once, one labelled both ways not at all, NULL labels and ids
-    neither. Documents that fail the base rules aren't used: the rules judge what is left. Counts of
-    all labelled documents are summed in Spark; a row per stratum, rule and cutoff comes back.
+    neither. Documents that fail the base rules aren't used: the rules judge what is left. All
+    labelled documents are counted in Spark; sums per stratum, rule and cutoff come back.
     """
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
+    good = (F.col("quality") > 0).alias("good")
+    buckets = F.array(*map(_bucket, RULES)).alias("buckets")
     joined = measured.where(~base_failed()).join(own.where("quality = most").select("doc_id", "quality"), "doc_id")
-    over = F.array(*(F.array(*(F.sum((_ratio(r) > t).cast("long")) for t in GRID)) for r in RULES))
-    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
-    rows = joined.groupBy("lang", half.alias("half"), (F.col("quality") > 0).alias("good")).agg(F.count("*").alias("n"), over.alias("over")).collect()
-
-    empty = np.zeros((len(RULES), len(GRID)), np.int64)
-    table: dict[str, dict[tuple[int, bool], tuple[int, np.ndarray]]] = {}
-    for r in rows:
-        table.setdefault(r.lang, {})[r.half, r.good] = (r.n, np.array(r.over, np.int64))
-    small = [s for s, t in table.items() if min(t.get((h, True), (0,))[0] for h in (0, 1)) < LEAST_LABELLED]
-    pooled: dict[tuple[int, bool], tuple[int, np.ndarray]] = {}
-    for s in small:
-        for k, (n, counted) in table.pop(s).items():
-            before = pooled.get(k, (0, empty))
-            pooled[k] = (before[0] + n, before[1] + counted)
-    if pooled:
-        table[POOLED] = pooled
-    out: dict[str, dict[str, float]] = {POOLED: {}}
-    for stratum, t in table.items():
-        at = lambda half, good: t.get((half, good), (0, empty))
-        out[stratum] = {}
-        for i, rule in enumerate(RULES):
-            limit, delta = LIMIT / len(RULES), DELTA / (len(RULES) * len(table))
-            j = choose(at(0, True)[1][i].tolist(), at(0, False)[1][i].tolist(), at(1, True)[1][i].tolist(), at(1, True)[0], limit, delta)
-            if j is not None:
-                out[stratum][rule] = GRID[j]
+    labelled = cut(joined.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), good, buckets))
+
+    sizes = {(r.lang, r.half): r["count"] for r in labelled.where("good").groupBy("lang", "half").count().collect()}
+    strata = [s for s, _ in sizes if all(sizes.get((s, h), 0) >= LEAST_LABELLED for h in (0, 1))]
+    stratum = F.when(F.col("lang").isin(sorted(set(strata))), F.col("lang")).otherwise(POOLED).alias("stratum")
+    counted = labelled.where("half = 0").select(stratum, "good", F.posexplode("buckets").alias("rule", "bucket")).groupBy("stratum", "good", "rule", "bucket").count().collect()
+    over: dict[tuple[str, bool, int], np.ndarray] = {}
+    for r in counted:
+        at = over.setdefault((r.stratum, r.good, r.rule), np.zeros(len(GRID), np.int64))
+        at[: r.bucket] += r["count"]
+    names, empty = [*sorted(set(strata)), POOLED], np.zeros(len(GRID), np.int64)
+    proposals = {
+        s: [propose(over.get((s, True, i), empty).tolist(), over.get((s, False, i), empty).tolist()) for i in range(len(RULES))] for s in names
+    }
+
+    never = len(GRID) + 1  # a rule without a proposal rejects at no step
+    table = [(s, [never if x is None else x for x in p]) for s, p in proposals.items()]
+    start = labelled.sparkSession.createDataFrame(table, "stratum string, start array<int>")
+    level = F.array_max(F.zip_with("buckets", "start", lambda b, p: F.greatest(b - p, F.lit(0)))).alias("level")
+    held = labelled.where("half = 1 and good").select(stratum, "buckets").join(start, "stratum").select("stratum", level)
+    levels: dict[str, dict[int, int]] = {}
+    for r in held.groupBy("stratum", "level").count().collect():
+        levels.setdefault(r.stratum, {})[r.level] = r["count"]
+    out: dict[str, dict[str, float]] = {}
+    for s, p in proposals.items():
+        step = certify(levels.get(s, {}), LIMIT, DELTA / len(names))
+        out[s] = {} if step is None else {rule: GRID[x + step] for rule, x in zip(RULES, p) if x is not None and x + step < len(GRID)}
     return out
 
 
@@ -233,7 +249,7 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that judge keeps, with all their columns and without a shuffle of texts."""
-    limits = cutoffs(measures(docs), labels)
+    limits = cutoffs(cut(measures(docs)), labels)
     numbers = {c: F.col(f"{MEASURED}.{c}") for c in COLUMNS}
     bad = base_failed(numbers) | rejected(limits, numbers, F.coalesce(F.col("lang").cast("string"), F.lit("")))
     return with_measures(docs).where(~bad).drop(MEASURED)

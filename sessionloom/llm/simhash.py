@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import Batches, cut, map_batches, one_row_per_id, raw, shown_id
+from sessionloom.llm.common import NULL_ID, Batches, cut, map_batches, one_row_per_id, raw, shown_id
 from sessionloom.llm.components import components
 
 SEED = 42
@@ -233,3 +233,17 @@ def near_duplicate_ids(docs: DataFrame, width: int = 3, bits: int = MAX_BITS) ->
     return near_duplicates(docs, width, bits).select(
         shown_id(), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), shown_id("component_id")
     )
+
+
+def first_of_groups(docs: DataFrame, width: int = 3, bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, with all their columns, that are the first of their group of near-duplicates.
+
+    Of rows that repeat a doc_id, the one with the least text stays.
+    """
+    groups = near_duplicates(docs, width, bits)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    left = own.join(gone, "_id", "left_anti")
+    if left.groupBy("_id").count().where("count > 1").limit(1).count():
+        left = left.groupBy("_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), *[c for c in docs.columns if c != "text"])).alias("_row")).select("_row.*", "_id")
+    return left.drop("_id")
