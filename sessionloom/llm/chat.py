@@ -7,9 +7,9 @@ The grammar of a formatted conversation (a concatenation of turns; the opening s
     assistant  " " text " </s>"
     any other  "[ROLE " name "] " text " [/ROLE]"
 
-A turn's text ends at the first closing string of its kind. Texts may hold the control strings
-themselves, so every turn is rendered, parsed again and compared with its source; while that
-differs, the text is escaped. Escaping puts a backslash after the first character of each control
+A turn's text ends at the first closing string of its kind and holds no control string. Sources may
+hold them, so every turn is rendered, parsed again and compared with its source; while that fails
+or differs, the text is escaped. Escaping puts a backslash after the first character of each control
 string, and one more where backslashes are already there; unescaping takes one away, so nothing is
 lost. Turns are rendered one by one, so a conversation of any length needs no more memory.
 """
@@ -31,6 +31,7 @@ OPENING = {"system": "<<SYS>>\n", "user": "<s>[INST] ", "assistant": " "}
 CLOSING = {"system": "\n<</SYS>>\n\n", "user": " [/INST]", "assistant": " </s>"}
 OTHER_OPENING, OTHER_NAME_END, OTHER_CLOSING = "[ROLE ", "] ", " [/ROLE]"
 
+_CONTROL = re.compile("|".join(map(re.escape, CONTROL)))
 _ESCAPE = re.compile("|".join(rf"{re.escape(x[0])}\\*{re.escape(x[1:])}" for x in CONTROL))
 _UNESCAPE = re.compile("|".join(rf"{re.escape(x[0])}\\+{re.escape(x[1:])}" for x in CONTROL))
 
@@ -60,7 +61,10 @@ def _render(role: str, text: str) -> tuple[str, int]:
 
 
 def parse(formatted: str, at: int = 0) -> tuple[str, str, int, int, int]:
-    """The turn at a place: role, unescaped text, begin and end of the text, end of the turn."""
+    """The turn at a place: role, unescaped text, begin and end of the text, end of the turn.
+
+    Anything outside the grammar is a ValueError.
+    """
     for role in ("system", "user", "assistant"):
         if formatted.startswith(OPENING[role], at):
             begin, closing = at + len(OPENING[role]), CLOSING[role]
@@ -76,6 +80,8 @@ def parse(formatted: str, at: int = 0) -> tuple[str, str, int, int, int]:
     end = formatted.find(closing, begin)
     if end < 0:
         raise ValueError(f"the turn at {at} does not end")
+    if _CONTROL.search(formatted, begin, end):
+        raise ValueError(f"a control string in the text at {begin}")
     return role, unescape(formatted[begin:end]), begin, end, end + len(closing)
 
 
