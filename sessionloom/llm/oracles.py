@@ -1,3 +1,86 @@
-"""Expected results of the queries that SQL can express, for DuckDB over the given tables."""
+"""Expected results of the queries that SQL can express, for DuckDB over the given tables.
 
-ORACLES: dict[str, str] = {}
+The others have no SQL: XXH64 with a seed (op2), learned scores and cutoffs (op3, op4, op6) and
+tokenizers (op7, op8, pipeline); tests/llm holds them against brute force instead.
+"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _words(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+OP1 = f"""
+WITH d AS (SELECT doc_id, {_words("text")} AS w FROM documents),
+i AS (SELECT item_id, {_words("text")} AS w FROM benchmark),
+phrase AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(w[pos:pos + least(10, len(w)) - 1], ' ') AS p
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS pos FROM i WHERE len(w) > 0)),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS pos, len(w) AS size FROM d WHERE len(w) > 0),
+place AS (
+  SELECT doc_id, pos, n, size, string_agg(x, ' ') OVER (PARTITION BY doc_id, n ORDER BY pos ROWS BETWEEN CURRENT ROW AND n - 1 FOLLOWING) AS p
+  FROM word, (SELECT DISTINCT n FROM phrase) AS sizes),
+found AS (SELECT DISTINCT doc_id, pos, n, item_id FROM place JOIN phrase USING (n, p) WHERE pos + n - 1 <= size),
+hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + n)) AS x FROM found) GROUP BY 1),
+own AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM found GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+OP5 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+f AS (
+  SELECT *, CASE role WHEN 'system' THEN 8 + 11 WHEN 'user' THEN 10 + 8 WHEN 'assistant' THEN 1 + 5 ELSE 6 + length(role) + 2 + 8 END AS around,
+    len(regexp_extract_all(text, '<\\*(s>|/s>|<SYS>>|</SYS>>)|\[\\*(INST\]|/INST\]|ROLE |/ROLE\])')) AS escaped
+  FROM t)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(around + length(text) + escaped)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
+OP9 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, pos, md5(substr(h, 2 * pos + 1, 200)) AS m FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS pos FROM d)),
+again AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY m ORDER BY doc_id, pos) AS n FROM w) WHERE n > 1),
+run AS (
+  SELECT doc_id, min(pos) AS a, max(pos) + 100 AS b
+  FROM (SELECT doc_id, pos, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS r
+        FROM (SELECT doc_id, pos, if(pos <= lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 100, 0, 1) AS new FROM again))
+  GROUP BY doc_id, r),
+cut AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM run),
+kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS k
+  FROM cut JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+OP10 = """
+WITH l AS (
+  SELECT doc_id, text, generate_subscripts(ls, 1) - 1 AS pos, unnest(ls) AS line
+  FROM (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+f AS (SELECT line, min({'d': doc_id, 'a': pos}) AS p, length(line) AS n FROM l WHERE length(line) >= 40 GROUP BY line),
+near AS (
+  SELECT DISTINCT x.line FROM f AS x JOIN (SELECT *, n + unnest([-2, -1, 0, 1, 2]) AS m FROM f) AS y
+  ON x.n = y.m AND y.p < x.p AND levenshtein(x.line, y.line) <= 2),
+kept AS (
+  SELECT l.doc_id, l.pos, l.line FROM l LEFT JOIN f ON l.line = f.line AND l.doc_id = f.p.d AND l.pos = f.p.a LEFT JOIN near ON l.line = near.line
+  WHERE length(l.line) < 40 OR (f.line IS NOT NULL AND near.line IS NULL)),
+rest AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS t, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT doc_id, n_lines::BIGINT AS n_lines, (n_lines - coalesce(n, 0))::BIGINT AS n_removed, length(coalesce(t, ''))::BIGINT AS n_chars, sha256(coalesce(t, '')) AS kept_sha256
+FROM (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id) LEFT JOIN rest USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": OP1,
+    "op5_chat": OP5,
+    "op9_repeated_passages": OP9,
+    "op10_line_dedup": OP10,
+}
