@@ -1,7 +1,7 @@
 """Main text of web pages by the maximum-scoring run of words and tags.
 
 A page is a sequence of words and tags. Words outside menus, notices, forms and the like have
-positive scores, tags negative ones; the contiguous run with the largest sum, found in one linear
+positive scores, tags negative ones (what is inside those elements counts nothing and goes); the contiguous run with the largest sum, found in one linear
 scan, is the content region. The scores are learned from labelled pages: those whose own markup
 names the content (article, main, or itemprop="articleBody"), where a token's score is the log of
 how much likelier it is inside than outside. Pages without such markup are scored by the same weights.
@@ -23,8 +23,8 @@ from sessionloom.llm.common import Batches, map_batches, slices
 #: Labelled pages that the scores are learned from, about: a documented bound, drawn by a hash.
 TRAINING_PAGES = 2000
 BATCH_BYTES = 8 << 20
-#: No tag counts for more words than this: pages that differ from the labelled ones keep a chance.
-LEAST = -4.0
+#: The least score of a tag: a list or table in the content of a page unlike the labelled ones keeps a chance.
+LEAST = -2.0
 
 # Elements of HTML by their role.
 RAW_TEXT = ("script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "noframes")
@@ -153,7 +153,7 @@ def main_text(page: str, score: dict[str, float]) -> str:
             n = 0 if beside else len(html.unescape(text).split()) if "&" in text else len(text.split())
             scores.append(n * score["#text"])
         else:
-            scores.append(score.get(kind, UNSEEN))
+            scores.append(0.0 if beside else score.get(kind, UNSEEN))  # what is left out doesn't part the rest
     start, end = best_run(scores)
     blocks, block = [], []
     for kind, text, beside, _ in seen[start:end]:
