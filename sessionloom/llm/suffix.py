@@ -30,7 +30,7 @@ K = 24
 #: Text that is searched for anchors at once; longer texts are searched in pieces that overlap.
 PIECE_BYTES = 4 << 20
 #: Strings of a block whose transform is built together.
-BLOCK_STRINGS = 4096
+BLOCK_STRINGS = 8192
 #: Stretches under one anchor from which its windows are dealt out by two more anchors.
 HOT = 20_000
 
@@ -262,87 +262,103 @@ def _as_batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 class CollectionTransform:
     """Burrows-Wheeler transform and common prefixes of a collection of strings.
 
-    Symbols are bytes plus 1; 0 ends a string, ends sort by the strings' numbers. Both sequences
-    lie in files of a folder between rounds. Common prefixes are capped by 255, the end not counted.
+    Symbols are the ranks of the bytes that occur, from 1; 0 ends a string, and ends sort by the
+    strings' numbers. Both sequences lie in files of a folder between rounds. Common prefixes are
+    capped by 255, the end not counted.
     """
 
     def __init__(self, strings: list[bytes], folder: str):
-        self.n, self.folder = len(strings), folder
+        self.n = len(strings)
         self.lengths = np.array([len(s) for s in strings], np.int64)
-        self.flat = np.frombuffer(b"".join(strings), np.uint8)
-        self.tops = np.cumsum(self.lengths)  # where each string ends in flat
-        first = np.where(self.lengths > 0, self.flat[np.maximum(self.tops - 1, 0)] + np.uint8(1), np.uint8(0)) if len(self.flat) else np.zeros(self.n, np.uint8)
-        self._store(first.astype(np.uint8), np.zeros(self.n, np.uint8))
-        active = np.flatnonzero(self.lengths > 0)
-        rows, depth = active.copy(), 1
-        while len(active):
-            rows, order = self._round(active, rows, depth)
-            on = self.lengths[active] > depth
-            active, rows, depth = active[on], rows[on], depth + 1
+        flat = np.frombuffer(b"".join(strings), np.uint8)
+        self.bytes = np.flatnonzero(np.bincount(flat, minlength=256))
+        code = np.zeros(256, np.uint8)
+        code[self.bytes] = np.arange(1, len(self.bytes) + 1)
+        self.symbols = code[flat]
+        self.tops = np.cumsum(self.lengths)  # where each string ends in symbols
+        self.size = self.n
+        with open(os.path.join(folder, "transform"), "w+b") as self._transform, open(os.path.join(folder, "common"), "w+b") as self._common:
+            active = np.flatnonzero(self.lengths > 0)
+            first = np.zeros(self.n, np.uint8)
+            first[active] = self.symbols[self.tops[active] - 1]
+            self._store(first, np.zeros(self.n, np.uint8))
+            rows, depth = active.copy(), 1
+            while len(active):
+                rows = self._round(active, rows, depth)
+                on = self.lengths[active] > depth
+                active, rows, depth = active[on], rows[on], depth + 1
+            self.transform, self.common = self._load()
 
     def _store(self, transform: np.ndarray, common: np.ndarray) -> None:
-        transform.tofile(os.path.join(self.folder, "transform"))
-        common.tofile(os.path.join(self.folder, "common"))
-
-    def load(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.fromfile(os.path.join(self.folder, x), np.uint8) for x in ("transform", "common"))
-
-    def steps(self, transform: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """Rows by symbol, the place of each row there, and how many rows have no symbol before them."""
-        order = np.argsort(transform, kind="stable").astype(np.int32)
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        return order, place, int((transform == 0).sum())
-
-    def _round(self, active: np.ndarray, rows: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        self.size = len(transform)
+        for file, data in ((self._transform, transform), (self._common, common)):
+            file.seek(0)
+            file.write(memoryview(data))
+
+    def _load(self) -> tuple[np.ndarray, np.ndarray]:
+        out = []
+        for file in (self._transform, self._common):
+            file.seek(0)
+            out.append(np.frombuffer(file.read(self.size), np.uint8))
+        return tuple(out)
+
+    def _round(self, active: np.ndarray, rows: np.ndarray, depth: int) -> np.ndarray:
         """Inserts the suffix of depth symbols of each active string, whose shorter one is at rows."""
-        transform, common = self.load()
-        order, place, ended = self.steps(transform)
+        transform, common = self._load()
         by = np.argsort(rows, kind="stable")
-        at = rows[by]
-        q = place[at].astype(np.int64)
-        symbols = transform[at]
-        new = self.n - ended + q
+        at, own = rows[by], active[by]
+        # Rows by symbol and place: a row's place there is that of the suffix that its symbol begins.
+        shift = np.uint64(32) if len(transform) >> 24 or len(self.bytes) > 127 else np.uint32(24)
+        kind = shift.dtype.type
+        keys = transform.astype(kind) << shift | np.arange(len(transform), dtype=kind)
+        own_keys = keys[at]
+        keys.sort()
+        q = np.searchsorted(keys, own_keys)
+        new = self.n - int(np.searchsorted(keys, kind(1) << shift)) + q
+
         padded = np.append(common, np.uint8(0))
 
-        def least(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-            """Minimum of common[begin:end] for ranges that aren't empty."""
-            return np.minimum.reduceat(padded, np.stack((begin, end), axis=1).ravel())[::2] if len(begin) else np.empty(0, np.uint8)
+        def least(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+            """Minimum of the common prefixes of rows after low up to high."""
+            return np.minimum.reduceat(padded, np.stack((low + 1, high + 1), axis=1).ravel())[::2] if len(low) else np.empty(0, np.uint8)
 
-        before = np.zeros(len(at), np.uint8)
-        y = order[np.maximum(q - 1, 0)].astype(np.int64)
-        has = (q > ended) & (transform[y] == symbols)
-        before[has] = np.minimum(least(y[has] + 1, at[has] + 1), 254) + 1
-        z = order[np.minimum(q + 1, len(order) - 1)].astype(np.int64)
-        follows = (q + 1 < len(order)) & (transform[z] == symbols)
-        after = np.minimum(least(at[follows] + 1, z[follows] + 1), 254) + 1
+        def beside(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The row at each place k, and whether it has the symbol of the string's row."""
+            key = keys[np.clip(k, 0, len(keys) - 1)]
+            return (key & ((kind(1) << shift) - kind(1))).astype(np.int64), (k >= 0) & (k < len(keys)) & (key >> shift == own_keys >> shift)
+
+        row, has = beside(q - 1)
+        up = np.zeros(len(at), np.uint8)
+        up[has] = np.minimum(least(row[has], at[has]), 254) + 1
+        row, follows = beside(q + 1)
+        down = np.minimum(least(at[follows], row[follows]), 254) + 1
 
         size = len(transform) + len(at)
         old = np.ones(size, bool)
         old[new] = False
-        own = active[by]
-        next_symbol = self.tops[own] - depth - 1
         out = np.empty(size, np.uint8)
         out[old] = transform
-        out[new] = np.where(self.lengths[own] > depth, self.flat[np.maximum(next_symbol, 0)] + np.uint8(1), np.uint8(0))
+        out[new] = np.where(self.lengths[own] > depth, self.symbols[np.maximum(self.tops[own] - depth - 1, 0)], np.uint8(0))
         out_common = np.empty(size, np.uint8)
         out_common[old] = common
-        out_common[new] = before
-        out_common[new[follows] + 1] = after
+        out_common[new] = up
+        out_common[new[follows] + 1] = down
         self._store(out, out_common)
         rows = np.empty(len(at), np.int64)
         rows[by] = new
-        return rows, order
+        return rows
 
     def suffixes(self, least: int):
         """(string, start, row) of every suffix of at least so many symbols, by walking from the ends."""
-        transform, _ = self.load()
-        _, place, ended = self.steps(transform)
+        order = np.argsort(self.transform, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        shift = self.n - int((self.transform == 0).sum())
         strings, rows = np.arange(self.n), np.arange(self.n)
         for depth in range(1, int(self.lengths.max(initial=0)) + 1):
             on = self.lengths[strings] >= depth
             strings, rows = strings[on], rows[on]
-            rows = self.n - ended + place[rows].astype(np.int64)
+            rows = shift + place[rows]
             if depth >= least:
                 yield strings, self.lengths[strings] - depth, rows
 
@@ -351,8 +367,7 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, begins: np.ndarray,
     """(doc, begin, stop): runs of windows of the strings that also start earlier in another string's text."""
     with tempfile.TemporaryDirectory() as folder:
         built = CollectionTransform(strings, folder)
-        parts = list(built.suffixes(length))
-        _, common = built.load()
+    parts, common = list(built.suffixes(length)), built.common
     if not parts:
         return []
     string, start, row = (np.concatenate(x) for x in zip(*parts))
@@ -370,17 +385,59 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, begins: np.ndarray,
     return list(zip(doc[new].tolist(), at[new].tolist(), (at[last] + length).tolist()))
 
 
-def _compare(length: int, block: int):
+def shared_parts(strings: list[bytes], groups: np.ndarray, length: int, k: int, cases: int = 4) -> list[tuple[int, int, int]]:
+    """(string, begin, stop): the parts of strings that may hold a window of another of their group.
+
+    The places of a window's anchor in it fall into a few ranges. All of a string's windows with
+    the anchor in one range have a core of bytes in common, more than half a window, so strings
+    that share such a window share the core. Only stretches with a shared core are compared.
+    """
+    starts = np.cumsum([0, *map(len, strings)])[:-1]
+    _, places = anchors(np.frombuffer(b"".join(strings), np.uint8), length, k)
+    offsets = (places[starts] - starts).tolist()
+    edges = [round(i * (length - k + 1) / cases) for i in range(cases + 1)]
+    digest = xxhash.xxh3_64_intdigest
+    owner, case, cores = [], [], []
+    for i, (text, at, group) in enumerate(zip(strings, offsets, groups.tolist())):
+        last = len(text) - length  # windows begin at 0 up to here
+        for c, (a, z) in enumerate(zip(edges, edges[1:])):
+            if max(a, at - last) <= min(z - 1, at):
+                owner.append(i)
+                case.append(c)
+                cores.append(digest(text[at - a : at - z + 1 + length], group % 2**64))
+    owner, case = np.array(owner), np.array(case)
+    _, which, count = np.unique(np.stack((np.array(cores, np.uint64), case.astype(np.uint64))), axis=1, return_inverse=True, return_counts=True)
+    shared = count[which.ravel()] > 1
+    out = []
+    for i, first, final in _ranges(owner[shared], case[shared]):
+        at, last = offsets[i], len(strings[i]) - length
+        out.append((i, max(0, at - edges[final + 1] + 1), min(last, at - edges[first]) + length))
+    return out
+
+
+def _ranges(owner: np.ndarray, case: np.ndarray) -> list[tuple[int, int, int]]:
+    """(owner, least case, largest case); owners and cases rise."""
+    if not len(owner):
+        return []
+    heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    ends = np.concatenate((heads[1:] - 1, [len(owner) - 1]))
+    return list(zip(owner[heads].tolist(), case[heads].tolist(), case[ends].tolist()))
+
+
+def _compare(length: int, k: int, block: int):
     """Stretches sorted by anchor to (doc_id, begin, stop) to remove; an anchor's stretches stay in one block."""
 
     def run(batches: Batches) -> Batches:
         held: list[bytes] = []
         docs: list[int] = []
         begins: list[int] = []
+        groups: list[int] = []
         now = None
 
         def close() -> pa.RecordBatch:
-            found = repeated_windows(held, np.array(docs, np.int64), np.array(begins, np.int64), length)
+            parts = shared_parts(held, np.array(groups, np.int64), length, k)
+            strings = [held[i][a:b] for i, a, b in parts]
+            found = repeated_windows(strings, np.array([docs[i] for i, _, _ in parts], np.int64), np.array([begins[i] + a for i, a, _ in parts], np.int64), length) if parts else []
             kinds = (pa.int64(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], ["doc_id", "begin", "stop"])
 
@@ -389,9 +446,10 @@ def _compare(length: int, block: int):
                 if anchor != now:
                     if len(held) >= block:
                         yield close()
-                        held, docs, begins = [], [], []
+                        held, docs, begins, groups = [], [], [], []
                     now = anchor
                 held.append(data)
+                groups.append(anchor)
                 docs.append(doc_id)
                 begins.append(begin)
         if held:
@@ -417,7 +475,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, block: int
     by_doc = marked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "begin", "stop", "hot")).alias("wanted"))
     stretches = map_batches(docs.join(by_doc, "doc_id"), _cut_out(length, k), "anchor long, doc_id long, begin int, data binary")
     compared = stretches.repartition("anchor").sortWithinPartitions("anchor")
-    more = map_batches(compared, _compare(length, block), "doc_id long, begin int, stop int")
+    more = map_batches(compared, _compare(length, k, block), "doc_id long, begin int, stop int")
     return settled.where("anchor is null").select("doc_id", "begin", "stop").unionByName(more)
 
 
