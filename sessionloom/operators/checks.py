@@ -156,7 +156,7 @@ def _versions(table: str) -> list[Check]:
     ]
 
 
-# What every build is checked for.
+# What every build is checked for.
 BUILD_CHECKS: list[Check] = [
     *_many("not_null", "stg_events", "event_date time_stamp event_name device_id session_id"),
     Check("stg_events", "accepted_values", "device", values=DEVICE_CATEGORIES),
@@ -266,7 +266,11 @@ def drifted(checked: DataFrame) -> DataFrame:
 def reconcile(
     fact: DataFrame, rollup: DataFrame, totals: Mapping[str, tuple[str, str]]
 ) -> DataFrame:
-    """Totals of a fact against those of its rollup: name -> (fact, rollup) aggregate expression."""
+    """Totals of a fact against those of its rollup: name -> (fact, rollup) aggregate expression.
+
+    Sums of doubles depend on the order of addition, so totals may differ by a billionth of
+    their size (and, near zero, by a billionth).
+    """
 
     def side(df: DataFrame, which: int, name: str) -> DataFrame:
         stacked = F.array(
@@ -279,6 +283,7 @@ def reconcile(
         return sums.select(F.explode(stacked).alias("t")).select("t.*")
 
     both = side(fact, 0, "fact_total").join(side(rollup, 1, "rollup_total"), "measure")
+    size = F.greatest(F.abs("fact_total"), F.abs("rollup_total"), F.lit(1.0))
     return both.withColumn(
-        "reconciles", F.abs(F.col("fact_total") - F.col("rollup_total")) < 1e-6
+        "reconciles", F.abs(F.col("fact_total") - F.col("rollup_total")) <= 1e-9 * size
     )

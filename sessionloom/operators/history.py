@@ -14,7 +14,7 @@ from sessionloom.operators.runs import (
     SLICE,
     HotKeys,
     across_slices,
-    hot_keys,
+    join_carry,
     next_value,
     number_runs,
     slice_window,
@@ -79,11 +79,13 @@ def asof_join(
 
     Versions of a key must not overlap. Facts and versions are put in one time order and the
     latest version is carried forward: linear in rows, where a join on the key with a range
-    condition tests every pair of a key's facts and versions.
+    condition tests every pair of a key's facts and versions. As in that join, a NULL key, time or
+    ``valid_from`` matches nothing; such facts pass by the windows.
     """
     version = F.struct(F.col(valid_to).alias("_until"), *columns)
-    left = facts.withColumns({"_at": F.col(at), "_is_fact": F.lit(1)})
-    right = versions.select(
+    findable = F.col(key).isNotNull() & F.col(at).isNotNull()
+    left = facts.where(findable).withColumns({"_at": F.col(at), "_is_fact": F.lit(1)})
+    right = versions.where(F.col(key).isNotNull() & F.col(valid_from).isNotNull()).select(
         key,
         F.col(valid_from).alias("_at"),
         F.lit(0).alias("_is_fact"),
@@ -91,7 +93,7 @@ def asof_join(
         version.alias("_version"),
     )
     both = left.unionByName(right, allowMissingColumns=True)
-    sliced = with_slices(both, hot_keys(both, key, "_at", policy), key, "_at")
+    sliced = with_slices(both, key, ["_at", "_is_fact"], policy)
 
     # Of versions opened at the same instant only the last to end has any extent.
     order = ["_at", "_is_fact", F.col("_until").asc_nulls_last()]
@@ -112,24 +114,22 @@ def asof_join(
         .groupBy(key, SLICE)
         .agg(F.max_by("_version", "_place").alias("_last"))
         .select(
-            key,
-            SLICE,
+            F.col(key).alias("_of_key"),
+            F.col(SLICE).alias("_of_slice"),
             F.last("_last", ignorenulls=True)
             .over(across_slices(key).rowsBetween(Window.unboundedPreceding, -1))
             .alias("_carried"),
         )
     )
-    found = (
-        sliced.withColumn("_held", held)
-        .where(F.col("_is_fact") == 1)
-        .join(carry, [key, SLICE], "left")
-        .withColumn("_held", F.coalesce("_held", "_carried"))
-    )
+    found = join_carry(
+        sliced.withColumn("_held", held).where(F.col("_is_fact") == 1), carry, key
+    ).withColumn("_held", F.coalesce("_held", "_carried"))
     until = F.col("_held._until")
     valid = until.isNull() | (F.col("_at") < until)
-    return found.select(
+    matched = found.select(
         *facts.columns, *[F.when(valid, F.col(f"_held.{c}")).alias(c) for c in columns]
     )
+    return matched.unionByName(facts.where(~findable), allowMissingColumns=True)
 
 
 def current_versions(versions: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionloom.functions.params import VALUE_FIELDS
 from sessionloom.functions.text import MISSING_TEXTS, NO_MEDIUM_TEXT
@@ -14,10 +15,15 @@ PLACEHOLDERS = (*MISSING_TEXTS, NO_MEDIUM_TEXT)
 
 
 def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column_name, value) for every row and column."""
+    """(column_name, value) for every row and column; an array is judged by its size."""
+
+    def value(c: str) -> Column:
+        is_array = isinstance(df.schema[c].dataType, T.ArrayType)
+        sized = F.when(F.col(c).isNotNull(), F.size(c)) if is_array else F.col(c)
+        return sized.cast("string")
+
     pairs = F.array(
-        *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))
-          for c in columns]
+        *[F.struct(F.lit(c).alias("column_name"), value(c).alias("value")) for c in columns]
     )
     return df.select(F.explode(pairs).alias("p")).select("p.*")
 
@@ -105,12 +111,19 @@ def explode_cost(raw: DataFrame) -> DataFrame:
     ).withColumn("rows_per_event", F.try_divide("param_rows", "events"))
 
 
-def attribute_drift(events: DataFrame, attributes: Sequence[str | Column]) -> DataFrame:
+def attribute_drift(
+    events: DataFrame,
+    attributes: Sequence[str],
+    combinations: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
     """Per attribute: devices seen, devices with more than one value, and the most values.
 
-    NULL counts as a value. Distinct (device, value) pairs come first.
+    ``combinations`` names sets of attributes that are looked at together. NULL counts as a
+    value. Distinct (device, value) pairs come first.
     """
-    named = {str(a): F.col(a).cast("string") for a in attributes}
+    named = {a: F.col(a).cast("string") for a in attributes}
+    for name, together in (combinations or {}).items():
+        named[name] = F.to_json(F.struct(*together))
     pairs = F.array(
         *[F.struct(F.lit(n).alias("attribute"), c.alias("value")) for n, c in named.items()]
     )

@@ -1,20 +1,23 @@
 """Running windows per key that stay parallel when one key holds much of the data.
 
 A window partition is handled by one task, and a running number cannot be salted. So keys with
-very many rows are cut along time into slices; the window runs per (key, slice), and a summary
-of one row per slice carries the state from slice to slice. Keys below the limit are not cut and
-carry nothing. With adaptive execution the carrying branch disappears when no key is hot.
+very many rows are cut into slices of a counted number of rows in their order; the window runs per
+(key, slice), and a summary of one row per slice carries the state from slice to slice. Keys below
+the limit are not cut and carry nothing. Where no key is hot, the plan holds none of this. Rows without a key are a key of their own, rows without a time come first.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICE = "_slice"
+#: Rows are counted per key and minute first, and one by one only where a minute holds too many.
+CELL_MICROS = 60_000_000
 
 
 @dataclass(frozen=True)
@@ -22,54 +25,81 @@ class HotKeys:
     """When a key is cut, and how finely.
 
     Every row is processed whichever keys are cut, so finding them may be approximate: rows are
-    counted by one in ``counted_one_in`` of the times, and ``max_keys`` bounds the broadcast list
-    (a key outside it holds less than 1/max_keys of the rows and runs uncut). Slices are equally
-    long, and far smaller than a task could take, so that a burst in time still fits one. Rows
-    without a key are never cut.
+    counted by one in ``counted_one_in``, decided by a hash of their place in the order. There are
+    at most rows / min_rows hot keys. A slice holds ``slice_rows`` rows and at most as many again:
+    a minute of a key isn't split unless it holds more, and then between its different places.
     """
 
     min_rows: int = 1_000_000
     slice_rows: int = 20_000
-    max_keys: int = 10_000
     counted_one_in: int = 64
 
 
-def hot_keys(df: DataFrame, key: str, at: str, policy: HotKeys) -> DataFrame:
-    """At most ``max_keys`` rows (_hot_key, _lo, _width): first time and slice width in µs.
+def hot_keys(df: DataFrame, key: str, order: Sequence[str], policy: HotKeys) -> DataFrame:
+    """The keys (_hot_key, NULL included) with about ``min_rows`` rows or more.
 
-    Which rows are counted follows from their time alone, so that every evaluation, also after a
+    Which rows are counted follows from their place alone, so that every evaluation, also after a
     lost executor, lists the same keys.
     """
-    micros = F.unix_micros(at)
-    counted = F.pmod(F.xxhash64(at), F.lit(policy.counted_one_in)) == 0
+    counted = F.pmod(F.xxhash64(*order), F.lit(policy.counted_one_in)) == 0
     return (
-        df.where(F.col(key).isNotNull() & counted)
-        .groupBy(key)
-        .agg(
-            (F.count(F.lit(1)) * policy.counted_one_in).alias("_rows"),
-            # Never NULL, so that both uses of the list plan it alike and share one evaluation.
-            F.coalesce(F.min(micros), F.lit(0)).alias("_lo"),
-            F.max(micros).alias("_hi"),
-        )
+        (df.where(counted) if policy.counted_one_in > 1 else df)
+        .groupBy(F.col(key).alias("_hot_key"))
+        .agg((F.count(F.lit(1)) * policy.counted_one_in).alias("_rows"))
         .where(F.col("_rows") >= policy.min_rows)
-        .orderBy(F.desc("_rows"), key)
-        .limit(policy.max_keys)
-        .select(
-            F.col(key).alias("_hot_key"),
-            "_lo",
-            F.expr(
-                f"coalesce((_hi - _lo) div (1 + _rows div {policy.slice_rows}), 0) + 1"
-            ).alias("_width"),
-        )
+        .select("_hot_key")
     )
 
 
-def with_slices(df: DataFrame, hot: DataFrame, key: str, at: str) -> DataFrame:
-    """Add ``_slice``: the time slice of a hot key's row, NULL for every other key."""
-    # A missing time sorts first, so it belongs to the lowest slice.
-    elapsed = F.coalesce(F.unix_micros(at), F.lit(-(2**62))) - F.col("_lo")
-    return df.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left").select(
-        *df.columns, F.floor(elapsed / F.col("_width")).alias(SLICE)
+def _same(pairs: dict[str, str]) -> Column:
+    """Equality that lets NULL equal NULL; still a key that Spark can hash or sort by."""
+    return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs.items()])
+
+
+def with_slices(df: DataFrame, key: str, order: Sequence[str], policy: HotKeys) -> DataFrame:
+    """Add ``_slice``: the slice of a hot key's row, rising in its order, NULL for every other key.
+
+    ``order`` begins with the time; rows with equal values of all of it stay together. Whether
+    any key is hot is looked up at once, since the plan is far smaller where none is.
+    """
+    hot = hot_keys(df, key, order, policy)
+    if hot.isEmpty():
+        return df.withColumn(SLICE, F.lit(None).cast("bigint"))
+    minute = F.floor(F.unix_micros(order[0]) / CELL_MICROS)
+    named = {key: "_cell_key", "_minute": "_cell_minute"} | {c: f"_cell_{n}" for n, c in enumerate(order)}
+    rows = df.select(key, *order, minute.alias("_minute")).join(hot, _same({key: "_hot_key"}), "left_semi")
+    minutes = rows.groupBy(key, "_minute").agg(F.count(F.lit(1)).alias("_n"))
+    full = minutes.where(F.col("_n") > policy.slice_rows).select(
+        F.col(key).alias("_full_key"), F.col("_minute").alias("_full_minute")
+    )
+    places = (
+        rows.join(full, _same({key: "_full_key", "_minute": "_full_minute"}), "left_semi")
+        .groupBy(key, "_minute", *order)
+        .agg(F.count(F.lit(1)).alias("_n"), F.lit(True).alias("_one_place"))
+    )
+    cells = places.unionByName(
+        minutes.where(F.col("_n") <= policy.slice_rows).withColumn("_one_place", F.lit(False)),
+        allowMissingColumns=True,
+    )
+    before = Window.partitionBy(key).orderBy("_minute", *order)
+    counted = F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    cut = cells.select(
+        *[F.col(c).alias(n) for c, n in named.items()],
+        "_one_place",
+        F.floor(counted / policy.slice_rows).alias("_cell_slice"),
+    )
+    of_minutes = cut.where(~F.col("_one_place")).select(
+        "_cell_key", "_cell_minute", F.col("_cell_slice").alias("_slice_1")
+    )
+    of_places = cut.where("_one_place").select(
+        *named.values(), F.col("_cell_slice").alias("_slice_2")
+    )
+    return (
+        df.withColumn("_minute", minute)
+        .join(of_minutes, _same({key: "_cell_key", "_minute": "_cell_minute"}), "left")
+        .drop("_cell_key", "_cell_minute")
+        .join(of_places, _same(named), "left")
+        .select(*df.columns, F.coalesce("_slice_1", "_slice_2").alias(SLICE))
     )
 
 
@@ -81,6 +111,16 @@ def across_slices(key: str):
     return Window.partitionBy(key).orderBy(SLICE)
 
 
+def _carried_by(key: str) -> list[Column]:
+    return [F.col(key).alias("_of_key"), F.col(SLICE).alias("_of_slice")]
+
+
+def join_carry(df: DataFrame, carry: DataFrame, key: str) -> DataFrame:
+    """Rows with what their slice has from the slices before; rows without a slice have nothing."""
+    same = F.col(key).eqNullSafe(F.col("_of_key")) & (F.col(SLICE) == F.col("_of_slice"))
+    return df.join(carry, same, "left")
+
+
 def _mark(df, key, order, value, starts_run) -> DataFrame:
     """Starts within a slice. The slice's first row is decided by the slice before, so counts 0."""
     w = slice_window(key, order)
@@ -115,8 +155,7 @@ def number_runs(
     does. Adds ``previous`` (the value one row before), ``flag`` (1 on a run's first row) and
     ``number``. One exchange and one sort of the rows; the time column leads ``order``.
     """
-    at = order[0]
-    sliced = with_slices(df, hot_keys(df, key, at, policy), key, at)
+    sliced = with_slices(df, key, order, policy)
     w = slice_window(key, order)
     local = _mark(sliced, key, order, value, starts_run).withColumn(
         "_local", F.sum("_starts").over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -147,12 +186,12 @@ def number_runs(
             )
             - F.col("_inner"),
         )
-        .select(key, SLICE, "_carried", "_opens", "_base")
+        .select(*_carried_by(key), "_carried", "_opens", "_base")
     )
 
     first = F.col("_nth") == 1
     kept = [c for c in df.columns] + ([SLICE] if keep_slice else [])
-    return local.join(carry, [key, SLICE], "left").select(
+    return join_carry(local, carry, key).select(
         *kept,
         F.when(first, F.col("_carried")).otherwise(F.col("_before")).alias(previous),
         F.when(first, F.coalesce("_opens", F.lit(1))).otherwise(F.col("_starts")).alias(flag),
@@ -170,13 +209,10 @@ def next_value(df: DataFrame, key: str, order: str, value: str, name: str) -> Da
         F.min(value).alias("_head")
     )
     carry = following.select(
-        key, SLICE, F.lead("_head").over(across_slices(key)).alias("_next_head")
+        *_carried_by(key), F.lead("_head").over(across_slices(key)).alias("_next_head")
     )
-    return (
-        df.withColumn("_next", F.lead(value).over(slice_window(key, [order])))
-        .join(carry, [key, SLICE], "left")
-        .select(
-            *[c for c in df.columns if c != SLICE],
-            F.coalesce("_next", "_next_head").alias(name),
-        )
+    numbered = df.withColumn("_next", F.lead(value).over(slice_window(key, [order])))
+    return join_carry(numbered, carry, key).select(
+        *[c for c in df.columns if c != SLICE],
+        F.coalesce("_next", "_next_head").alias(name),
     )

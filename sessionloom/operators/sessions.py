@@ -8,16 +8,20 @@ from pyspark.sql import functions as F
 from sessionloom.config import EVENT_ORDER, FUNNEL_EVENTS, TRAFFIC
 from sessionloom.functions import surrogate_key
 from sessionloom.functions.keys import event_key, traffic_key
-from sessionloom.operators.runs import HotKeys, number_runs
+from sessionloom.operators.runs import SLICE, HotKeys, number_runs
 from sessionloom.operators.staging import MEASURES
 
 
 def sessionise(
-    events: DataFrame, gap_seconds: int = 1800, policy: HotKeys = HotKeys()
+    events: DataFrame,
+    gap_seconds: int = 1800,
+    policy: HotKeys = HotKeys(),
+    keep_slice: bool = False,
 ) -> DataFrame:
     """Attach to every event its device's session, cut where more than ``gap_seconds`` pass.
 
-    The gap is counted in whole seconds, truncated: 1800.9 s is still 1800.
+    The gap is counted in whole seconds, truncated: 1800.9 s is still 1800. ``keep_slice`` keeps
+    the column by which hot devices were cut, which spares session_rollup a shuffle of events.
     """
     kept = events.columns
     runs = number_runs(
@@ -32,10 +36,12 @@ def sessionise(
         flag="is_new_session",
         number="session_num",
         policy=policy,
+        keep_slice=keep_slice,
     )
     return runs.select(
         surrogate_key("device_id", "session_num").alias("session_key"),
         *kept,
+        *([SLICE] if keep_slice else []),
         "is_new_session",
         "session_num",
         F.expr("timestampdiff(SECOND, _previous, time_stamp) div 60").alias("mins_since_prev"),
@@ -45,25 +51,38 @@ def sessionise(
 def session_rollup(sessionised: DataFrame) -> DataFrame:
     """One row per session: span, size, first-event attributes and the presence flag per step.
 
-    Grouped on (device_id, session_num) with the key hashed afterwards. Events collapse to
-    session partials before anything moves, so a device or session of any size is safe.
+    Events collapse to a row per session and slice first. Where sessionise kept the slices, they
+    already lie that way and nothing moves; only those rows are shuffled to merge a device's
+    slices, so a device or session of any size is safe. Keys are hashed last.
     """
     # One row of a session opens it; only that row builds the struct.
     opening = F.when(
         F.col("is_new_session") == 1,
         F.struct("session_id", "event_date", "first_touch", *TRAFFIC),
     )
-    rolled = sessionised.groupBy("device_id", "session_num").agg(
+    slices = [SLICE] if SLICE in sessionised.columns else []
+    parts = sessionised.groupBy("device_id", *slices, "session_num").agg(
         F.min("time_stamp").alias("session_start"),
         F.max("time_stamp").alias("session_end"),
         F.count(F.lit(1)).alias("event_count"),
-        F.countDistinct("session_id").alias("ga_session_count"),
+        F.collect_set("session_id").alias("native_ids"),
         F.max(opening).alias("first"),
         *[
             F.max(F.when(F.col("event_name") == step, 1).otherwise(0)).alias(f"reached_{step}")
             for step in FUNNEL_EVENTS
         ],
     )
+    rolled = parts
+    if slices:
+        rolled = parts.groupBy("device_id", "session_num").agg(
+            F.min("session_start").alias("session_start"),
+            F.max("session_end").alias("session_end"),
+            F.sum("event_count").alias("event_count"),
+            F.array_distinct(F.flatten(F.collect_list("native_ids"))).alias("native_ids"),
+            F.max("first").alias("first"),
+            *[F.max(f"reached_{step}").alias(f"reached_{step}") for step in FUNNEL_EVENTS],
+        )
+    rolled = rolled.withColumn("ga_session_count", F.size("native_ids").cast("bigint"))
     return rolled.select(
         surrogate_key("device_id", "session_num").alias("session_key"),
         "device_id",

@@ -34,16 +34,16 @@ def _versions(state: list[Column], run_at: Column) -> Column:
 def snapshot_changes(open_versions: DataFrame, current: DataFrame, run_at: datetime) -> DataFrame:
     """Versions after a run, from the open versions before it.
 
-    One full-outer join on the device, one row per device on both sides. A changed device (the
-    checked key compared NULL-safe) yields its closed version and a new one; a device missing
+    One full-outer join on the device, one row per device on both sides; rows without a device are
+    one device. A changed device (the checked key compared NULL-safe) yields its closed version and a new one; a device missing
     from ``current`` stays open; unchanged rows are not touched.
     """
     at = F.lit(run_at).cast("timestamp")
     old = open_versions.select([F.col(c).alias(f"old_{c}") for c in VERSION])
-    new = current.select([F.col(c).alias(f"new_{c}") for c in STATE])
-    both = old.join(new, F.col(f"old_{KEY}") == F.col(f"new_{KEY}"), "full")
+    new = current.select([F.col(c).alias(f"new_{c}") for c in STATE] + [F.lit(True).alias("_is_new")])
+    both = old.join(new, F.col(f"old_{KEY}").eqNullSafe(F.col(f"new_{KEY}")), "full")
 
-    had, has = F.col("old_valid_from").isNotNull(), F.col(f"new_{KEY}").isNotNull()
+    had, has = F.col("old_valid_from").isNotNull(), F.col("_is_new").isNotNull()
     changed = ~F.col(f"old_{CHECKED}").eqNullSafe(F.col(f"new_{CHECKED}"))
     closes = had & has & changed
     kept = F.struct(

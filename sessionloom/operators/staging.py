@@ -33,7 +33,7 @@ MEASURES = (
 
 
 def stage_events(raw: DataFrame) -> DataFrame:
-    """One row per event: 24 flat columns and the items array. Projections, no shuffle.
+    """One row per event: 25 flat columns and the items array. Projections, no shuffle.
 
     Fields are looked up and lower-cased in a first projection, so that cleaning, which looks at
     a text several times, does not repeat the lookups.

@@ -28,20 +28,23 @@ def build(
     settings: Settings = Settings(),
     policy: HotKeys = HotKeys(),
     whole_span: bool = False,
+    in_order: bool = False,
 ) -> dict[str, DataFrame]:
     """Write staging, facts, dimensions, history and reports under ``root``; return them.
 
     Sessionised events are stored, so the device shuffle happens once for the facts that share
     it. Event and session tables are partitioned by day. ``whole_span`` takes the calendar from
-    the events instead of the configured window.
+    the events instead of the configured window; ``in_order`` says that ``raw`` lies by day.
     """
     tables: dict[str, DataFrame] = {}
 
-    def store(name: str, df: DataFrame, by: str | None = None) -> DataFrame:
-        tables[name] = overwrite_table(df, f"{root}/{name}", by)
+    def store(
+        name: str, df: DataFrame, by: str | None = None, in_order: bool = False
+    ) -> DataFrame:
+        tables[name] = overwrite_table(df, f"{root}/{name}", by, in_order)
         return tables[name]
 
-    staged = store("stg_events", stage_events(raw), "event_date")
+    staged = store("stg_events", stage_events(raw), "event_date", in_order)
     sessionised = store("events_sessionised", sessionise(staged, settings.gap_seconds, policy))
     rollup = store("session_rollup", session_rollup(sessionised))
     tables["session_funnel_steps"] = funnel_steps(rollup)
@@ -72,7 +75,7 @@ def build_window(
 ) -> dict[str, DataFrame]:
     """A full refresh over the configured window: afterwards the tables hold just those days."""
     raw = read_export(spark, export, settings.start_date, settings.end_date)
-    return build(raw, root, settings, policy)
+    return build(raw, root, settings, policy, in_order=True)
 
 
 def refresh_days(
@@ -80,4 +83,4 @@ def refresh_days(
 ) -> None:
     """Restage the days ``start`` to ``end`` of a day-partitioned staging table; others stay."""
     staged = stage_events(read_export(spark, export, start, end))
-    overwrite_partitions(staged, staged_path, "event_date")
+    overwrite_partitions(staged, staged_path, "event_date", in_order=True)

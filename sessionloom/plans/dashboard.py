@@ -145,7 +145,8 @@ def overall_steps(funnel: DataFrame) -> DataFrame:
 
 
 def top_categories(products: DataFrame, highlight: str | None = None, n: int = 12) -> DataFrame:
-    """The n most viewed categories; ``highlight`` (default: the first) gets its own bar column."""
+    """The n most viewed categories with error bars; ``highlight`` (default: the first) gets its own
+    bar column."""
     rate = F.col("view_to_purchase_rate")
     top = products.orderBy("category_sort", "item_category").limit(n)
     if highlight is None:
@@ -159,6 +160,8 @@ def top_categories(products: DataFrame, highlight: str | None = None, n: int = 1
         "sessions_viewed",
         F.when(F.col("_on"), rate).alias("highlight"),
         F.when(~F.col("_on"), rate).alias("others"),
+        (rate - F.col("view_to_purchase_rate_lower")).alias("err_minus"),
+        (F.col("view_to_purchase_rate_upper") - rate).alias("err_plus"),
     )
 
 

@@ -512,8 +512,8 @@ _CHECK_TABLES = {
     "rpt_funnel_weekly": "weekly",
     "rpt_product_funnel": "product",
     "current_attribution": "cur",
-    "attribution_snapshot": "(SELECT *, device_id AS attribution_version_key FROM cur)",
-    "dim_attribution": "(SELECT *, device_id AS attribution_version_key, 1 AS is_current FROM cur)",
+    "attribution_snapshot": "snapshot",
+    "dim_attribution": "(SELECT *, CAST(valid_to IS NULL AS INTEGER) AS is_current FROM snapshot)",
 }
 
 
@@ -538,7 +538,7 @@ def _failures(c: checks.Check) -> str:
 
 
 def _check_sql() -> str:
-    return tables() + " UNION ALL ".join(
+    return tables().rstrip() + f", snapshot AS ({_snapshot_sql('*')}) " + " UNION ALL ".join(
         f"SELECT '{c.table}' AS table_name, '{c.name}' AS check_name, "
         f"'{c.severity}' AS severity, ({_failures(c)}) AS failures"
         for c in checks.BUILD_CHECKS + checks.SNAPSHOT_CHECKS
@@ -572,7 +572,7 @@ def _snapshot_sql(columns: str) -> str:
 
     changed = "e.traffic_source_key <> c.traffic_source_key"
     was = ", ".join(f"e.{c.strip()}" for c in state.split(","))
-    return f"""{tables()} SELECT {columns} FROM (
+    return f"""SELECT {columns} FROM (
       SELECT {was}, v.valid_from, CASE WHEN {changed} THEN CAST({two} AS BIGINT) END AS valid_to,
         v.attribution_version_key, v.snapshot_updated_at
       FROM early AS e JOIN (SELECT device_id, {opened(one)} FROM early) AS v USING (device_id)
@@ -588,7 +588,8 @@ def _snapshot_sql(columns: str) -> str:
 _PROFILED = (
     "event_date event_name device_id page_title page_location session_id device brand continent "
     "sub_continent country region city medium traffic_source source_name transaction_id "
-    "total_item_quantity unique_items"
+    "total_item_quantity unique_items time_stamp first_touch purchase_revenue "
+    "purchase_revenue_in_usd tax_value tax_value_in_usd"
 ).split()
 
 
@@ -599,6 +600,9 @@ def _union(selects) -> str:
 def _profile_sql() -> str:
     rows = _union(
         f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM stg" for c in _PROFILED
+    ) + (
+        " UNION ALL SELECT 'items', CAST(n AS VARCHAR) FROM (SELECT eid FROM sess) AS e "
+        "LEFT JOIN (SELECT eid, count(*) AS n FROM raw_items GROUP BY eid) AS i USING (eid)"
     )
     return tables() + f"""
     SELECT column_name, n_rows, n_filled, n_placeholder, n_distinct,
@@ -646,7 +650,10 @@ def _drift_sql() -> str:
     rows = _union(
         f"SELECT '{c}' AS attribute, device_id, count(DISTINCT coalesce({c}, chr(0))) AS n "
         "FROM stg GROUP BY device_id"
-        for c in ("device", "brand", "continent", "city", *TRAFFIC)
+        for c in (*DEVICE_COLUMNS, *TRAFFIC)
+    ) + (
+        " UNION ALL SELECT 'traffic combination', device_id, "
+        "count(DISTINCT row(medium, traffic_source, source_name)) FROM stg GROUP BY device_id"
     )
     return tables() + (
         "SELECT attribute, count(*) AS devices, count(*) FILTER (n > 1) AS devices_drifting, "
@@ -683,8 +690,7 @@ def _text_sql() -> str:
 
 
 def _item_text_sql() -> str:
-    names = ("item_variant", "item_list_id", "promotion_name", "creative_name", "item_category")
-    rows = _union(f"SELECT '{c}' AS field, raw_{c} AS raw_text FROM raw_items" for c in names)
+    rows = _union(f"SELECT '{c}' AS field, raw_{c} AS raw_text FROM raw_items" for c in _ITEM_TEXTS)
     return tables() + (
         f"SELECT field, raw_text, n_rows, {cleaned_item('raw_text')} AS cleaned FROM (SELECT field, "
         f"raw_text, count(*) AS n_rows FROM ({rows}) GROUP BY 1, 2)"
@@ -827,8 +833,8 @@ def oracles() -> dict[str, str]:
         "attribution_current_lookup": tables()
         + "SELECT s.device_id, s.session_id, h.version_num, h.medium FROM fs AS s "
         "LEFT JOIN hist AS h ON h.device_id = s.device_id AND h.is_current = 1",
-        "attribution_snapshot": _snapshot_sql("* REPLACE (epoch_us(attributed_at) AS attributed_at)"),
-        "dim_attribution": _snapshot_sql(
+        "attribution_snapshot": tables() + _snapshot_sql("* REPLACE (epoch_us(attributed_at) AS attributed_at)"),
+        "dim_attribution": tables() + _snapshot_sql(
             "attribution_version_key, device_id, traffic_source_key, medium, traffic_source, "
             "source_name, valid_from, valid_to, CASE WHEN valid_to IS NULL THEN 1 ELSE 0 END AS is_current"
         ),
@@ -922,10 +928,54 @@ def oracles() -> dict[str, str]:
             "SELECT category_sort, CASE WHEN is_thin_cell = 1 THEN item_category || ' (thin)' "
             "ELSE item_category END AS category_label, sessions_viewed, "
             "CASE WHEN nth = 1 THEN view_to_purchase_rate END AS highlight, "
-            "CASE WHEN nth > 1 THEN view_to_purchase_rate END AS others FROM ("
+            "CASE WHEN nth > 1 THEN view_to_purchase_rate END AS others, "
+            "view_to_purchase_rate - view_to_purchase_rate_lower AS err_minus, "
+            "view_to_purchase_rate_upper - view_to_purchase_rate AS err_plus FROM ("
             "SELECT *, row_number() OVER (ORDER BY category_sort, item_category) AS nth FROM product) "
             "WHERE nth <= 12",
-            "highlight others",
+            "highlight others err_minus err_plus",
+        ),
+        "funnel_error_bars": tables(DAY) + rounded(
+            "SELECT segment_type, segment_value, step, " + ", ".join(
+                f"{r} - {r}_lower AS {r.removesuffix('_rate')}_err_minus, "
+                f"{r}_upper - {r} AS {r.removesuffix('_rate')}_err_plus"
+                for r in ("reach_rate", "step_conversion", "gap_vs_rest")
+            ) + " FROM funnel",
+            "reach_err_minus reach_err_plus step_conversion_err_minus step_conversion_err_plus "
+            "gap_vs_rest_err_minus gap_vs_rest_err_plus",
+        ),
+        "product_error_bars": tables(DAY) + rounded(
+            "SELECT item_category, " + ", ".join(
+                f"view_to_{g}_rate - view_to_{g}_rate_lower AS view_to_{g}_err_minus, "
+                f"view_to_{g}_rate_upper - view_to_{g}_rate AS view_to_{g}_err_plus"
+                for g in ("cart", "purchase")
+            ) + " FROM product",
+            "view_to_cart_err_minus view_to_cart_err_plus view_to_purchase_err_minus "
+            "view_to_purchase_err_plus",
+        ),
+        "attribution_snapshot_asof": tables() + rounded(
+            "SELECT s.session_id, s.device_id, s.session_start, v.attribution_version_key, v.medium "
+            f"FROM fs AS s LEFT JOIN ({_snapshot_sql('*')}) AS v ON v.device_id = s.device_id "
+            "AND epoch_us(s.session_start) >= v.valid_from "
+            "AND (v.valid_to IS NULL OR epoch_us(s.session_start) < v.valid_to)",
+            "",
+            "",
+            "session_start",
+        ),
+        "attribution_snapshot_current": tables()
+        + "SELECT s.session_id, s.device_id, v.attribution_version_key, v.medium FROM fs AS s "
+        f"LEFT JOIN ({_snapshot_sql('*')}) AS v ON v.device_id = s.device_id AND v.valid_to IS NULL",
+        "attribution_missing_keys": tables() + rounded(
+            "SELECT f.device_id, f.time_stamp, f.event_name, f.session_id, h.version_num, "
+            "c.version_num AS current_num FROM (SELECT event_name, session_id, "
+            "CASE WHEN NOT ends_with(device_id, '9') THEN device_id END AS device_id, "
+            "CASE WHEN NOT ends_with(session_id, '7') THEN time_stamp END AS time_stamp FROM stg) AS f "
+            "LEFT JOIN hist AS h ON h.device_id = f.device_id AND f.time_stamp >= h.valid_from "
+            "AND (h.valid_to IS NULL OR f.time_stamp < h.valid_to) "
+            "LEFT JOIN hist AS c ON c.device_id = f.device_id AND c.is_current = 1",
+            "",
+            "",
+            "time_stamp",
         ),
         "revenue_share": tables(DAY) + rounded(
             "SELECT item_category, item_revenue_in_usd, item_revenue_in_usd / "
@@ -973,15 +1023,15 @@ def oracles() -> dict[str, str]:
             UNION ALL SELECT 'not_null(p_brand)', NULL, count(*) FROM part WHERE p_brand = 'Brand#1'
               HAVING count(*) > 0""",
         "figure_parity": _figure_sql(),
-        "reconciliation": tables() + _union(
+        "reconciliation": tables() + rounded(_union(
             f"SELECT '{m}' AS measure, {v} AS fact_total, {v} AS rollup_total, 1 AS reconciles FROM {t}"
             for m, v, t in (
                 ("events", "CAST(count(*) AS DOUBLE)", "fe"),
-                ("purchase_revenue", "round(sum(purchase_revenue_in_usd), 4)", "fe"),
+                ("purchase_revenue", "sum(purchase_revenue_in_usd)", "fe"),
                 ("item_rows", "CAST(count(*) AS DOUBLE)", "items"),
-                ("item_revenue", "round(sum(item_revenue_in_usd), 2)", "items"),
+                ("item_revenue", "sum(item_revenue_in_usd)", "items"),
             )
-        ),
+        ), "fact_total rollup_total"),
         "profile_columns": _profile_sql(),
         "profile_placeholders": _placeholder_sql(),
         "profile_natural_key": tables()

@@ -36,7 +36,7 @@ from sessionloom.operators.dims import (
     traffic_sources,
 )
 from sessionloom.operators.history import asof_join, attribution_history, with_current_version
-from sessionloom.operators.items import item_facts, modal_category
+from sessionloom.operators.items import ITEM_TEXTS, item_facts, modal_category
 from sessionloom.operators.metrics import METRICS, Facts, Ratio, metric
 from sessionloom.operators.sessions import (
     event_facts,
@@ -114,12 +114,13 @@ def sessions_of(spark, folder, gap=1800) -> DataFrame:
 
 
 def rolled(events, gap=1800) -> DataFrame:
-    return session_facts(session_rollup(sessionise(events, gap)))
+    return session_facts(session_rollup(sessionise(events, gap, keep_slice=True)))
 
 
 def funnel_of(spark, folder, gap=1800) -> DataFrame:
-    events = staged(spark, folder)
-    return reports.funnel_report(rolled(events, gap), devices(events), traffic_sources(events))
+    events = kept(staged(spark, folder), "staged")
+    sessions = kept(rolled(events, gap), "sessions")
+    return reports.funnel_report(sessions, devices(events), traffic_sources(events))
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
@@ -136,7 +137,8 @@ def products_of(spark, folder, gap=DAY) -> DataFrame:
 
 
 def facts_of(events, gap=1800) -> Facts:
-    sessionised = sessionise(events, gap)
+    events = kept(events, "staged")
+    sessionised = kept(sessionise(events, gap), "sessionised")
     return Facts(
         session_facts(session_rollup(sessionised)),
         event_facts(sessionised),
@@ -174,9 +176,8 @@ def text_cleaning(spark, folder):
 @query
 def item_text_cleaning(spark, folder):
     raw = raw_export(spark, folder, with_items=True)
-    names = ("item_variant", "item_list_id", "promotion_name", "creative_name", "item_category")
     fields = F.array(
-        *[F.struct(F.lit(n).alias("field"), F.col(f"item.{n}").alias("raw_text")) for n in names]
+        *[F.struct(F.lit(n).alias("field"), F.col(f"item.{n}").alias("raw_text")) for n in ITEM_TEXTS]
     )
     return (
         raw.select(F.explode("items").alias("item"))
@@ -332,7 +333,7 @@ def events_sessionised_day_gap(spark, folder):
 
 @query
 def session_funnel_steps(spark, folder):
-    return funnel_steps(session_rollup(sessionise(staged(spark, folder), DAY)))
+    return funnel_steps(session_rollup(sessionise(staged(spark, folder), DAY, keep_slice=True)))
 
 
 @query
@@ -348,7 +349,7 @@ def fct_sessions_day_gap(spark, folder):
 @query
 def fct_sessions_by_join(spark, folder):
     """Spans and flags kept apart and joined on the session."""
-    rollup = session_rollup(sessionise(staged(spark, folder), DAY))
+    rollup = session_rollup(sessionise(staged(spark, folder), DAY, keep_slice=True))
     return session_facts_by_join(session_facts(rollup), funnel_steps(rollup))
 
 
@@ -451,6 +452,45 @@ def dim_attribution(spark, folder):
     return attribution_dimension(_two_runs(spark, folder))
 
 
+@query
+def attribution_snapshot_asof(spark, folder):
+    """Sessions with the version of the run-time dimension valid when they start."""
+    facts = sessions_of(spark, folder).select("session_id", "device_id", "session_start")
+    dimension = attribution_dimension(_two_runs(spark, folder))
+    found = asof_join(
+        facts, dimension, "device_id", "session_start", ["attribution_version_key", "medium"]
+    )
+    return found
+
+
+@query
+def attribution_snapshot_current(spark, folder):
+    """Sessions with their device's open version in the run-time dimension."""
+    facts = sessions_of(spark, folder).select("session_id", "device_id")
+    dimension = attribution_dimension(_two_runs(spark, folder))
+    return with_current_version(
+        facts, dimension, "device_id", ["attribution_version_key", "medium"]
+    )
+
+
+@query
+def attribution_missing_keys(spark, folder):
+    """As-of and current lookup where every ninth device and every eleventh time is missing."""
+    events = staged(spark, folder)
+    versions = kept(attribution_history(events), "history")
+    facts = events.select(
+        "device_id", "time_stamp", "event_name", "session_id"
+    ).withColumns(
+        {
+            "device_id": F.when(~F.col("device_id").endswith("9"), F.col("device_id")),
+            "time_stamp": F.when(~F.col("session_id").endswith("7"), F.col("time_stamp")),
+        }
+    )
+    found = asof_join(facts, versions, "device_id", "time_stamp", ["version_num"])
+    current = versions.select("device_id", "is_current", F.col("version_num").alias("current_num"))
+    return with_current_version(found, current, "device_id", ["current_num"])
+
+
 @query
 def incremental_overwrite(spark, folder):
     """Day-partitioned staging, then a window whose export changed is restaged; other days stay."""
@@ -585,6 +625,29 @@ def weekly_peak_low(spark, folder):
     return dashboard.peak_and_low(dashboard.full_weeks(weekly))
 
 
+@query
+def funnel_error_bars(spark, folder):
+    """The funnel's rates with the distances to their bounds."""
+    return dashboard.error_bars(
+        funnel_of(spark, folder, DAY), "reach_rate", "step_conversion", "gap_vs_rest"
+    ).select(
+        "segment_type", "segment_value", "step", "reach_err_minus", "reach_err_plus",
+        "step_conversion_err_minus", "step_conversion_err_plus", "gap_vs_rest_err_minus",
+        "gap_vs_rest_err_plus",
+    )
+
+
+@query
+def product_error_bars(spark, folder):
+    """The categories' rates with the distances to their bounds."""
+    return dashboard.error_bars(
+        products_of(spark, folder), "view_to_cart_rate", "view_to_purchase_rate"
+    ).select(
+        "item_category", "view_to_cart_err_minus", "view_to_cart_err_plus",
+        "view_to_purchase_err_minus", "view_to_purchase_err_plus",
+    )
+
+
 @query
 def top_categories(spark, folder):
     return dashboard.top_categories(products_of(spark, folder))
@@ -694,7 +757,9 @@ def dq_failures(spark, folder):
     staged_events = tables["stg_events"]
     store = SnapshotStore(spark, work_folder(spark, "snapshot"))
     tables["current_attribution"] = current_attribution(staged_events)
-    store.run(tables["current_attribution"], RUNS[0])
+    cut = F.to_date(F.lit(CUT_DAY), "yyyyMMdd")
+    store.run(current_attribution(staged_events.where(F.col("event_date") < cut)), RUNS[0])
+    store.run(tables["current_attribution"], RUNS[1])
     tables["attribution_snapshot"] = store.read()
     tables["dim_attribution"] = attribution_dimension(tables["attribution_snapshot"])
     return checks.run_checks(tables, checks.BUILD_CHECKS + checks.SNAPSHOT_CHECKS)
@@ -728,41 +793,42 @@ def dq_failing_rows(spark, folder):
     )
 
 
+# True figures of the hundredth-scale test tables, but for the last two, which must be reported.
 FIGURES = [
     checks.Figure("sessions", "funnel", "segment_type = 'overall' and step = 'sessions'",
                   "segment_sessions", 1214, 0),
     checks.Figure("purchasing sessions", "funnel",
-                  "segment_type = 'overall' and step = 'purchase'", "sessions_reached", 100, 0),
+                  "segment_type = 'overall' and step = 'purchase'", "sessions_reached", 817, 0),
     checks.Figure("conversion", "funnel", "segment_type = 'overall' and step = 'purchase'",
-                  "reach_rate", 0.5, 0.4999),
+                  "reach_rate", 0.6730, 0.0001),
     checks.Figure("never viewing", "funnel", "segment_type = 'overall' and step = 'view_item'",
-                  "1 - reach_rate", 0.5, 0.0001),
+                  "1 - reach_rate", 0.328, 0.001),
     checks.Figure("view to cart", "funnel", "segment_type = 'overall' and step = 'add_to_cart'",
-                  "step_conversion", 0.1, 0.001),
+                  "step_conversion", 0.748, 0.001),
     checks.Figure("checkouts without cart", "funnel",
                   "segment_type = 'overall' and step = 'begin_checkout'",
-                  "skipped_prev_share", 0.1, 0.001),
+                  "skipped_prev_share", 0.231, 0.001),
     checks.Figure("referral gap", "funnel", "segment_type = 'channel' and "
-                  "segment_value = 'referral' and step = 'purchase'", "gap_vs_rest", 1.5, 0.001),
+                  "segment_value = 'referral' and step = 'purchase'", "gap_vs_rest", 0.0136, 0.0001),
     checks.Figure("unknown channel", "funnel", "segment_type = 'channel' and "
-                  "segment_value = 'unknown' and step = 'purchase'", "reach_rate", 1.5, 0.001),
+                  "segment_value = 'unknown' and step = 'purchase'", "reach_rate", 0.702, 0.001),
     checks.Figure("week of 8 Jan", "weekly", "week_start = date '2024-01-08'",
-                  "session_conversion_rate", 1.5, 0.0001),
+                  "session_conversion_rate", 0.7015, 0.0001),
     checks.Figure("week of 22 Jan", "weekly", "week_start = date '2024-01-22'",
-                  "session_conversion_rate", 1.5, 0.0001),
+                  "session_conversion_rate", 0.6181, 0.0001),
     checks.Figure("large: view to purchase", "product", "item_category = 'home/large/'",
-                  "view_to_purchase_rate", 1.5, 0.0001),
+                  "view_to_purchase_rate", 0.5, 0.0001),
     checks.Figure("large: share of revenue", "product", "item_category = 'home/large/'",
-                  "item_revenue_in_usd / sum(item_revenue_in_usd) over ()", 1.5, 0.005),
+                  "item_revenue_in_usd / sum(item_revenue_in_usd) over ()", 0.35, 0.005),
 ]
 
 
 @query
 def figure_parity(spark, folder):
     """Twelve headline figures against stated values; those outside their tolerance."""
-    events = staged(spark, folder, with_items=True)
-    sessionised = sessionise(events, DAY)
-    sessions = session_facts(session_rollup(sessionised))
+    events = kept(staged(spark, folder, with_items=True), "staged")
+    sessionised = kept(sessionise(events, DAY), "sessionised")
+    sessions = kept(session_facts(session_rollup(sessionised)), "sessions")
     tables = {
         "funnel": reports.funnel_report(sessions, devices(events), traffic_sources(events)),
         "weekly": reports.weekly_report(sessions),
@@ -774,8 +840,8 @@ def figure_parity(spark, folder):
 @query
 def reconciliation(spark, folder):
     """Totals of the daily rollups against the facts."""
-    events = staged(spark, folder, True)
-    facts = event_facts(sessionise(events))
+    events = kept(staged(spark, folder, True), "staged")
+    facts = kept(event_facts(sessionise(events)), "facts")
     daily = reports.daily_event_rollup(facts, devices(events), traffic_sources(events))
     items = item_facts(events)
     return checks.reconcile(
@@ -784,8 +850,8 @@ def reconciliation(spark, folder):
         {
             "events": ("count(1)", "sum(events)"),
             "purchase_revenue": (
-                "round(sum(purchase_revenue_in_usd), 4)",
-                "round(sum(purchase_revenue_in_usd), 4)",
+                "sum(purchase_revenue_in_usd)",
+                "sum(purchase_revenue_in_usd)",
             ),
         },
     ).unionByName(
@@ -795,8 +861,8 @@ def reconciliation(spark, folder):
             {
                 "item_rows": ("count(1)", "sum(item_rows)"),
                 "item_revenue": (
-                    "round(sum(item_revenue_in_usd), 2)",
-                    "round(sum(item_revenue_in_usd), 2)",
+                    "sum(item_revenue_in_usd)",
+                    "sum(item_revenue_in_usd)",
                 ),
             },
         )
@@ -808,10 +874,8 @@ def reconciliation(spark, folder):
 
 @query
 def profile_columns(spark, folder):
-    events = staged(spark, folder)
-    names = [c for c in events.columns if c not in ("items", "tax_value", "tax_value_in_usd",
-             "time_stamp", "first_touch", "purchase_revenue", "purchase_revenue_in_usd")]
-    return profiling.column_profile(events, names)
+    """All columns of staged events; the items by their number."""
+    return profiling.column_profile(staged(spark, folder, True))
 
 
 @query
@@ -842,8 +906,10 @@ def profile_explode_cost(spark, folder):
 
 @query
 def profile_attribute_drift(spark, folder):
+    """All ten attributes of a device, and the traffic attributes together."""
+    attributes = ["device", "brand", "continent", "sub_continent", "country", "region", "city"]
     return profiling.attribute_drift(
-        staged(spark, folder), ["device", "brand", "continent", "city", *TRAFFIC]
+        staged(spark, folder), [*attributes, *TRAFFIC], {"traffic combination": TRAFFIC}
     )
 
 

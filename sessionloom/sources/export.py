@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,12 +57,19 @@ def read_sharded_export(
     fmt: str = "parquet",
     prefix: str = "events_",
 ) -> DataFrame:
-    """The same for one folder per day, ``root/events_D``. Days without a folder are skipped."""
+    """The same for one folder per day, ``root/events_D``. Days without a folder are skipped; a window
+    without any folder has no rows."""
     first, last = (datetime.strptime(d, "%Y%m%d") for d in (start, end))
     days = [
         f"{first + timedelta(days=n):%Y%m%d}" for n in range((last - first).days + 1)
     ]
-    return spark.read.format(fmt).schema(EXPORT_SCHEMA).load(f"{root}/{prefix}{{{','.join(days)}}}")
+    path = f"{root}/{prefix}{{{','.join(days)}}}"
+    try:
+        return spark.read.format(fmt).schema(EXPORT_SCHEMA).load(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], EXPORT_SCHEMA)
 
 
 def write_export(raw: DataFrame, root: str) -> None:

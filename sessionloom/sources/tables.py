@@ -34,21 +34,25 @@ def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame | No
         raise
 
 
-def overwrite_table(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+def overwrite_table(
+    df: DataFrame, path: str, by: str | None = None, in_order: bool = False
+) -> DataFrame:
     """Full refresh: replace the table at ``path`` and read it back.
 
     ``by`` partitions the table on a column. The rows are rebalanced on it, so a partition has
-    few files and a large one is still written by several tasks.
+    few files and a large one is still written by several tasks. ``in_order`` says that the rows
+    lie by that column already, as those of a day-partitioned source do: then nothing is shuffled.
     """
-    writer = (df.hint("rebalance", by) if by else df).write.mode("overwrite")
+    spread = by and not in_order
+    writer = (df.hint("rebalance", by) if spread else df).write.mode("overwrite")
     (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def overwrite_partitions(df: DataFrame, path: str, *by: str) -> None:
+def overwrite_partitions(df: DataFrame, path: str, *by: str, in_order: bool = False) -> None:
     """Replace only the partitions present in ``df``; the others stay. Rebalanced as above."""
     (
-        df.hint("rebalance", *by)
+        (df if in_order else df.hint("rebalance", *by))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*by)

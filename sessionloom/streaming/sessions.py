@@ -23,14 +23,15 @@ def stream_sessions(
     """Sessions of each device, emitted once the watermark has passed their end.
 
     A session window closes when the distance reaches its gap, the batch rule cuts when whole
-    seconds exceed it: the two agree one microsecond before the next whole second. Events later
-    than ``lateness`` are dropped by the watermark.
+    seconds exceed it: the two agree one microsecond before the next whole second. Events without
+    a device are one device, as in the batch. The watermark leaves out events later than
+    ``lateness`` and those without a time: they stay in the stored export, and refreshing their
+    days (plans.build.refresh_days) and sessionising again takes them in.
     """
     place = F.struct(*EVENT_ORDER)
     first = F.struct("session_id", "event_date", *TRAFFIC)
     return (
-        events.where(F.col("device_id").isNotNull())
-        .withWatermark("time_stamp", lateness)
+        events.withWatermark("time_stamp", lateness)
         .groupBy("device_id", F.session_window("time_stamp", f"{gap_seconds}.999999 seconds"))
         .agg(
             F.min("time_stamp").alias("session_start"),

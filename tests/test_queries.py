@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__ as registry
+from sessionloom.plans.oracles import oracles
+from sessionloom.plans.queries import QUERIES
 from tests.compare import connect, difference
 
 
@@ -12,10 +14,10 @@ def con(folder):
 
 
 def test_every_query_has_sql():
-    assert set(registry.queries()) == set(registry.oracle_sql())
+    assert set(QUERIES) == set(oracles())
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, folder, name):
     assert difference(spark, con, folder, name) is None
 
