@@ -22,6 +22,7 @@ SAME_TYPES = {
     "int": "INTEGER",
     "string": "VARCHAR",
     "double": "DOUBLE",
+    "boolean": "BOOLEAN",
 }
 
 
