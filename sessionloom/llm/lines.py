@@ -7,24 +7,25 @@ further up in the same. Shorter lines stay.
 Equal lines are grouped by two hashes. Near ones are found by the segment-partition join
 (Pass-Join): a line is cut into THRESHOLD + 1 segments of about equal length; a line within the
 threshold must hold one of them unchanged, at a place that the lengths and the edits left over
-allow. So the index has each line's segments by line length and segment number, a line probes it
-with its few substrings at such places, and counts of some letters, which an edit changes by two
-in all, thin out what meets in the join before it makes a row. The pairs left are verified with a
-banded bit-parallel edit distance: the vertical differences of one column of the band are two
-bitmaps, and a column is a handful of bit operations.
+allow. So the index has each line's segments by line length and segment number, and a line probes
+it with its few substrings at such places. Where many lines have a segment in common (copies of a
+template, each with a change of its own), the lines' texts come along and what is too far apart
+makes no row of the join. Spark's own bounded distance thins out the pairs, and those left are
+verified with a banded bit-parallel edit distance: the vertical differences of one column of the
+band are two bitmaps, and a column is a handful of bit operations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import one_row_per_id, shown_id
+from sessionloom.llm.common import cut, one_row_per_id, shown_id
 
 THRESHOLD = 2
 MIN_CHARS = 40
-#: Their counts are a line's signature, a byte each, so eight at most.
-LETTERS = " etanors"
+#: Lines with the same segment from which the join looks at texts.
+CROWD = 32
 
 
 def _lines() -> Column:
@@ -64,23 +65,6 @@ def probe_keys(threshold: int) -> Column:
     return F.array(*keys)
 
 
-def signature() -> Column:
-    """How often the line holds each of LETTERS, up to 255, a byte each."""
-    out = F.lit(0).cast("long")
-    for k, letter in enumerate(LETTERS):
-        n = F.length("line") - F.length(F.replace(F.col("line"), F.lit(letter), F.lit("")))
-        out = out.bitwiseOR(F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * k))
-    return out
-
-
-def signature_distance(a: Column, b: Column) -> Column:
-    parts = (F.abs(F.shiftright(a, 8 * k).bitwiseAND(255) - F.shiftright(b, 8 * k).bitwiseAND(255)) for k in range(len(LETTERS)))
-    total = F.lit(0).cast("long")
-    for x in parts:
-        total = total + x
-    return total
-
-
 def within(a: str, b: str, threshold: int) -> Column:
     """Are the texts of two columns within threshold edits? NULL if either is.
 
@@ -113,13 +97,18 @@ def within(a: str, b: str, threshold: int) -> Column:
     start = f"named_struct('vp', {every & ~((1 << (threshold + 1)) - 1)}, 'vn', 0, 'd', size(p.s) - size(p.t))"
     distance = f"aggregate(if(size(p.t) = 0, cast(array() as array<int>), sequence(1, size(p.t))), {start}, (acc, j) -> {step}, acc -> acc.d)"
     chars = f"named_struct('s', regexp_extract_all({s}, '(?s).', 0), 't', regexp_extract_all({t}, '(?s).', 0))"
-    near = f"if(abs(length({a}) - length({b})) > {threshold}, false, {let('p', chars, distance)} <= {threshold})"
+    # What both begin and end with needs no columns.
+    same = "least(coalesce(nullif(array_position(zip_with({0}, {1}, (x, y) -> x <=> y), false), 0) - 1, size(p.t)), size(p.t))"
+    tails = "named_struct('s', slice(p.s, h + 1, size(p.s) - h), 't', slice(p.t, h + 1, size(p.t) - h))"
+    cut_off = "named_struct('s', slice(p.s, 1, size(p.s) - e), 't', slice(p.t, 1, size(p.t) - e))"
+    middle = let("p", let("p", chars, let("h", f"int({same.format('p.s', 'p.t')})", tails)), let("e", f"int({same.format('reverse(p.s)', 'reverse(p.t)')})", cut_off))
+    near = f"if(abs(length({a}) - length({b})) > {threshold}, false, {let('p', middle, distance)} <= {threshold})"
     return F.expr(f"if({a} is null or {b} is null, null, {near})")
 
 
 def _at_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """(doc_id, at, line) of the places (doc_id, at); a document's places meet its text as one row."""
-    wanted = places.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    """(doc_id, at, line) of different places (doc_id, at); a document's places meet its text as one row."""
+    wanted = places.groupBy("doc_id").agg(F.collect_list("at").alias("places"))
     picked = docs.join(wanted, "doc_id").select("doc_id", _lines().alias("lines"), "places")
     taken = picked.select("doc_id", F.explode(F.expr("transform(places, i -> named_struct('at', i, 'line', lines[i]))")).alias("x"))
     return taken.select("doc_id", "x.at", "x.line")
@@ -132,29 +121,58 @@ def first_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first")).select("first.doc_id", "first.at")
 
 
-def near_candidates(lines: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, at, by_doc, by_at): pairs of lines (doc_id, at, line) that the join can't tell apart, the later one first."""
-    signed = lines.withColumn("signature", signature())
-    place = F.struct("doc_id", "at")
-    index = signed.select(F.explode(index_keys(threshold)).alias("key"), place.alias("a"), F.col("signature").alias("sa"))
-    probe = signed.select(F.explode(probe_keys(threshold)).alias("key"), place.alias("b"), F.col("signature").alias("sb"))
-    close = signature_distance(F.col("sa"), F.col("sb")) <= 2 * threshold
-    met = probe.join(index, (probe.key == index.key) & (F.col("a") != F.col("b")) & close)
+def _later_first() -> list[Column]:
+    """The pair (a, b) of places as (doc_id, at, by_doc, by_at), the later line first."""
     later, earlier = F.greatest("a", "b"), F.least("a", "b")
-    return met.select(later.doc_id.alias("doc_id"), later.at.alias("at"), earlier.doc_id.alias("by_doc"), earlier.at.alias("by_at")).distinct()
-
-
-def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, at) of the first lines that have an earlier line within the threshold."""
-    pairs = near_candidates(_at_lines(docs, firsts), threshold, min_chars)
-    ends = pairs.select("doc_id", "at").unionByName(pairs.select(F.col("by_doc").alias("doc_id"), F.col("by_at").alias("at")))
-    texts = _at_lines(docs, ends)
-    other = texts.select(F.col("doc_id").alias("by_doc"), F.col("at").alias("by_at"), F.col("line").alias("by_line"))
-    both = pairs.join(texts, ["doc_id", "at"]).join(other, ["by_doc", "by_at"])
-    return both.where(within("line", "by_line", threshold)).select("doc_id", "at").distinct()
-
-
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    return [later.doc_id.alias("doc_id"), later.at.alias("at"), earlier.doc_id.alias("by_doc"), earlier.at.alias("by_at")]
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, at) of the first lines that have an earlier first line within the threshold."""
+    lines = _at_lines(docs, firsts)
+    keys = F.concat(index_keys(threshold), probe_keys(threshold))
+    keyed = lines.select("doc_id", "at", F.posexplode(keys).alias("nth", "key")).select("key", "doc_id", "at", (F.col("nth") <= threshold).alias("is_index"))
+    # Most keys are of one line alone; what is left is little, and dealt out once for all its uses
+    # (by another column, too, or Spark would find it dealt out already and compute it for each use).
+    same = Window.partitionBy("key")
+    several = (F.min("doc_id").over(same) != F.max("doc_id").over(same)) | (F.min("at").over(same) != F.max("at").over(same))
+    counted = keyed.withColumn("n", F.count_if("is_index").over(same)).withColumn("several", several)
+    met = counted.where(F.col("several") & (F.col("n") > 0)).drop("several").repartition("key", "doc_id")
+
+    def part(is_index: bool, crowded: bool, name: str) -> DataFrame:
+        wanted = (F.col("is_index") == is_index) & ((F.col("n") > crowd) == crowded)
+        # Always true or false; being random, it stays behind the shuffle, so that the parts share it.
+        own = met.where(F.when(wanted, F.rand()).otherwise(2.0) < 1.5)
+        return own.select("key", F.col("doc_id").alias(f"doc_{name}"), F.col("at").alias(f"at_{name}"))
+
+    a, b = F.struct(F.col("doc_a").alias("doc_id"), F.col("at_a").alias("at")).alias("a"), F.struct(F.col("doc_b").alias("doc_id"), F.col("at_b").alias("at")).alias("b")
+    other = (F.col("doc_a") != F.col("doc_b")) | (F.col("at_a") != F.col("at_b"))
+    pairs = part(False, False, "b").join(part(True, False, "a"), "key").where(other).select(a, b).select(*_later_first()).distinct()
+
+    # Segments of a crowd: who has them, who probes for them, and the texts of both.
+    crowded, probing = part(True, True, "a"), part(False, True, "b")
+    ends = [
+        pairs.select("doc_id", "at"),
+        pairs.select(F.col("by_doc").alias("doc_id"), F.col("by_at").alias("at")),
+        crowded.select(F.col("doc_a").alias("doc_id"), F.col("at_a").alias("at")),
+        probing.select(F.col("doc_b").alias("doc_id"), F.col("at_b").alias("at")),
+    ]
+    texts = _at_lines(docs, ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct())
+
+    def of(name: str) -> DataFrame:
+        return texts.select(F.col("doc_id").alias(f"doc_{name}"), F.col("at").alias(f"at_{name}"), F.col("line").alias(f"line_{name}"))
+
+    near = F.levenshtein("line_a", "line_b", threshold) >= 0  # thins out, and is itself verified below
+    close = probing.join(of("b"), ["doc_b", "at_b"]).join(crowded.join(of("a"), ["doc_a", "at_a"]), (probing.key == crowded.key) & other & near)
+    close = close.select(a, b).select(*_later_first()).distinct()
+
+    by = texts.select(F.col("doc_id").alias("by_doc"), F.col("at").alias("by_at"), F.col("line").alias("by_line"))
+    both = pairs.unionByName(close).join(texts, ["doc_id", "at"]).join(by, ["by_doc", "by_at"])
+    thin = F.levenshtein("line", "by_line", threshold) >= 0
+    return both.where(thin).where(within("line", "by_line", threshold)).select("doc_id", "at").distinct()
+
+
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) for every document: its text without repeated lines.
 
     The rest of the lines are joined as they were. Lines are split at \\n only; min_chars must be at
@@ -164,8 +182,8 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     if min_chars < 3 * (threshold + 1):
         raise ValueError("segments of such short lines say too little")
     own = one_row_per_id(docs)
-    firsts = first_lines(own, min_chars)
-    kept = firsts.join(near_lines(own, firsts, threshold, min_chars), ["doc_id", "at"], "left_anti")
+    firsts = cut(first_lines(own, min_chars))
+    kept = firsts.join(near_lines(own, firsts, threshold, crowd), ["doc_id", "at"], "left_anti")
     by_doc = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("kept"))
     flags = F.expr(
         "if(kept is null, cast(array() as array<boolean>), flatten(transform(kept, (k, i) -> concat(array_repeat(false, k - if(i = 0, -1, kept[i - 1]) - 1), array(true)))))"
