@@ -45,7 +45,8 @@ def _segment(length: Column, number: int, threshold: int) -> tuple[Column, Colum
 
 
 def index_keys(threshold: int) -> Column:
-    length = F.length("line")
+    """Keys of the segments of a line, from the columns line and size, its length."""
+    length = F.col("size")
     return F.array(*(_key(k, length, *_segment(length, k, threshold)) for k in range(threshold + 1)))
 
 
@@ -57,7 +58,7 @@ def probe_keys(threshold: int) -> Column:
     """
     keys = []
     for shorter in range(threshold + 1):
-        length = F.length("line") - shorter
+        length = F.col("size") - shorter
         for k in range(threshold + 1):
             begin, width = _segment(length, k, threshold)
             for shift in range(max(-k, shorter - (threshold - k)), min(k, shorter + (threshold - k)) + 1):
@@ -131,7 +132,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, c
     """(doc_id, at) of the first lines that have an earlier first line within the threshold."""
     lines = _at_lines(docs, firsts)
     keys = F.concat(index_keys(threshold), probe_keys(threshold))
-    keyed = lines.select("doc_id", "at", F.posexplode(keys).alias("nth", "key")).select("key", "doc_id", "at", (F.col("nth") <= threshold).alias("is_index"))
+    sized = lines.withColumn("size", F.length("line"))  # a pass over the line, and many keys need it
+    keyed = sized.select("doc_id", "at", F.posexplode(keys).alias("nth", "key")).select("key", "doc_id", "at", (F.col("nth") <= threshold).alias("is_index"))
     # Most keys are of one line alone; what is left is little, and dealt out once for all its uses
     # (by another column, too, or Spark would find it dealt out already and compute it for each use).
     same = Window.partitionBy("key")
