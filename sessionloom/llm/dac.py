@@ -19,11 +19,13 @@ that any store that Spark reaches can hold them; parts ascend by doc_id, as do s
 from __future__ import annotations
 
 import functools
+import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -33,12 +35,27 @@ from sessionloom.llm.common import Batches, map_batches, one_row_per_id, shown_i
 #: Tokens of a segment, about; a document is never split between segments.
 SEGMENT_TOKENS = 1 << 20
 BATCH_BYTES = 8 << 20
-#: Encoded stretches that a worker remembers.
-REMEMBERED = 400_000
+#: Encoded stretches, and matches, that a worker remembers, up to twice as many of either.
+REMEMBERED = 350_000
 _BLOCK = 512
 _MAGIC = b"DAC1\0\0\0\0"
 
 
+# Fixed value: the pattern that byte-level pre-tokenizers of this kind split text by.
+_PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+_RUN = re.compile(r"\s ")
+
+
+def _shown_bytes() -> list[str]:
+    """Byte-level BPE writes printable bytes of Latin-1 as themselves, the others as letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b if b in plain else next(others)) for b in range(256)]
+
+
+_SHOWN = _shown_bytes()
+_SPACE = _SHOWN[32]
+
 # Tokens of a text.
 
 
@@ -50,40 +67,76 @@ def tokenizer(path: str) -> Tokenizer:
     return made
 
 
+class Remembered(dict):
+    """What make gives for a key, kept for as long as REMEMBERED other keys come in between, at least."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Tokens of texts; stretches that came before are looked up.
 
-    A match of the byte-level pattern never holds a space after anything but white space, so a
-    text may be cut before each such space and the stretches encoded by themselves.
+    Every match of the byte-level pattern is encoded by itself, by the library's model. No match
+    holds a space after anything but white space, so a text may be cut before each such space, and
+    a new stretch into its matches.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = tokenizer(path), {}
-
-    @staticmethod
-    def stretches(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        out, open_end = [first], not first or first[-1].isspace()
-        for x in rest:
-            if open_end:
-                out[-1] += " " + x
-            else:
-                out.append(" " + x)
-            open_end = not x or x[-1].isspace()
-        return out
+        self.model = tokenizer(path).model
+        self.matches = Remembered(self._match)
+        self.first = Remembered(self._stretch)
+        #: By the stretch without the space that it begins with.
+        self.spaced = Remembered(self._spaced)
+
+    def _match(self, text: str) -> bytes:
+        if text.isascii() and text[1:].isalpha() and text[0] == " ":
+            shown = _SPACE + text[1:]
+        else:
+            shown = "".join([_SHOWN[b] for b in text.encode()])
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _stretch(self, text: str) -> bytes:
+        return b"".join(map(self.matches.__getitem__, _PATTERN.findall(text)))
+
+    def _spaced(self, rest: str) -> bytes:
+        if rest.isalpha():  # letters only are one match
+            return self.matches[" " + rest]
+        if rest[-1:] in (".", ",") and rest[:-1].isalpha():
+            return self.matches[" " + rest[:-1]] + self.matches[rest[-1]]
+        return self._stretch(" " + rest)
+
+    def __call__(self, text: str) -> bytes:
+        """Its ids as little-endian unsigned 32-bit integers."""
+        parts = text.split(" ")
+        if text[:1] == " " or _RUN.search(text):  # spaces after white space stay with what follows
+            joined, open_end = [parts[0]], not parts[0] or parts[0][-1].isspace()
+            for x in parts[1:]:
+                if open_end:
+                    joined[-1] += " " + x
+                else:
+                    joined.append(x)
+                open_end = not x or x[-1].isspace()
+            parts = joined
+        return self.first[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:]))
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Per text its ids as little-endian unsigned 32-bit integers."""
-        split = [self.stretches(t) if t else [] for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({s for x in split for s in x} - self.known.keys())
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
-            for s, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[s] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join(map(known.__getitem__, x)) for x in split]
+
+@functools.lru_cache(maxsize=4)
+def encoder(path: str) -> Encoder:
+    """One per Python worker, with what it remembers."""
+    return Encoder(path)
 
 
 # Codes.
@@ -172,11 +225,27 @@ class Segment:
                 break
         return out
 
+    def range(self, a: int, b: int) -> np.ndarray:
+        """The tokens at a up to b: in each level they are neighbours, so two ranks lead on."""
+        out, on = np.zeros(b - a, np.uint32), None
+        for depth, level in enumerate(self.levels):
+            chunks = level.chunks[a:b].astype(np.uint32) << np.uint32(8 * depth)
+            if on is None:
+                out, on = chunks, np.arange(b - a)
+            else:
+                out[on] |= chunks
+            if b <= a:
+                break
+            flags = np.unpackbits(level.words[a >> 6 : (b >> 6) + 1].view(np.uint8), bitorder="little")[a & 63 :][: b - a]
+            on = on[flags.astype(bool)]
+            a, b = (int(x) for x in level.rank(np.array([a, b])))
+        return out
+
     def document(self, k: int, at_once: int = 1 << 18):
         """The tokens of the k-th document, in parts."""
         start = int(self.ends[k - 1]) if k else 0
         for a in range(start, int(self.ends[k]), at_once):
-            yield self.access(np.arange(a, min(a + at_once, int(self.ends[k]))))
+            yield self.range(a, min(a + at_once, int(self.ends[k])))
 
 
 # Files.
@@ -185,7 +254,7 @@ class Segment:
 def _write(path: str, end: int, segment_tokens: int):
     def run(batches: Batches) -> Batches:
         """Texts of one part in the order of doc_id to segments."""
-        encode = Encoder(path)
+        encode = encoder(path)
         ids: list[int] = []
         held: list[np.ndarray] = []
         total = segment = 0
@@ -198,7 +267,7 @@ def _write(path: str, end: int, segment_tokens: int):
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 part = batch.column("part")[0].as_py()
-                for doc_id, data in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
+                for doc_id, data in zip(batch.column("doc_id").to_pylist(), map(encode, batch.column("text").to_pylist())):
                     ids.append(doc_id)
                     held.append(np.append(np.frombuffer(data, "<u4"), np.uint32(end)))
                     total += len(held[-1])
@@ -224,38 +293,46 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int, segment_t
 
 def _read(batches: Batches) -> Batches:
     for batch in batches:
-        for start, data in zip(batch.column("start").to_pylist(), batch.column("data")):
+        for part, number, data in zip(batch.column("part").to_pylist(), batch.column("segment").to_pylist(), batch.column("data")):
             segment = Segment(data.as_buffer())
             ends = segment.ends
             begins = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if len(ends) else ends
             crcs = []
             for k in range(len(ends)):
                 crc = 0
-                for part in segment.document(k):
-                    crc = zlib.crc32(part.astype("<u4").tobytes(), crc)
+                for tokens in segment.document(k):
+                    crc = zlib.crc32(tokens.astype("<u4").tobytes(), crc)
                 crcs.append(crc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(segment.doc_ids.astype(np.int64)), pa.array(begins + start), pa.array(ends - begins), pa.array(crcs, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
+                [
+                    pa.array(np.full(len(ends), part), pa.int32()),
+                    pa.array(np.full(len(ends), number), pa.int32()),
+                    pa.array(segment.doc_ids.astype(np.int64)),
+                    pa.array(begins),
+                    pa.array(ends - begins),
+                    pa.array(crcs, pa.int64()),
+                ],
+                ["part", "segment", "doc_id", "begin", "n_tokens", "ids_crc32"],
             )
 
 
-def segments(spark: SparkSession, folder: str) -> DataFrame:
-    """(part, segment, n_tokens, data, start): start is the tokens of all segments before.
+def segment_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, segment, start): the tokens of all segments before; the data are not read.
 
     Parts are as many as the sort had partitions; only their sums meet in one small window.
     """
-    stored = spark.read.parquet(folder)
-    parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    sizes = spark.read.parquet(folder).select("part", "segment", "n_tokens")
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    inside = stored.select("part", "segment", "n_tokens").withColumn(
+    inside = sizes.withColumn(
         "inside", F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    starts = inside.join(before, "part").select("part", "segment", (F.col("base") + F.col("inside")).alias("start"))
-    return stored.join(starts, ["part", "segment"])
+    return inside.join(before, "part").select("part", "segment", (F.col("base") + F.col("inside")).alias("start"))
 
 
 def read_back(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files."""
-    found = map_batches(segments(spark, folder).select("start", "data"), _read, "doc_id long, start long, n_tokens long, ids_crc32 long")
-    return found.withColumn("doc_id", shown_id())
+    schema = "part int, segment int, doc_id long, begin long, n_tokens long, ids_crc32 long"
+    found = map_batches(spark.read.parquet(folder).select("part", "segment", "data"), _read, schema)
+    placed = found.join(segment_starts(spark, folder), ["part", "segment"])
+    return placed.select(shown_id(), (F.col("start") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
