@@ -9,6 +9,8 @@ through a column-wise construction of the Burrows-Wheeler transform of the colle
 and Rosone): every round inserts one symbol of each string, from the right, and updates the transform
 and the common prefixes (Cox et al.), which lie in files that a round reads and writes in
 sequence. Rows with a common prefix of LENGTH bytes are equal windows; the first of them stays.
+Where very many different stretches share an anchor, each of their windows goes by its own 128-bit
+digest instead, so no task holds a group whose size grows with the table.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ K = 24
 PIECE_BYTES = 4 << 20
 #: Strings of a block whose transform is built together.
 BLOCK_STRINGS = 8192
-#: Stretches under one anchor from which its windows are dealt out by two more anchors.
+#: Stretches under one anchor from which its windows are settled by digests of their own.
 HOT = 20_000
+#: Windows of hot anchors that a task holds at once.
+WINDOWS = 500_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 23) - 1)
@@ -103,6 +107,39 @@ def _runs(buffer: bytes, bounds: np.ndarray, length: int, k: int, seed: int = 1)
     return text[first], starts[first], ends, hashes[first].view(np.int64)
 
 
+def _first_of_equals(anchor: np.ndarray, digests: np.ndarray, doc: np.ndarray, begin: np.ndarray, stop: np.ndarray, text: np.ndarray) -> pa.RecordBatch:
+    """Rows of _ANCHOR_ROWS: the first of equal (anchor, digest), and the others' bytes with a NULL digest.
+
+    text numbers the texts; a text's rows stand together in the order of their bytes.
+    """
+    order = np.lexsort((begin, doc, digests, anchor))
+    same = np.zeros(len(order), bool)
+    same[1:] = (anchor[order][1:] == anchor[order][:-1]) & (digests[order][1:] == digests[order][:-1])
+    known = np.zeros(len(order), bool)
+    known[order] = same
+    keep = ~known
+    # Neighbouring stretches that are known to be repeated are one.
+    where = np.flatnonzero(known)
+    joined = np.zeros(len(where), bool)
+    joined[1:] = (text[where][1:] == text[where][:-1]) & (begin[where][1:] <= stop[where][:-1])
+    heads = np.flatnonzero(~joined)
+    span_stop = stop[where][np.concatenate((heads[1:] - 1, [len(where) - 1]))] if len(where) else np.empty(0, np.int64)
+    span_at = where[heads]
+    spread = xxhash.xxh3_64_intdigest
+    keys = np.fromiter((spread(int(d).to_bytes(8, "little", signed=True)) for d in doc[span_at]), np.uint64, len(span_at)).view(np.int64)
+    null = pa.array([None] * len(span_at), pa.int64())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate((anchor[keep], keys))),
+            pa.concat_arrays([pa.array(digests[keep]), null]),
+            pa.array(np.concatenate((doc[keep], doc[span_at]))),
+            pa.array(np.concatenate((begin[keep], begin[span_at])).astype(np.int32)),
+            pa.array(np.concatenate((stop[keep], span_stop)).astype(np.int32)),
+        ],
+        ["anchor", "digest", "doc_id", "begin", "stop"],
+    )
+
+
 def _anchor_rows(length: int, k: int):
     """Documents to (anchor, digest, doc_id, begin, stop): bytes begin to stop hold the anchor's windows.
 
@@ -119,32 +156,7 @@ def _anchor_rows(length: int, k: int):
         digests = np.fromiter((digest(view[a:b]) for a, b in zip(first.tolist(), stop.tolist())), np.uint64, len(first)).view(np.int64)
         doc = ids[text]
         begin, stop = first - bounds[text] + offsets[text], stop - bounds[text] + offsets[text]
-        order = np.lexsort((begin, doc, digests, anchor))
-        same = np.zeros(len(order), bool)
-        same[1:] = (anchor[order][1:] == anchor[order][:-1]) & (digests[order][1:] == digests[order][:-1])
-        known = np.zeros(len(order), bool)
-        known[order] = same
-        keep = ~known
-        # Neighbouring stretches that are known to be repeated are one.
-        where = np.flatnonzero(known)
-        joined = np.zeros(len(where), bool)
-        joined[1:] = (text[where][1:] == text[where][:-1]) & (begin[where][1:] <= stop[where][:-1])
-        heads = np.flatnonzero(~joined)
-        span_stop = stop[where][np.concatenate((heads[1:] - 1, [len(where) - 1]))] if len(where) else np.empty(0, np.int64)
-        span_at = where[heads]
-        spread = xxhash.xxh3_64_intdigest
-        keys = np.fromiter((spread(int(d).to_bytes(8, "little", signed=True)) for d in doc[span_at]), np.uint64, len(span_at)).view(np.int64)
-        null = pa.array([None] * len(span_at), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate((anchor[keep], keys))),
-                pa.concat_arrays([pa.array(digests[keep]), null]),
-                pa.array(np.concatenate((doc[keep], doc[span_at]))),
-                pa.array(np.concatenate((begin[keep], begin[span_at])).astype(np.int32)),
-                pa.array(np.concatenate((stop[keep], span_stop)).astype(np.int32)),
-            ],
-            ["anchor", "digest", "doc_id", "begin", "stop"],
-        )
+        return _first_of_equals(anchor, digests, doc, begin, stop, text)
 
     def run(batches: Batches) -> Batches:
         for whole in batches:
@@ -221,32 +233,49 @@ def _settle(batches: Batches) -> Batches:
 _STRETCHES = "anchor long, doc_id long, begin int, stop int"
 
 
-def _cut_out(length: int, k: int):
-    """Texts with their wanted stretches to (anchor, doc_id, begin, data).
+def _cut_out(batches: Batches) -> Batches:
+    """Texts with their wanted stretches to (anchor, doc_id, begin, data)."""
+    for batch in batches:
+        out: list[tuple[int, int, int, bytes]] = []
+        for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("wanted").to_pylist()):
+            out += [(w["anchor"], doc_id, w["begin"], text[w["begin"] : w["stop"]]) for w in wanted]
+            if len(out) > 20_000:
+                yield _as_batch(out)
+                out = []
+        if out:
+            yield _as_batch(out)
+
 
-    Stretches of hot anchors are dealt out by two more anchors of the same windows.
+def _windows(length: int, most: int = WINDOWS):
+    """Texts with their stretches of hot anchors to rows of _ANCHOR_ROWS, one for each window.
+
+    Both anchor and digest are halves of the window's own digest, so a key holds equal windows
+    only. Of those in one piece of work, about most windows, only the first goes on.
     """
 
     def run(batches: Batches) -> Batches:
+        digest, mask = xxhash.xxh3_128_intdigest, 2**64 - 1
+        docs, begins, high, low = ([] for _ in range(4))
+
+        def close() -> pa.RecordBatch:
+            doc, begin = np.array(docs, np.int64), np.array(begins, np.int64)
+            halves = (np.array(x, np.uint64).view(np.int64) for x in (high, low))
+            return _first_of_equals(*halves, doc, begin, begin + length, doc)
+
         for batch in batches:
-            out: list[tuple[int, int, int, bytes]] = []
             for doc_id, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("wanted").to_pylist()):
-                for w in wanted:
-                    data = text[w["begin"] : w["stop"]]
-                    if not w["hot"]:
-                        out.append((w["anchor"], doc_id, w["begin"], data))
-                        continue
-                    bytes_ = np.frombuffer(data, np.uint8)
-                    two, three = (anchors(bytes_, length, k, seed)[0] for seed in (2, 3))
-                    key = (two * np.uint64(3)) ^ (three * _MIX) ^ np.uint64(w["anchor"] % 2**64)
-                    edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-                    for a, b in zip(edges, edges[1:]):
-                        out.append((int(key[a : a + 1].view(np.int64)[0]), doc_id, w["begin"] + a, data[a : b + length - 1]))
-                if len(out) > 20_000:
-                    yield _as_batch(out)
-                    out = []
-            if out:
-                yield _as_batch(out)
+                for w in sorted(wanted, key=lambda w: w["begin"]):
+                    for at in range(w["begin"], w["stop"] - length + 1):
+                        x = digest(text[at : at + length])
+                        docs.append(doc_id)
+                        begins.append(at)
+                        high.append(x >> 64)
+                        low.append(x & mask)
+                    if len(docs) >= most:
+                        yield close()
+                        docs, begins, high, low = ([] for _ in range(4))
+        if docs:
+            yield close()
 
     return run
 
@@ -385,6 +414,20 @@ def repeated_windows(strings: list[bytes], docs: np.ndarray, begins: np.ndarray,
     return list(zip(doc[new].tolist(), at[new].tolist(), (at[last] + length).tolist()))
 
 
+def _first_anchors(strings: list[bytes], length: int, k: int) -> list[int]:
+    """Where the anchor of each string's first window begins in it; a place has few bits, so few strings are joined at once."""
+    out: list[int] = []
+    ends = np.cumsum([0, *map(len, strings)])
+    a = 0
+    while a < len(strings):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + PIECE_BYTES, side="right")) - 1)
+        starts = ends[a:b] - ends[a]
+        _, places = anchors(np.frombuffer(b"".join(strings[a:b]), np.uint8), length, k)
+        out += (places[starts] - starts).tolist()
+        a = b
+    return out
+
+
 def shared_parts(strings: list[bytes], groups: np.ndarray, length: int, k: int, cases: int = 4) -> list[tuple[int, int, int]]:
     """(string, begin, stop): the parts of strings that may hold a window of another of their group.
 
@@ -392,9 +435,7 @@ def shared_parts(strings: list[bytes], groups: np.ndarray, length: int, k: int,
     the anchor in one range have a core of bytes in common, more than half a window, so strings
     that share such a window share the core. Only stretches with a shared core are compared.
     """
-    starts = np.cumsum([0, *map(len, strings)])[:-1]
-    _, places = anchors(np.frombuffer(b"".join(strings), np.uint8), length, k)
-    offsets = (places[starts] - starts).tolist()
+    offsets = _first_anchors(strings, length, k)
     edges = [round(i * (length - k + 1) / cases) for i in range(cases + 1)]
     digest = xxhash.xxh3_64_intdigest
     owner, case, cores = [], [], []
@@ -470,12 +511,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, block: int
     grouped = found.repartition("anchor").sortWithinPartitions("anchor", "digest", "doc_id", "begin")
     settled = cut(map_batches(grouped, _settle, _STRETCHES))
     wanted = settled.where("anchor is not null")
-    crowded = wanted.groupBy("anchor").count().where(F.col("count") > hot).select("anchor", F.lit(True).alias("hot"))
-    marked = wanted.join(crowded, "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False))) if not crowded.isEmpty() else wanted.withColumn("hot", F.lit(False))
-    by_doc = marked.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "begin", "stop", "hot")).alias("wanted"))
-    stretches = map_batches(docs.join(by_doc, "doc_id"), _cut_out(length, k), "anchor long, doc_id long, begin int, data binary")
+    crowded = wanted.groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
+    any_hot = not crowded.isEmpty()
+
+    def texts(rows: DataFrame) -> DataFrame:
+        return docs.join(rows.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "begin", "stop")).alias("wanted")), "doc_id")
+
+    few = wanted.join(crowded, "anchor", "left_anti") if any_hot else wanted
+    stretches = map_batches(texts(few), _cut_out, "anchor long, doc_id long, begin int, data binary")
     compared = stretches.repartition("anchor").sortWithinPartitions("anchor")
     more = map_batches(compared, _compare(length, k, block), "doc_id long, begin int, stop int")
+    if any_hot:
+        windows = map_batches(texts(wanted.join(crowded, "anchor", "left_semi")), _windows(length), _ANCHOR_ROWS)
+        dealt = windows.repartition("anchor", "digest").sortWithinPartitions("anchor", "digest", "doc_id", "begin")
+        more = more.unionByName(map_batches(dealt, _settle, _STRETCHES).where("anchor is null").select("doc_id", "begin", "stop"))
     return settled.where("anchor is null").select("doc_id", "begin", "stop").unionByName(more)
 
 

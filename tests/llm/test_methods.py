@@ -67,6 +67,31 @@ def test_hot_anchors_lose_nothing(spark):
     assert plain == split
 
 
+def test_many_strings_under_one_anchor():
+    rng = np.random.default_rng(6)
+    pool = rng.integers(97, 123, 1 << 20, np.uint8)
+    least = int(suffix._hashes(pool, suffix.K, 1).argmin())
+    around = rng.integers(97, 123, (54_000, 152), np.uint8)
+    anchor = np.tile(pool[least : least + suffix.K], (len(around), 1))
+    strings = [x.tobytes() for x in np.hstack((around[:, :76], anchor, around[:, 76:]))]
+    strings[-1] = strings[-2]
+    assert sum(map(len, strings)) > 9_000_000
+    found = suffix.shared_parts(strings, np.zeros(len(strings), np.int64), suffix.LENGTH, suffix.K)
+    last = len(strings) - 1
+    assert [x for x in found if x[0] >= last - 1] == [(last - 1, 0, 176), (last, 0, 176)]
+
+
+def test_windows_of_hot_anchors_are_dealt_out(spark, monkeypatch):
+    """No transform sees them, so its memory doesn't grow with a group."""
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = text(120)
+    docs = spark.createDataFrame([(i, text(150) + line + text(150)) for i in range(40)], "doc_id long, text string")
+    plain = sorted(map(str, suffix.without_repeats(docs, hot=1000).collect()))
+    monkeypatch.setattr(suffix, "_cut_out", lambda batches: iter(()))
+    assert sorted(map(str, suffix.without_repeats(docs, hot=1).collect())) == plain
+
+
 @given(st.lists(st.sampled_from([0, 1, 255, 256, 50256, 70000, 2**24 + 5, 2**32 - 1]), max_size=700))
 @settings(deadline=None, max_examples=30)
 def test_codes_give_random_access(ids):
