@@ -18,17 +18,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand earlier, equal or nearly so, go out of the texts; no document goes."""
-    return with_texts(docs, lines.dedup_lines(docs).select("doc_id", "text"))
+    return with_texts(docs, lambda own: lines.dedup_lines(own).select("doc_id", "text"))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one of the smallest doc_id."""
+    """One document of each group of near-duplicates stays: the one of the smallest doc_id and text."""
     return simhash.first_of_groups(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of benchmark phrases are cut out of the texts; no document goes."""
-    return with_texts(docs, decontaminate.without_benchmark(docs, read(spark, sf_dir, "benchmark")))
+    return with_texts(docs, lambda own: decontaminate.without_benchmark(own, read(spark, sf_dir, "benchmark")))
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

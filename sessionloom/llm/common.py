@@ -10,7 +10,7 @@ from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -19,6 +19,9 @@ _ROOT = str(Path(__file__).resolve().parents[2])
 #: Stands for a NULL id inside an operator; results show NULL again.
 NULL_ID = -(2**63)
 
+#: Characters of a text that bounds of a sort by text hold.
+_START = 256
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -63,18 +66,69 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def one_row_per_id(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with a row per doc_id: a repeated doc_id is one document, its least text.
+def _rows(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, text): NULL_ID for a NULL id, an empty text for a NULL one."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+
+
+def _repeated(rows: DataFrame) -> bool:
+    """Does an id repeat? Ids alone are counted, so that texts are shuffled only where they must."""
+    return rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
 
-    NULL is an id like any other (NULL_ID), a NULL text is empty. Ids alone are counted first,
-    so that texts are shuffled only where there is something to merge.
+
+def in_order(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, text, *more) with a row per document, sorted by doc_id and text, within partitions and over them.
+
+    Rows that are equal in doc_id and text are one document, with the least of what comes along;
+    rows that differ in text are several, and so is each row with a NULL id (NULL_ID, the smallest).
+    """
+    rows = _rows(docs, *more)
+    if not _repeated(rows):
+        return rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    names = rows.columns[2:]
+    # Of rows without an id each is kept.
+    apart = rows.withColumn("_nth", F.when(F.col("doc_id") == NULL_ID, F.monotonically_increasing_id()).otherwise(-1))
+    single = apart.groupBy("doc_id", "text", "_nth").agg(*(F.min(c).alias(c) for c in names)) if names else apart.distinct()
+    # Bounds of parts hold the start of a text only; short texts that are equal may go to several.
+    start = F.substring("text", 1, _START)
+    nth = F.when(F.length("text") <= _START, F.col("_nth")).otherwise(F.lit(2**63 - 1))
+    return single.repartitionByRange("doc_id", start, nth).sortWithinPartitions("doc_id", "text", "_nth").drop("_nth")
+
+
+def keyed(docs: DataFrame, *more: Column) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) with a row per document (see in_order), and what its doc_id stands for.
+
+    Ids that don't repeat stand for themselves (NULL_ID for NULL), and the second is None. Else
+    they are numbers in the order of (doc_id, text), and it is (doc_id, given, *more).
     """
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
-    )
-    repeated = rows.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return rows.groupBy("doc_id").agg(F.min("text").alias("text")) if repeated else rows
+    rows = _rows(docs)
+    if not _repeated(rows):
+        return rows, None
+    placed = cut(in_order(docs, *more))
+    counted = placed.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("_at"))
+    sizes = counted.groupBy("_part").count()
+    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    numbered = counted.join(before, "_part").withColumnRenamed("doc_id", "given").withColumn("doc_id", F.col("_base") + F.col("_at"))
+    return numbered.select("doc_id", "text"), numbered.select("doc_id", "given", *placed.columns[2:])
+
+
+def named(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
+    """df with the ids that the numbers in its columns stand for (see keyed)."""
+    if names is None:
+        return df
+    order = df.columns
+    for c in columns or ("doc_id",):
+        given = names.select(F.col("doc_id").alias(c), F.col("given").alias("_given"))
+        df = df.join(given, c).drop(c).withColumnRenamed("_given", c)
+    return df.select(*order)
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    """docs with _id, a doc_id of its own for each document (see keyed)."""
+    own, names = keyed(docs, F.struct(*docs.columns).alias("_row"))
+    if names is None:
+        return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    return names.select("_row.*", F.col("doc_id").alias("_id"))
 
 
 def shown_id(name: str = "doc_id"):
@@ -102,20 +156,18 @@ def slices(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Record
         yield batch.slice(start)
 
 
-def with_texts(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs with the texts (doc_id, text) of an operator and, where there is one, n_chars to match.
+def with_texts(docs: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs with the texts that an operator, (doc_id, text) to (doc_id, text), makes of them and, where there is one, n_chars to match.
 
-    texts has NULL_ID where the id is NULL. Other columns come along without the old texts; of a
-    repeated doc_id the least row of them stands for the document, as does one text.
+    Other columns come along without the old texts; there is a row per document (see in_order).
     """
     names = docs.columns
-    rest = [c for c in names if c not in ("doc_id", "text", "n_chars")]
-    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.struct(F.lit(0).alias("_"), *rest).alias("_rest"))
-    own = own.groupBy("_id").agg(F.min("_rest").alias("_rest"))
-    joined = own.join(texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "_id")
+    own = with_ids(docs)
+    texts = texts_of(own.select(F.col("_id").alias("doc_id"), "text"))
+    rest = own.select("_id", F.struct(*(c for c in names if c not in ("text", "n_chars"))).alias("_rest"))
+    joined = rest.join(texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "_id")
     kinds = dict(docs.dtypes)
     made = {
-        "doc_id": shown_id("_id").cast(kinds["doc_id"]).alias("doc_id"),
         "text": F.col("_text").alias("text"),
         "n_chars": F.length("_text").cast(kinds.get("n_chars", "long")).alias("n_chars"),
     }

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sessionloom.llm.common import Batches, map_batches, one_row_per_id, shown_id, slices
+from sessionloom.llm.common import Batches, in_order, map_batches, shown_id, slices
 
 #: Tokens of a segment, about; a document is never split between segments.
 SEGMENT_TOKENS = 1 << 20
@@ -281,12 +281,12 @@ def _write(path: str, end: int, segment_tokens: int):
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int, segment_tokens: int = SEGMENT_TOKENS) -> None:
-    """Writes the tokens of docs (doc_id, text) to folder, ascending by doc_id.
+    """Writes the tokens of docs (doc_id, text) to folder, ascending by doc_id and text.
 
-    One document per doc_id (see one_row_per_id), a NULL id comes first; an empty or NULL text
+    Rows that repeat a doc_id with another text are all written (see in_order), NULL ids first; an empty or NULL text
     has its end token only. No rows write an empty table.
     """
-    ordered = one_row_per_id(docs).repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("doc_id")
+    ordered = in_order(docs).withColumn("part", F.spark_partition_id())
     segments = map_batches(ordered, _write(tokenizer_path, end, segment_tokens), "part int, segment int, n_tokens long, data binary")
     segments.write.mode("overwrite").option("compression", "none").parquet(folder)
 

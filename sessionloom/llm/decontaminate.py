@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import Batches, map_batches, one_row_per_id, raw, shown_id
+from sessionloom.llm.common import Batches, keyed, map_batches, named, raw, shown_id
 
 WINDOW = 10
 #: Words of a shard; bounds the memory of an index.
@@ -272,14 +272,19 @@ def _search(phrases: Phrases, shard_words: int):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, item_ids, spans) for every document.
 
-    docs (doc_id, text) is one document per doc_id (see one_row_per_id); benchmark (item_id, text).
+    docs is (doc_id, text), a document for each different row (see in_order); benchmark (item_id, text).
     A phrase is a run of window words of an item, or all its words if it has fewer. A word inside an
     occurrence of a phrase is hit. item_ids are the items with such phrases, spans the runs of hit
     words (word numbers and code points, end excluded). NULL, empty and word-less texts have no
     words, an item of that kind no phrase; an item without an id hits words and isn't listed.
     An empty benchmark hits nothing. The benchmark is searched in blocks of a fixed size.
     """
-    docs = one_row_per_id(docs)
+    own, names = keyed(docs)
+    return named(_contamination(own, benchmark, window, shard_words, block_bytes), names)
+
+
+def _contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """contamination of keyed documents."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
@@ -341,6 +346,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     doc_id is NULL_ID where it is NULL.
     """
-    hits = contamination(docs, benchmark).where("n_hit > 0").select("doc_id", "spans")
-    joined = one_row_per_id(docs).join(hits, "doc_id", "left")
-    return map_batches(joined, _without, f"doc_id long, text string, spans {SPANS}").select("doc_id", "text")
+    own, names = keyed(docs)
+    hits = _contamination(own, benchmark).where("n_hit > 0").select("doc_id", "spans")
+    joined = own.join(hits, "doc_id", "left")
+    return named(map_batches(joined, _without, f"doc_id long, text string, spans {SPANS}").select("doc_id", "text"), names)

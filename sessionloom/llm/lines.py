@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import cut, one_row_per_id, shown_id
+from sessionloom.llm.common import cut, keyed, named, shown_id
 
 THRESHOLD = 2
 MIN_CHARS = 40
@@ -178,12 +178,12 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     """(doc_id, text, n_lines, n_removed) for every document: its text without repeated lines.
 
     The rest of the lines are joined as they were. Lines are split at \\n only; min_chars must be at
-    least three times threshold + 1. One document per doc_id (see one_row_per_id), NULL is the
-    smallest id; a NULL text is empty. A text whose lines all go is empty. No rows give no rows.
+    least three times threshold + 1. Rows that repeat a doc_id with another text follow
+    by text (see in_order), NULL is the smallest id; a NULL text is empty. A text whose lines all go is empty. No rows give no rows.
     """
     if min_chars < 3 * (threshold + 1):
         raise ValueError("segments of such short lines say too little")
-    own = one_row_per_id(docs)
+    own, names = keyed(docs)
     firsts = cut(first_lines(own, min_chars))
     kept = firsts.join(near_lines(own, firsts, threshold, crowd), ["doc_id", "at"], "left_anti")
     by_doc = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("kept"))
@@ -193,7 +193,8 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     joined = own.join(by_doc, "doc_id", "left").select("doc_id", _lines().alias("lines"), flags.alias("flags"))
     left = F.expr(f"filter(lines, (x, i) -> length(x) < {min_chars} or coalesce(get(flags, i), false))")
     rest = joined.select("doc_id", F.size("lines").cast("long").alias("n_lines"), left.alias("rest"))
-    return rest.select("doc_id", F.array_join("rest", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("rest")).alias("n_removed"))
+    done = rest.select("doc_id", F.array_join("rest", "\n").alias("text"), "n_lines", (F.col("n_lines") - F.size("rest")).alias("n_removed"))
+    return named(done, names)
 
 
 def line_report(docs: DataFrame) -> DataFrame:

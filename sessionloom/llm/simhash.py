@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import NULL_ID, Batches, cut, map_batches, one_row_per_id, raw, shown_id
+from sessionloom.llm.common import Batches, cut, keyed, map_batches, named, raw, shown_id, with_ids
 from sessionloom.llm.components import components
 
 SEED = 42
@@ -217,15 +217,16 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = MAX_BITS, limit
     """(doc_id, fp, component_id) for every document; component_id is the smallest doc_id it can reach.
 
     Equal fingerprints count as linked. Texts without a word (NULL, empty, white space) have
-    fingerprint 0. A doc_id that is repeated is one document (see one_row_per_id), NULL is the
-    smallest id. No rows give no rows.
+    fingerprint 0. Rows that repeat a doc_id with another text are documents of their own (see
+    in_order), NULL is the smallest id. No rows give no rows.
     """
-    prints = cut(fingerprints(one_row_per_id(docs), width))
+    own, names = keyed(docs)
+    prints = cut(fingerprints(own, width))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     joined = components(links(classes, bits, limit))
     roots = classes.join(joined, classes.fp == joined.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    named = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(roots.join(named, "root").select("fp", "component_id"), "fp")
+    heads = roots.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return named(prints.join(roots.join(heads, "root").select("fp", "component_id"), "fp"), names, "doc_id", "component_id")
 
 
 def near_duplicate_ids(docs: DataFrame, width: int = 3, bits: int = MAX_BITS) -> DataFrame:
@@ -238,12 +239,9 @@ def near_duplicate_ids(docs: DataFrame, width: int = 3, bits: int = MAX_BITS) ->
 def first_of_groups(docs: DataFrame, width: int = 3, bits: int = MAX_BITS) -> DataFrame:
     """The rows of docs, with all their columns, that are the first of their group of near-duplicates.
 
-    Of rows that repeat a doc_id, the one with the least text stays.
+    There is a row per document (see in_order): rows that are equal in doc_id and text are one.
     """
-    groups = near_duplicates(docs, width, bits)
+    own = with_ids(docs)
+    groups = near_duplicates(own.select(F.col("_id").alias("doc_id"), "text"), width, bits)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    own = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    left = own.join(gone, "_id", "left_anti")
-    if left.groupBy("_id").count().where("count > 1").limit(1).count():
-        left = left.groupBy("_id").agg(F.min_by(F.struct(*docs.columns), F.struct(F.coalesce("text", F.lit("")), *[c for c in docs.columns if c != "text"])).alias("_row")).select("_row.*", "_id")
-    return left.drop("_id")
+    return own.join(gone, "_id", "left_anti").select(*docs.columns)

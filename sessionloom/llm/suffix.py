@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import Batches, cut, map_batches, one_row_per_id, shown_id, slices
+from sessionloom.llm.common import Batches, cut, keyed, map_batches, named, shown_id, slices
 
 LENGTH = 100
 #: Bytes of an anchor.
@@ -505,7 +505,7 @@ def _compare(length: int, k: int, block: int):
 def repeated_spans(docs: DataFrame, length: int = LENGTH, k: int = K, block: int = BLOCK_STRINGS, hot: int = HOT) -> DataFrame:
     """(doc_id, begin, stop): byte ranges that passages which start earlier cover; they may overlap.
 
-    docs has a row per doc_id, neither it nor text NULL (one_row_per_id).
+    docs has a row per doc_id, neither it nor text NULL (keyed).
     """
     found = map_batches(docs, _anchor_rows(length, k), _ANCHOR_ROWS)
     grouped = found.repartition("anchor").sortWithinPartitions("anchor", "digest", "doc_id", "begin")
@@ -554,14 +554,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **how) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) for every document: the merged byte ranges that go, and the rest.
 
     A byte goes if a string of length bytes that covers it also starts earlier: in a document of
-    smaller doc_id, or before in the same; matches are judged on the input. One document per
-    doc_id (see one_row_per_id), NULL is the smallest id. Texts shorter than length, empty and NULL
+    smaller doc_id, or before in the same; matches are judged on the input. Rows that
+    repeat a doc_id with another text follow by text (see in_order), NULL is the smallest id. Texts shorter than length, empty and NULL
     ones stay as they are. kept may begin or end inside a character. No rows give no rows.
     """
-    own = one_row_per_id(docs)
+    own, names = keyed(docs)
     found = repeated_spans(own, length, **how).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "stop")).alias("found"))
     schema = "doc_id long, n_bytes long, spans array<struct<begin:int,stop:int>>, kept binary"
-    return map_batches(own.join(found, "doc_id", "left"), _remove, schema).withColumn("doc_id", shown_id())
+    return named(map_batches(own.join(found, "doc_id", "left"), _remove, schema), names).withColumn("doc_id", shown_id())
 
 
 def repeat_report(docs: DataFrame) -> DataFrame:

@@ -292,6 +292,51 @@ def test_quality_of_odd_rows(spark, odd):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
+TWICE = [(None, ""), (None, "alpha beta gamma delta"), (None, "alpha beta gamma delta"), (4, ""), (4, "one two three four five"), (4, "one two three four five"), (5, "x")]
+KEPT = sorted([*TWICE[:5], TWICE[6]], key=str)  # only rows that are equal in id and text are one
+
+
+@pytest.fixture(scope="module")
+def twice(spark):
+    """Rows that share an id, or have none."""
+    return spark.createDataFrame(TWICE, "doc_id long, text string").selectExpr("*", "0L AS n_chars", "'en' AS lang")
+
+
+def test_rows_that_share_an_id_all_count(spark, twice):
+    items = spark.createDataFrame([(1, "three four")], "item_id long, text string")
+    found = decontaminate.contamination_report(twice, items).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in found) == [("4", 0, 0), ("4", 5, 2), ("5", 1, 0), ("None", 0, 0), ("None", 4, 0), ("None", 4, 0)]
+    prints = simhash.near_duplicate_ids(twice).collect()
+    first = {"0" * 16: None, fingerprint(TWICE[1][1]): None, fingerprint(TWICE[4][1]): 4, fingerprint("x"): 5}
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in prints) == sorted((str(d), fingerprint(t), str(first[fingerprint(t)])) for d, t in KEPT)
+    left = simhash.first_of_groups(twice).collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=str) == sorted([TWICE[0], TWICE[1], TWICE[4], TWICE[6]], key=str)
+
+    dac.write(twice, folder := shared_folder(spark, "t"), TOKENIZER, 2)
+    library, start, want = Tokenizer.from_file(TOKENIZER), 0, []
+    for d, t in sorted(KEPT, key=lambda x: (x[0] is not None, x[0], x[1]) if x[0] else (False, 0, x[1])):
+        n = len(library.encode(t, add_special_tokens=False).ids) + 1
+        want.append((d, start, n))
+        start += n
+    assert [(r.doc_id, r.start, r.n_tokens) for r in dac.read_back(spark, folder).orderBy("start").collect()] == want
+
+
+def test_repeats_among_rows_that_share_an_id(spark):
+    text = "".join(np.random.default_rng(8).choice(list("abcdefgh "), 150))
+    docs = spark.createDataFrame([(7, "a" + text), (7, "b" + text), (None, text), (None, "z" + text)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), bytes(r.kept).decode()) for r in suffix.without_repeats(docs).collect())
+    assert got == sorted([("7", "a"), ("7", "b"), ("None", text), ("None", "z")])
+    got = sorted((str(r.doc_id), r.n_removed) for r in lines.line_report(docs).collect())
+    assert got == [("7", 1), ("7", 1), ("None", 0), ("None", 1)]
+
+
+def test_pipeline_keeps_rows_that_share_an_id(spark, twice, folder):
+    for stage in (corpus_pipeline.line_dedup, corpus_pipeline.benchmark_decontamination):
+        out = stage(spark, twice, folder)
+        assert out.columns == twice.columns and out.dtypes == twice.dtypes
+        assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == KEPT
+
+
 # --- the pipeline -----------------------------------------------------------------------------
 
 
