@@ -34,7 +34,7 @@ INLINE = frozenset(
 )
 LEFT_OUT = frozenset("head nav footer aside form menu dialog button select option svg math object audio video canvas template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Closed by the next of its kind or by its parent, so never kept on the stack.
+#: Closed by the next of its kind or by its parent, so kept on the stack only where left out.
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option".split()) | INLINE | VOID
 #: Words in class, id and role that name something beside the content.
 BESIDE = frozenset(
@@ -53,22 +53,62 @@ _TOKEN = re.compile(
     r"|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?|"[^"]*"|'[^']*'""")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.IGNORECASE)
+#: Elements without an end tag of their own end where one of these starts or ends: (what ends, how far up it is looked for).
+_LISTS, _TABLE = frozenset(("ul", "ol", "menu", "dir", "table")), frozenset(("table",))
+_CELLS = frozenset(("td", "th"))
+_ROWS = _CELLS | frozenset(("tr", "thead", "tbody", "tfoot"))
+_ENDS = {
+    "li": (frozenset(("li",)), _LISTS), "dt": (frozenset(("dt", "dd")), frozenset(("dl",))), "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
+    "td": (_CELLS, _TABLE), "th": (_CELLS, _TABLE), "tr": (_CELLS | {"tr"}, _TABLE), "thead": (_ROWS, _TABLE), "tbody": (_ROWS, _TABLE), "tfoot": (_ROWS, _TABLE),
+}
+#: Starts that end a paragraph.
+_P_ENDS = frozenset(_ENDS) | frozenset(
+    "address article aside blockquote caption center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
+    "hgroup hr main menu nav ol p pre search section summary table ul".split()
+)
+_P = frozenset(("p",)), frozenset(("button", "table", "object", "template"))
 
 Token = tuple[str, str, bool, bool]  # kind, text, left out, in labelled content
 
 
-def _names(attrs: str) -> set[str]:
-    return {w.lower() for m in _NAMES.finditer(attrs) for w in re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", m[1] or m[2] or m[3] or "")}
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by lowercase name; the first of a repeated name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        if m[1]:
+            out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _names(attributes: dict[str, str]) -> set[str]:
+    return {w.lower() for k in ("class", "id", "role", "itemprop") if k in attributes for w in re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", attributes[k])}
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_NOT_SHOWN.search(attributes.get("style", "")))
+
+
+def _end(stack: list[tuple[str, bool, bool]], kinds: frozenset, bounds: frozenset) -> None:
+    """Ends the open elements of these kinds, and what is open in them, up to the innermost of bounds."""
+    lowest = None
+    for i in range(len(stack) - 1, -1, -1):
+        if stack[i][0] in bounds:
+            break
+        if stack[i][0] in kinds:
+            lowest = i
+    if lowest is not None:
+        del stack[lowest:]
 
 
 def tokens(page: str) -> list[Token]:
     """The page's tags and stretches of text in order.
 
     The kind is "#text" or the tag's name ("/p" if it closes). Open elements are kept on a stack
-    only where they enclose blocks, so unclosed paragraphs and inline tags do no harm; a closing
-    tag without its opening one is passed over.
+    only where they enclose blocks or are left out, so unclosed paragraphs and inline tags do no
+    harm; a paragraph, item or cell that is left out ends where HTML implies it. A closing tag
+    without its opening one is passed over.
     """
     out: list[Token] = []
     stack: list[tuple[str, bool, bool]] = []
@@ -82,18 +122,27 @@ def tokens(page: str) -> list[Token]:
                 out.append(("#text", m[0], beside, content))
             continue
         if m["close"] or m["close2"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                del stack[depth:]
+            if name in _ENDS:
+                _end(stack, *_P)
+                _end(stack, *_ENDS[name])
+            else:
+                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+                if depth is not None:
+                    del stack[depth:]
             out.append(("/" + name, "", beside, content))
             continue
-        attrs = m["attrs"] or ""
-        named = _names(attrs) if "=" in attrs else set()
+        if stack and name in _P_ENDS:
+            _end(stack, *_P)
+            if name in _ENDS:
+                _end(stack, *_ENDS[name])
+            beside, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        attributes = _attributes(m["attrs"] or "")
+        named = _names(attributes)
         if name not in VOID:
             labelled = content or name in CONTENT or "articlebody" in named or {"article", "body"} <= named and name in ("div", "section")
             kept = name in ("body", "html") or name in CONTENT
-            outside = name in LEFT_OUT or (name == "header" and not content) or not kept and bool(named & (BESIDE - {"header"} if content else BESIDE)) or bool(_HIDDEN.search(attrs))
-            if name not in LOOSE or (outside and name not in ("p", "li")):
+            outside = name in LEFT_OUT or (name == "header" and not content) or not kept and (bool(named & (BESIDE - {"header"} if content else BESIDE)) or _hidden(attributes))
+            if name not in LOOSE or outside:
                 if name == "body" and stack:
                     stack = [x for x in stack if x[0] != "head"]
                     beside = stack[-1][1] if stack else False

@@ -213,6 +213,22 @@ def test_main_text():
     assert html.main_text("<p>&lt;tag&gt;</p>", score) == "<tag>"
 
 
+def test_what_is_hidden_or_beside():
+    def shown(page):
+        return " ".join(" ".join(t for k, t, beside, _ in html.tokens(page) if k == "#text" and not beside).split())
+
+    for attrs in (' data-title="The Hidden Cost"', ' title="a hidden gem"', ' class="x hidden md:block"', ' data-id="comments"', ' title="display: none"', ' style="--display: none-such"', " aria-hidden=false"):
+        assert shown(f"<div>a <a{attrs}>b</a> c</div>") == "a b c"
+        assert shown(f"<article{attrs}><p{attrs}>a</p></article>") == "a"
+    for attrs in (" hidden", " HIDDEN=''", " hidden class=x", ' style="color: red; Display : none"', " aria-hidden='true'", ' class="x advert"'):
+        assert shown(f"<div>a <a{attrs}>b</a> c</div>") == "a c"
+        assert shown(f"<div{attrs}><p>b</p></div><p>c") == "c"
+        page = f"<article{attrs}>a <p{attrs}>b<p>c <p{attrs}>b</p>d <p{attrs}>b<div>e </div>f </article>g"
+        assert shown(page) == "a c d e f g"
+        assert shown(f"<ul><li>a <li{attrs}>b<ul><li>b</li></ul>b</li><li>c <p{attrs}>b</li>d <li{attrs}>b</ul>e") == "a c d e"
+        assert shown(f"<table><tr><td{attrs}>b<td>a <tr{attrs}><td>b</td><tr><td>c </table>d") == "a c d"
+
+
 @given(st.lists(st.integers(-4, 4).map(float), max_size=12))
 def test_best_run(scores):
     start, end = html.best_run(scores)
