@@ -8,7 +8,8 @@ going down to them, each set of cutoffs must have an exact binomial (Clopper-Pea
 on its share of rejected good documents that is at most LIMIT. The walk ends at the first set that
 fails; such a fixed sequence of tests needs no further correction, and strata are corrected for by
 Bonferroni. So with probability 1 - DELTA, in no stratum more than LIMIT of good documents are
-rejected by the rules.
+rejected by the rules. Languages with few labels are one stratum, for whose mix that holds, not for
+each of them; a language without labelled good documents has no cutoffs.
 """
 
 from __future__ import annotations
@@ -177,7 +178,7 @@ def _bucket(rule: str) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame) -> dict[str, dict[str, float]]:
-    """Per stratum, the certified cutoff of each rule; rules without one are absent.
+    """Per language, the certified cutoff of each rule of its stratum; rules without one are absent.
 
     measured is the result of measures; labels has doc_id and quality (1 good, 0 bad). A document
     that is labelled twice alike counts once, one labelled both ways not at all, NULL labels and ids
@@ -215,11 +216,12 @@ def cutoffs(measured: DataFrame, labels: DataFrame) -> dict[str, dict[str, float
     for s, p in proposals.items():
         step = certify(levels.get(s, {}), LIMIT, DELTA / len(names))
         out[s] = {} if step is None else {rule: GRID[x + step] for rule, x in zip(RULES, p) if x is not None and x + step < len(GRID)}
-    return out
+    pooled = out.pop(POOLED)
+    return out | {s: pooled for s, _ in sizes if s not in out}
 
 
 def rejected(limits: dict[str, dict[str, float]], numbers: dict[str, Column] | None = None, lang: Column | None = None) -> Column:
-    """Over any cutoff of the document's stratum; strata without labels take the pooled ones."""
+    """Over any cutoff of the document's stratum; none is rejected in a language without cutoffs."""
     lang = F.col("lang") if lang is None else lang
 
     def any_over(rules: dict[str, float]) -> Column:
@@ -228,10 +230,9 @@ def rejected(limits: dict[str, dict[str, float]], numbers: dict[str, Column] | N
             out = out | (_ratio(rule, numbers) > cutoff)
         return out
 
-    out = any_over(limits.get(POOLED, {}))
-    for stratum, rules in sorted(limits.items()):
-        if stratum != POOLED:
-            out = F.when(lang == stratum, any_over(rules)).otherwise(out)
+    out = F.lit(False)
+    for language, rules in sorted(limits.items()):
+        out = F.when(lang == language, any_over(rules)).otherwise(out)
     return out
 
 

@@ -175,6 +175,15 @@ def test_exact_binomial_bound():
     assert quality.certify({0: 400, 3: 100}, 0.02, 0.05) == 3
 
 
+def test_languages_without_labels_have_no_cutoffs(spark):
+    plain, shouted = (" ".join(f"{w}{i}" for i in range(60)) for w in "wW")
+    made = [(i, "xx", shouted if i % 2 else plain) for i in range(880)] + [(10_000 + i, "yy", shouted) for i in range(9)]
+    docs = spark.createDataFrame(made, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(d, int(t is plain)) for d, lang, t in made if lang == "xx"], "doc_id long, quality int")
+    kept = {(r.lang, r.kept): r["count"] for r in quality.judge(docs, labels).groupBy("lang", "kept").count().collect()}
+    assert kept == {("xx", True): 440, ("xx", False): 440, ("yy", True): 9}
+
+
 PIECES = ["<", "s", ">", "\\", "/", "[", "INST", "]", " ", "ROLE", "\n", "<SYS>>"]
 
 
