@@ -1,7 +1,7 @@
 """Expected results of the queries that SQL can express, for DuckDB over the given tables.
 
-The others have no SQL: XXH64 with a seed (op2), learned scores and cutoffs (op3, op4, op6) and
-tokenizers (op7, op8, pipeline); tests/llm holds them against brute force instead.
+The others have no SQL: XXH64 with a seed (op2), learned scores and cutoffs (op3, op4, op6),
+tokenizers (op7, op8, pipeline) and eigenvectors (op11); tests/llm holds them against brute force instead.
 """
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,9 +78,66 @@ SELECT doc_id, n_lines::BIGINT AS n_lines, (n_lines - coalesce(n, 0))::BIGINT AS
 FROM (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id) LEFT JOIN rest USING (doc_id)
 """
 
+OP12 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct([array_to_string(w[i:i + least(4, len(w)) - 1], ' ') FOR i IN range(1, greatest(len(w) - 3, least(len(w), 1)) + 1)]) AS g FROM w),
+e AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
+link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.r = link.a),
+least_ AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, component_id FROM s JOIN least_ USING (doc_id)
+"""
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    parts = " || ".join(f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in fields)
+    return f"sha256({parts})"
+
+
+#: Levels of 16 per source, then levels of 16 over the sources' tops; grp 0 is a source's tree, grp 1 the one above.
+OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
+    {_leaf("text")} AS leaf, {_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS lowered,
+    xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, [ascii(c)::UBIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+      lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::UBIGINT FOR k IN range(8)]), lambda v, k: xor(v >> 1, (v & 1) * 3988292384::UBIGINT)))) % 5 = 0 AS tampered
+  FROM documents),
+low AS (
+  SELECT 0 AS lv, s, pos, leaf AS digest, count(*) OVER (PARTITION BY s) AS n FROM d
+  UNION ALL
+  SELECT any_value(lv) + 1, s, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 15) // 16) FROM low WHERE n > 1 GROUP BY s, pos // 16),
+top AS (SELECT s, max(lv) AS lv, arg_max(digest, lv) AS subroot FROM low GROUP BY s),
+high AS (
+  SELECT 0 AS lv, s AS pos, subroot AS digest, count(*) OVER () AS n FROM top
+  UNION ALL
+  SELECT any_value(lv) + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 15) // 16) FROM high WHERE n > 1 GROUP BY pos // 16),
+root AS (SELECT arg_max(digest, lv) AS root FROM high),
+step AS (
+  SELECT doc_id, low.lv AS step, coalesce(string_agg(digest, '' ORDER BY low.pos) FILTER (low.pos < d.pos // 16**low.lv), '') AS l,
+    coalesce(string_agg(digest, '' ORDER BY low.pos) FILTER (low.pos > d.pos // 16**low.lv), '') AS r
+  FROM d JOIN low ON d.s = low.s AND low.n > 1 AND low.pos // 16 = (d.pos // 16**low.lv) // 16 GROUP BY ALL
+  UNION ALL
+  SELECT doc_id, top.lv + high.lv, coalesce(string_agg(digest, '' ORDER BY high.pos) FILTER (high.pos < d.s // 16**high.lv), ''),
+    coalesce(string_agg(digest, '' ORDER BY high.pos) FILTER (high.pos > d.s // 16**high.lv), '')
+  FROM d JOIN top USING (s) JOIN high ON high.n > 1 AND high.pos // 16 = (d.s // 16**high.lv) // 16 GROUP BY ALL),
+fold AS (
+  SELECT doc_id, 0 AS step, if(tampered, lowered, leaf) AS digest FROM d
+  UNION ALL
+  SELECT doc_id, fold.step + 1, sha256(l || digest || r) FROM fold JOIN step USING (doc_id, step)),
+folded AS (SELECT doc_id, arg_max(digest, step) AS folded_root FROM fold GROUP BY doc_id),
+proof AS (SELECT doc_id, string_agg(l || r, '' ORDER BY step) AS p FROM step GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM d JOIN top USING (s) CROSS JOIN root JOIN folded USING (doc_id) LEFT JOIN proof USING (doc_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": OP1,
     "op5_chat": OP5,
     "op9_repeated_passages": OP9,
     "op10_line_dedup": OP10,
+    "op12_jaccard_join": OP12,
+    "op13_merkle_manifest": OP13,
 }

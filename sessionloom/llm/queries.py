@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import bpe, chat, dac, decontaminate, html, lines, merkle, quality, simhash, suffix, urls, whitening
+from sessionloom.llm import bpe, chat, dac, decontaminate, html, jaccard, lines, merkle, quality, simhash, suffix, urls, whitening
 from sessionloom.llm.common import read, shared_folder
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -70,10 +70,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents linked at 85 % of their distinct four-word shingles."""
+    return jaccard.similar_documents(read(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's leaf and proof, and the root that its version of the tree has."""
     proven = merkle.manifest(read(spark, sf_dir, "documents"))
     return proven.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_html, op4_quality, op5_chat, op6_url_filter, op7_byte_bpe, op8_token_files, op9_repeated_passages, op10_line_dedup, op11_whitening, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_html, op4_quality, op5_chat, op6_url_filter, op7_byte_bpe, op8_token_files, op9_repeated_passages, op10_line_dedup, op11_whitening, op12_jaccard_join, op13_merkle_manifest)}
