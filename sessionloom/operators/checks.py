@@ -70,7 +70,7 @@ class Check:
         return f"{self.kind}({self.column or ', '.join(self.columns)})"
 
 
-def _failing_rows(check: Check) -> Column:
+def failing_rows(check: Check) -> Column:
     """Row-level checks as an additive count, so that a table's all run in one scan."""
     col = F.col(check.column)
     bad = col.isNull() if check.kind == "not_null" else ~col.isin(list(check.values))
@@ -113,7 +113,7 @@ def run_checks(tables: Mapping[str, DataFrame], checks: Sequence[Check]) -> Data
                 ]
             )
             outcomes.append(
-                df.agg(*[_failing_rows(c).alias(f"f{n}") for n, c in enumerate(row_level)])
+                df.agg(*[failing_rows(c).alias(f"f{n}") for n, c in enumerate(row_level)])
                 .select(F.explode(counted).alias("c"))
                 .select(F.lit(table).alias("table_name"), "c.*")
             )

@@ -48,20 +48,14 @@ def sessionise(
     )
 
 
-def session_rollup(sessionised: DataFrame) -> DataFrame:
-    """One row per session: span, size, first-event attributes and the presence flag per step.
-
-    Events collapse to a row per session and slice first. Where sessionise kept the slices, they
-    already lie that way and nothing moves; only those rows are shuffled to merge a device's
-    slices, so a device or session of any size is safe. Keys are hashed last.
-    """
+def session_parts(sessionised: DataFrame, *by: str) -> DataFrame:
+    """What a session's events of one slice, day or other part ``by`` add to the session; its opening event's attributes."""
     # One row of a session opens it; only that row builds the struct.
     opening = F.when(
         F.col("is_new_session") == 1,
         F.struct("session_id", "event_date", "first_touch", *TRAFFIC),
     )
-    slices = [SLICE] if SLICE in sessionised.columns else []
-    parts = sessionised.groupBy("device_id", *slices, "session_num").agg(
+    return sessionised.groupBy("device_id", *by, "session_num").agg(
         F.min("time_stamp").alias("session_start"),
         F.max("time_stamp").alias("session_end"),
         F.count(F.lit(1)).alias("event_count"),
@@ -72,9 +66,12 @@ def session_rollup(sessionised: DataFrame) -> DataFrame:
             for step in FUNNEL_EVENTS
         ],
     )
-    rolled = parts
-    if slices:
-        rolled = parts.groupBy("device_id", "session_num").agg(
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """One row per session from all of its parts, as session_rollup gives it."""
+    return _rolled(
+        parts.groupBy("device_id", "session_num").agg(
             F.min("session_start").alias("session_start"),
             F.max("session_end").alias("session_end"),
             F.sum("event_count").alias("event_count"),
@@ -82,6 +79,22 @@ def session_rollup(sessionised: DataFrame) -> DataFrame:
             F.max("first").alias("first"),
             *[F.max(f"reached_{step}").alias(f"reached_{step}") for step in FUNNEL_EVENTS],
         )
+    )
+
+
+def session_rollup(sessionised: DataFrame) -> DataFrame:
+    """One row per session: span, size, first-event attributes and the presence flag per step.
+
+    Events collapse to a row per session and slice first. Where sessionise kept the slices, they
+    already lie that way and nothing moves; only those rows are shuffled to merge a device's
+    slices, so a device or session of any size is safe. Keys are hashed last.
+    """
+    if SLICE in sessionised.columns:
+        return merged_parts(session_parts(sessionised, SLICE))
+    return _rolled(session_parts(sessionised))
+
+
+def _rolled(rolled: DataFrame) -> DataFrame:
     rolled = rolled.withColumn("ga_session_count", F.size("native_ids").cast("bigint"))
     return rolled.select(
         surrogate_key("device_id", "session_num").alias("session_key"),
