@@ -15,9 +15,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.sources.tables import overwrite_table, work_folder
+
 SLICE = "_slice"
-#: Rows are counted per key and minute first, and one by one only where a minute holds too many.
-CELL_MICROS = 60_000_000
+#: Rows of hot keys are counted per stretch of time, first long ones, then within those that hold too many.
+GRAINS = (10**12, 10**9, 10**6, 10**3, 1)
+#: At one instant texts go on parting them, by so many first characters, then as a whole.
+PREFIXES = (2, 4, 8)
 
 
 @dataclass(frozen=True)
@@ -27,7 +31,8 @@ class HotKeys:
     Every row is processed whichever keys are cut, so finding them may be approximate: rows are
     counted by one in ``counted_one_in``, decided by a hash of their place in the order. There are
     at most rows / min_rows hot keys. A slice holds ``slice_rows`` rows and at most as many again:
-    a minute of a key isn't split unless it holds more, and then between its different places.
+    a stretch of time of a key isn't split unless it holds more, and in the end between its
+    different places. Nor does a window over counts hold more than that, see slice_cells.
     """
 
     min_rows: int = 1_000_000
@@ -56,51 +61,72 @@ def _same(pairs: dict[str, str]) -> Column:
     return reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs.items()])
 
 
+def _grains(df: DataFrame, order: Sequence[str]):
+    """Finer and finer parts of the order, each a list of columns that parts the cells before it."""
+    micros = f"unix_micros({order[0]})"
+    for size in GRAINS:
+        yield [F.expr(f"{micros} - pmod({micros}, {size})")]
+    for name in order[1:]:
+        if dict(df.dtypes)[name] == "string":
+            yield from ([F.substring(name, 1, n)] for n in PREFIXES)
+        yield [F.col(name)]
+
+
+def slice_cells(df: DataFrame, key: str, order: Sequence[str], policy: HotKeys, hot: DataFrame) -> list[tuple[list[Column], DataFrame]]:
+    """Counts of the hot keys' rows, from coarse to fine, as places to cut at: (grain, cells) per level.
+
+    A cell (_cell_key, _parent, _cell_0, ...) begins after ``_start`` rows of its key: those before
+    its parent, known from the level above, and those of its parent's cells before it. So a window
+    holds the cells of one parent only, up to a thousand stretches of time, and only cells of more
+    than ``slice_rows`` rows are parted further, by what the order compares next. Where all of
+    those are small enough, their single places are the last level. A cell's ``_start`` is its
+    name: no two cells of a key and level begin at the same row.
+    """
+    rows = df.select(key, *order).join(hot, _same({key: "_hot_key"}), "left_semi").withColumn("_parent", F.lit(0).cast("bigint"))
+    grains, levels, grain = _grains(df, order), [], None
+    while grain := next(grains, None):
+        if levels and most <= 2 * policy.slice_rows:
+            grain, grains = [F.col(c) for c in order], iter(())
+        cells = [f"_cell_{n}" for n in range(len(grain))]
+        counts = rows.select(key, "_parent", *[g.alias(c) for g, c in zip(grain, cells)]).groupBy(key, "_parent", *cells).agg(F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy(key, "_parent").orderBy(*cells).rowsBetween(Window.unboundedPreceding, 0)
+        start = F.col("_parent") + F.sum("_n").over(before) - F.col("_n")
+        counted = counts.select(F.col(key).alias("_cell_key"), F.col("_parent").alias("_cell_parent"), *cells, "_n", start.alias("_start"))
+        level = overwrite_table(counted, work_folder(df.sparkSession, "cells"))
+        levels.append((grain, level))
+        full = level.where(F.col("_n") > policy.slice_rows)
+        most = full.agg(F.max("_n")).first()[0]
+        if most is None:
+            break
+        rows = _in_cells(rows, key, grain, full).select(key, *order, F.col("_start").alias("_parent"))
+    return levels
+
+
+def _in_cells(rows: DataFrame, key: str, grain: list[Column], cells: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows with the cell of their key and parent that they lie in."""
+    same = F.col(key).eqNullSafe(F.col("_cell_key")) & (F.col("_parent") == F.col("_cell_parent"))
+    for n, _ in enumerate(grain):
+        same &= F.col(f"_grain_{n}").eqNullSafe(F.col(f"_cell_{n}"))
+    return rows.select("*", *[g.alias(f"_grain_{n}") for n, g in enumerate(grain)]).join(cells, same, how)
+
+
 def with_slices(df: DataFrame, key: str, order: Sequence[str], policy: HotKeys) -> DataFrame:
     """Add ``_slice``: the slice of a hot key's row, rising in its order, NULL for every other key.
 
     ``order`` begins with the time; rows with equal values of all of it stay together. Whether
-    any key is hot is looked up at once, since the plan is far smaller where none is.
+    any key is hot, and how finely their rows must be counted, is looked up at once, since the
+    plan is far smaller where none is.
     """
     hot = hot_keys(df, key, order, policy)
     if hot.isEmpty():
         return df.withColumn(SLICE, F.lit(None).cast("bigint"))
-    minute = F.floor(F.unix_micros(order[0]) / CELL_MICROS)
-    named = {key: "_cell_key", "_minute": "_cell_minute"} | {c: f"_cell_{n}" for n, c in enumerate(order)}
-    rows = df.select(key, *order, minute.alias("_minute")).join(hot, _same({key: "_hot_key"}), "left_semi")
-    minutes = rows.groupBy(key, "_minute").agg(F.count(F.lit(1)).alias("_n"))
-    full = minutes.where(F.col("_n") > policy.slice_rows).select(
-        F.col(key).alias("_full_key"), F.col("_minute").alias("_full_minute")
-    )
-    places = (
-        rows.join(full, _same({key: "_full_key", "_minute": "_full_minute"}), "left_semi")
-        .groupBy(key, "_minute", *order)
-        .agg(F.count(F.lit(1)).alias("_n"), F.lit(True).alias("_one_place"))
-    )
-    cells = places.unionByName(
-        minutes.where(F.col("_n") <= policy.slice_rows).withColumn("_one_place", F.lit(False)),
-        allowMissingColumns=True,
-    )
-    before = Window.partitionBy(key).orderBy("_minute", *order)
-    counted = F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    cut = cells.select(
-        *[F.col(c).alias(n) for c, n in named.items()],
-        "_one_place",
-        F.floor(counted / policy.slice_rows).alias("_cell_slice"),
-    )
-    of_minutes = cut.where(~F.col("_one_place")).select(
-        "_cell_key", "_cell_minute", F.col("_cell_slice").alias("_slice_1")
-    )
-    of_places = cut.where("_one_place").select(
-        *named.values(), F.col("_cell_slice").alias("_slice_2")
-    )
-    return (
-        df.withColumn("_minute", minute)
-        .join(of_minutes, _same({key: "_cell_key", "_minute": "_cell_minute"}), "left")
-        .drop("_cell_key", "_cell_minute")
-        .join(of_places, _same(named), "left")
-        .select(*df.columns, F.coalesce("_slice_1", "_slice_2").alias(SLICE))
-    )
+    placed = df.withColumn("_parent", F.lit(0).cast("bigint"))
+    for n, (grain, cells) in enumerate(slice_cells(df, key, order, policy, hot)):
+        found = _in_cells(placed, key, grain, cells, "left")
+        # Rows of other keys have no place from the first level on; settled ones keep theirs.
+        at = F.coalesce("_start", "_parent") if n else F.col("_start")
+        placed = found.select(*df.columns, at.alias("_parent"))
+    return placed.select(*df.columns, F.floor(F.col("_parent") / policy.slice_rows).alias(SLICE))
 
 
 def slice_window(key: str, order: Sequence[str | Column]):

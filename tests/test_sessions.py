@@ -11,7 +11,7 @@ from sessionloom.config import EVENT_ORDER
 from sessionloom.functions.keys import traffic_key
 from sessionloom.operators.dims import current_attribution, devices
 from sessionloom.operators.history import asof_join, attribution_history
-from sessionloom.operators.runs import HotKeys, hot_keys, with_slices
+from sessionloom.operators.runs import HotKeys, hot_keys, slice_cells, with_slices
 from sessionloom.operators.sessions import session_facts, session_rollup, sessionise
 from sessionloom.plans.queries import rolled, staged
 
@@ -176,6 +176,28 @@ def test_slices_bound_a_task(spark, kind):
     assert falls.count() == 0
 
 
+@pytest.mark.parametrize("kind", ["one minute", "one instant", "no time"])
+def test_windows_over_counts_are_bounded_too(spark, kind):
+    """A million places of one key, all within a minute, at one instant, or without a time."""
+    n, rows = 1_000_000, 5_000
+    at = {"one minute": "1.7e15 + id * 59", "one instant": "1.7e15", "no time": "cast(null as bigint)"}[kind]
+    df = spark.range(n).selectExpr(
+        "'hot' AS device_id", f"timestamp_micros(cast({at} as bigint)) AS time_stamp", "cast(1000000 + id div 9 as string) AS session_id", "concat('e', id % 9) AS event_name"
+    )
+    policy = HotKeys(min_rows=100_000, slice_rows=rows)
+    levels = slice_cells(df, "device_id", EVENT_ORDER, policy, hot_keys(df, "device_id", EVENT_ORDER, policy))
+    for _, cells in levels:
+        assert cells.groupBy("_cell_key", "_cell_parent").count().agg(F.max("count")).first()[0] <= 2 * rows
+    sliced = with_slices(df, "device_id", EVENT_ORDER, policy)
+    sizes = sliced.groupBy("device_id", "_slice").agg(F.count("*").alias("n"), F.min(F.struct(*EVENT_ORDER)).alias("a"), F.max(F.struct(*EVENT_ORDER)).alias("b"))
+    found = sizes.orderBy("_slice").collect()
+    assert sum(r.n for r in found) == n and max(r.n for r in found) <= 2 * rows
+    if kind == "one minute":
+        assert all(x.b < y.a for x, y in zip(found, found[1:]))
+    else:
+        assert all((x.b.session_id, x.b.event_name) < (y.a.session_id, y.a.event_name) for x, y in zip(found, found[1:]))
+
+
 @pytest.mark.parametrize("kind", ["burst", "stray", "no key", "no time", "many keys"])
 def test_skewed_sessions_equal_plain_ones(spark, kind):
     df = skewed(spark, kind, 3000)
