@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.config import TRAFFIC
+from sessionloom.functions.keys import NULL_PART
 from sessionloom.sources.tables import overwrite_partitions, read_if_there
 
 KEY = "device_id"
@@ -18,9 +19,9 @@ VERSION = (*STATE, "valid_from", "valid_to", "attribution_version_key", "snapsho
 
 
 def _versions(state: list[Column], run_at: Column) -> Column:
-    """A version opened by this run."""
+    """A version opened by this run; devices without an id and with an empty one have keys of their own."""
     version_key = F.md5(
-        F.concat_ws("|", F.coalesce(state[0], F.lit("")), F.unix_micros(run_at).cast("string"))
+        F.concat_ws("|", F.coalesce(state[0], F.lit(NULL_PART)), F.unix_micros(run_at).cast("string"))
     )
     return F.struct(
         *state,

@@ -119,7 +119,10 @@ _RAW_TEXT = {
 assert set(_RAW_TEXT) == set(TEXT_FIELDS)
 
 
-def tables(gap: int = 1800, only: str = "true") -> str:
+DEVICE = "lower('U' || CAST(user_id AS VARCHAR))"
+
+
+def tables(gap: int = 1800, only: str = "true", device: str = DEVICE, time: str = "ts") -> str:
     """WITH clause: raw, stg, sess (events with sessions), fs (session fact), dimensions, items."""
     flags = ",\n".join(
         f"CAST(max(CASE WHEN event_name = '{s}' THEN 1 ELSE 0 END) AS INTEGER) AS reached_{s}"
@@ -166,8 +169,8 @@ def tables(gap: int = 1800, only: str = "true") -> str:
   LEFT JOIN region ON n_regionkey = r_regionkey
 ), stg AS (
   SELECT event_id AS eid, k, event_type, CAST(n_items AS INTEGER) AS n_items,
-    CAST(ts AS DATE) AS event_date, ts AS time_stamp, lower(raw_name) AS event_name,
-    lower('U' || CAST(user_id AS VARCHAR)) AS device_id,
+    CAST(ts AS DATE) AS event_date, {time} AS time_stamp, lower(raw_name) AS event_name,
+    {device} AS device_id,
     {cleaned("raw_title")} AS page_title, {cleaned("raw_location")} AS page_location,
     CAST(native_id AS VARCHAR) AS session_id,
     CASE WHEN k % 50 <> 0 THEN make_timestamp(us - k * 1000000) END AS first_touch,
@@ -834,6 +837,11 @@ def oracles() -> dict[str, str]:
         + "SELECT s.device_id, s.session_id, h.version_num, h.medium FROM fs AS s "
         "LEFT JOIN hist AS h ON h.device_id = s.device_id AND h.is_current = 1",
         "attribution_snapshot": tables() + _snapshot_sql("* REPLACE (epoch_us(attributed_at) AS attributed_at)"),
+        "attribution_log": tables() + _snapshot_sql("* REPLACE (epoch_us(attributed_at) AS attributed_at)"),
+        "attribution_log_before": tables()
+        + "SELECT * REPLACE (CAST(NULL AS BIGINT) AS valid_to) FROM ("
+        + _snapshot_sql("* REPLACE (epoch_us(attributed_at) AS attributed_at)")
+        + f") WHERE valid_from <= {run_micros(RUNS[0])}",
         "dim_attribution": tables() + _snapshot_sql(
             "attribution_version_key, device_id, traffic_source_key, medium, traffic_source, "
             "source_name, valid_from, valid_to, CASE WHEN valid_to IS NULL THEN 1 ELSE 0 END AS is_current"
@@ -1069,4 +1077,8 @@ def oracles() -> dict[str, str]:
             **FACT_TIMES,
         ),
     }
-    return out
+    out["streamed_numbered_sessions"] = tables(
+        device=f"CASE WHEN user_id % 10 <> 9 THEN {DEVICE} END", time="CASE WHEN k <> 13 THEN ts END"
+    ) + rounded(f"SELECT {fact_columns} FROM fs", "", **FACT_TIMES)
+    refreshed = {"sessions": "fct_sessions", "events": "fct_events", "attribution": "attribution_versions", "devices": "dim_devices", "funnel": "rpt_funnel"}
+    return out | {f"refreshed_{name}": out[same] for name, same in refreshed.items()}

@@ -7,8 +7,8 @@ booleans as 0/1, doubles rounded, so that another engine's result compares value
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
-from functools import reduce
+from datetime import datetime, timedelta, timezone
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,9 +48,12 @@ from sessionloom.operators.sessions import (
     with_derived_dimensions,
 )
 from sessionloom.operators.snapshot import SnapshotStore, attribution_dimension
+from sessionloom.operators.snapshot_log import SnapshotLog
 from sessionloom.operators.staging import TEXT_FIELDS, stage_events
 from sessionloom.plans import dashboard, reports
 from sessionloom.plans.build import build, build_window, refresh_days
+from sessionloom.plans.incremental import full_build, refresh
+from sessionloom.plans.incremental import tables as built_tables
 from sessionloom.session import configure
 from sessionloom.sources.adapter import raw_export, table
 from sessionloom.sources.export import read_export, read_sharded_export, write_export
@@ -60,6 +63,8 @@ from sessionloom.sources.tables import (
     overwrite_table,
     work_folder,
 )
+from sessionloom.sources.versions import TableStore
+from sessionloom.streaming.numbered import append_available, corrected, number_sessions
 from sessionloom.streaming.sessions import stream_sessions, write_available
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -954,4 +959,93 @@ def streamed_sessions(spark, folder):
     late = events.where(F.col("event_date") >= cut).unionByName(closing)
     late.write.mode("append").parquet(f"{root}/in")
     run()
-    return spark.read.parquet(f"{root}/out").where(F.col("device_id") != "closing")
+    return spark.read.parquet(f"{root}/out").where(~F.col("device_id").eqNullSafe("closing"))
+
+
+def with_gaps(events) -> DataFrame:
+    """Staged events of which some have no device and some no time."""
+    return events.withColumns(
+        {
+            "device_id": F.when(~F.col("device_id").endswith("9"), F.col("device_id")),
+            "time_stamp": F.when(~F.col("page_location").endswith("?k=13"), F.col("time_stamp")),
+        }
+    )
+
+
+@query
+def streamed_numbered_sessions(spark, folder):
+    """Numbered sessions from a stream in three runs, with devices and times missing; every fourth
+    event of the first half of the days comes with the second half, and some with the last run."""
+    root = work_folder(spark, "numbered")
+    events = kept(with_gaps(staged(spark, folder).drop("items")), "gaps")
+    nth = F.pmod(F.xxhash64("device_id", "session_id", "event_name"), F.lit(40))
+    early = F.col("event_date") < F.to_date(F.lit(CUT_DAY), "yyyyMMdd")
+    arrival = F.when(nth == 0, 2).when(early & (nth >= 10), 0).otherwise(1)
+    for n in range(3):
+        events.where(arrival == n).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        append_available(number_sessions(stream), f"{root}/out", f"{root}/checkpoint")
+    return session_facts(corrected(spark, f"{root}/out", events))
+
+
+# --- builds that are refreshed --------------------------------------------------------------
+
+
+@lru_cache(maxsize=1)
+def _refreshed(spark, folder) -> TableStore:
+    """A build over an export that lacks purchases in two weeks, then a refresh of those days with them."""
+    raw = raw_export(spark, folder, with_items=True)
+    inside = F.col("event_date").between(*WINDOW)
+    lacking = raw.where(~(inside & (F.col("event_name") == "purchase")))
+    store = TableStore(spark, work_folder(spark, "refreshed"))
+    full_build(store, lacking, whole_span=True)
+    refresh(store, raw.where(inside), *WINDOW, whole_span=True)
+    return store
+
+
+@query
+def refreshed_sessions(spark, folder):
+    return with_derived_dimensions(built_tables(_refreshed(spark, folder))["fct_sessions"])
+
+
+@query
+def refreshed_events(spark, folder):
+    return built_tables(_refreshed(spark, folder))["fct_events"]
+
+
+@query
+def refreshed_attribution(spark, folder):
+    return built_tables(_refreshed(spark, folder))["attribution_history"]
+
+
+@query
+def refreshed_devices(spark, folder):
+    return built_tables(_refreshed(spark, folder))["dim_devices"]
+
+
+@query
+def refreshed_funnel(spark, folder):
+    return built_tables(_refreshed(spark, folder))["rpt_funnel"]
+
+
+def _logged(spark, folder) -> SnapshotLog:
+    """Two runs and a compaction between, and a run after which nothing has changed."""
+    log = SnapshotLog(spark, work_folder(spark, "log"))
+    events = staged(spark, folder)
+    cut = F.to_date(F.lit(CUT_DAY), "yyyyMMdd")
+    log.run(current_attribution(events.where(F.col("event_date") < cut)), RUNS[0])
+    log.compact()
+    log.run(current_attribution(events), RUNS[1])
+    log.run(current_attribution(events), RUNS[1] + timedelta(days=1))
+    return log
+
+
+@query
+def attribution_log(spark, folder):
+    return _logged(spark, folder).read()
+
+
+@query
+def attribution_log_before(spark, folder):
+    """The history as the first run left it, read after the later runs."""
+    return _logged(spark, folder).read(RUNS[0])
