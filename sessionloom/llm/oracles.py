@@ -116,13 +116,13 @@ high AS (
   SELECT any_value(lv) + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), any_value((n + 15) // 16) FROM high WHERE n > 1 GROUP BY pos // 16),
 root AS (SELECT arg_max(digest, lv) AS root FROM high),
 step AS (
-  SELECT doc_id, low.lv AS step, coalesce(string_agg(digest, '' ORDER BY low.pos) FILTER (low.pos < d.pos // 16**low.lv), '') AS l,
-    coalesce(string_agg(digest, '' ORDER BY low.pos) FILTER (low.pos > d.pos // 16**low.lv), '') AS r
-  FROM d JOIN low ON d.s = low.s AND low.n > 1 AND low.pos // 16 = (d.pos // 16**low.lv) // 16 GROUP BY ALL
+  SELECT doc_id, low.lv AS step, coalesce(string_agg(digest, '' ORDER BY low.pos) FILTER (low.pos < (d.pos >> (4 * low.lv))), '') AS l,
+    coalesce(string_agg(digest, '' ORDER BY low.pos) FILTER (low.pos > (d.pos >> (4 * low.lv))), '') AS r
+  FROM d JOIN low ON d.s = low.s AND low.n > 1 AND low.pos // 16 = (d.pos >> (4 * low.lv)) // 16 GROUP BY ALL
   UNION ALL
-  SELECT doc_id, top.lv + high.lv, coalesce(string_agg(digest, '' ORDER BY high.pos) FILTER (high.pos < d.s // 16**high.lv), ''),
-    coalesce(string_agg(digest, '' ORDER BY high.pos) FILTER (high.pos > d.s // 16**high.lv), '')
-  FROM d JOIN top USING (s) JOIN high ON high.n > 1 AND high.pos // 16 = (d.s // 16**high.lv) // 16 GROUP BY ALL),
+  SELECT doc_id, top.lv + high.lv, coalesce(string_agg(digest, '' ORDER BY high.pos) FILTER (high.pos < (d.s >> (4 * high.lv))), ''),
+    coalesce(string_agg(digest, '' ORDER BY high.pos) FILTER (high.pos > (d.s >> (4 * high.lv))), '')
+  FROM d JOIN top USING (s) JOIN high ON high.n > 1 AND high.pos // 16 = (d.s >> (4 * high.lv)) // 16 GROUP BY ALL),
 fold AS (
   SELECT doc_id, 0 AS step, if(tampered, lowered, leaf) AS digest FROM d
   UNION ALL
