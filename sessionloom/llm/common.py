@@ -124,11 +124,15 @@ def named(df: DataFrame, names: DataFrame | None, *columns: str) -> DataFrame:
 
 
 def with_ids(docs: DataFrame) -> DataFrame:
-    """docs with _id, a doc_id of its own for each document (see keyed)."""
-    own, names = keyed(docs, F.struct(*docs.columns).alias("_row"))
+    """(_id, _row): a doc_id of its own for each document (see keyed), and the row with all its columns.
+
+    The caller's columns stay inside _row, whatever their names.
+    """
+    row = F.struct(*docs.columns).alias("_row")
+    own, names = keyed(docs, row)
     if names is None:
-        return docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return names.select("_row.*", F.col("doc_id").alias("_id"))
+        return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), row)
+    return names.select(F.col("doc_id").alias("_id"), "_row")
 
 
 def shown_id(name: str = "doc_id"):
@@ -163,8 +167,8 @@ def with_texts(docs: DataFrame, texts_of: Callable[[DataFrame], DataFrame]) -> D
     """
     names = docs.columns
     own = with_ids(docs)
-    texts = texts_of(own.select(F.col("_id").alias("doc_id"), "text"))
-    rest = own.select("_id", F.struct(*(c for c in names if c not in ("text", "n_chars"))).alias("_rest"))
+    texts = texts_of(own.select(F.col("_id").alias("doc_id"), F.col("_row.text").alias("text")))
+    rest = own.select("_id", F.struct(*(F.col(f"_row.`{c}`").alias(c) for c in names if c not in ("text", "n_chars"))).alias("_rest"))
     joined = rest.join(texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text")), "_id")
     kinds = dict(docs.dtypes)
     made = {

@@ -100,7 +100,7 @@ def measures(docs: DataFrame) -> DataFrame:
 MEASURED = "_measured"
 
 
-def with_measures(docs: DataFrame) -> DataFrame:
+def with_measures(docs: DataFrame, name: str = MEASURED) -> DataFrame:
     """docs, whose column text is measured, with one more column of its numbers."""
     at = docs.columns.index("text")
     kind = pa.struct([(c, pa.int64()) for c in COLUMNS])
@@ -109,10 +109,10 @@ def with_measures(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = np.array([measure(x or "") for x in batch.column(at).to_pylist()], np.int64).reshape(-1, len(COLUMNS))
             numbers = pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(COLUMNS))], fields=list(kind))
-            yield pa.RecordBatch.from_arrays([*batch.columns, numbers], [*batch.schema.names, MEASURED])
+            yield pa.RecordBatch.from_arrays([*batch.columns, numbers], [*batch.schema.names, name])
 
     numbers = T.StructType([T.StructField(c, T.LongType()) for c in COLUMNS])
-    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(MEASURED, numbers)]))
+    return map_batches(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, numbers)]))
 
 
 def _columns(numbers: dict[str, Column] | None) -> dict[str, Column]:
@@ -251,6 +251,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that judge keeps, with all their columns and without a shuffle of texts."""
     limits = cutoffs(cut(measures(docs)), labels)
-    numbers = {c: F.col(f"{MEASURED}.{c}") for c in COLUMNS}
+    own = MEASURED
+    while own in map(str.lower, docs.columns):
+        own += "_"
+    numbers = {c: F.col(f"{own}.{c}") for c in COLUMNS}
     bad = base_failed(numbers) | rejected(limits, numbers, F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    return with_measures(docs).where(~bad).drop(MEASURED)
+    return with_measures(docs, own).where(~bad).drop(own)

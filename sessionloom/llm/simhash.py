@@ -242,6 +242,6 @@ def first_of_groups(docs: DataFrame, width: int = 3, bits: int = MAX_BITS) -> Da
     There is a row per document (see in_order): rows that are equal in doc_id and text are one.
     """
     own = with_ids(docs)
-    groups = near_duplicates(own.select(F.col("_id").alias("doc_id"), "text"), width, bits)
+    groups = near_duplicates(own.select(F.col("_id").alias("doc_id"), F.col("_row.text").alias("text")), width, bits)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
-    return own.join(gone, "_id", "left_anti").select(*docs.columns)
+    return own.join(gone, "_id", "left_anti").select("_row.*")
