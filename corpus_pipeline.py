@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionloom.llm import bpe, decontaminate, lines, quality, simhash
-from sessionloom.llm.common import read, with_texts
+from sessionloom.llm.common import read, shared_folder, with_texts
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -49,8 +49,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the documents that the stages leave."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of the documents that the stages leave.
+
+    What a stage leaves is written to the shared folder, so that the next one, which reads it
+    several times, and a lost executor need no earlier stage again.
+    """
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for n, (_, stage) in enumerate(STAGES[:-1]):
+        left = stage(spark, docs, sf_dir)
+        folder = shared_folder(spark, f"stage-{n + 1}")
+        left.write.parquet(folder)
+        docs = spark.read.schema(left.schema).parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)
