@@ -17,6 +17,8 @@ band are two bitmaps, and a column is a handful of bit operations.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,56 +124,62 @@ def first_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first")).select("first.doc_id", "first.at")
 
 
-def _later_first() -> list[Column]:
-    """The pair (a, b) of places as (doc_id, at, by_doc, by_at), the later line first."""
+def _near_later(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(doc_id, at) of the later lines of pairs (a, b) of places that are within the threshold."""
     later, earlier = F.greatest("a", "b"), F.least("a", "b")
-    return [later.doc_id.alias("doc_id"), later.at.alias("at"), earlier.doc_id.alias("by_doc"), earlier.at.alias("by_at")]
+    ends = pairs.select(later.doc_id.alias("doc_id"), later.at.alias("at"), earlier.doc_id.alias("by_doc"), earlier.at.alias("by_at")).distinct()
+    by = texts.select(F.col("doc_id").alias("by_doc"), F.col("at").alias("by_at"), F.col("line").alias("by_line"))
+    both = ends.join(texts, ["doc_id", "at"]).join(by, ["by_doc", "by_at"])
+    thin = F.levenshtein("line", "by_line", threshold) >= 0  # thins out, and is itself verified
+    return both.where(thin).where(within("line", "by_line", threshold)).select("doc_id", "at").distinct()
+
+
+def _stars(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) of places: every line of a key with the first that it can be near to there."""
+    place, is_index = F.struct("doc_id", "at"), F.col("is_index")
+    heads = met.groupBy("key").agg(F.min(F.when(is_index, place)).alias("index"), F.min(F.when(~is_index, place)).alias("probe"))
+    both = met.join(heads, "key").select(F.when(is_index, F.col("probe")).otherwise(F.col("index")).alias("a"), place.alias("b"))
+    return both.where("a <> b").distinct()
 
 
 def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, at) of the first lines that have an earlier first line within the threshold."""
+    """(doc_id, at) of the first lines that have an earlier first line within the threshold.
+
+    One such line is enough. So each line of a key is compared with the key's first line, which
+    settles most lines of a template, and only lines that are not settled are compared with all
+    earlier ones of their keys.
+    """
     lines = _at_lines(docs, firsts)
     keys = F.concat(index_keys(threshold), probe_keys(threshold))
     sized = lines.withColumn("size", F.length("line"))  # a pass over the line, and many keys need it
     keyed = sized.select("doc_id", "at", F.posexplode(keys).alias("nth", "key")).select("key", "doc_id", "at", (F.col("nth") <= threshold).alias("is_index"))
-    # Most keys are of one line alone; what is left is little, and dealt out once for all its uses
-    # (by another column, too, or Spark would find it dealt out already and compute it for each use).
+    # Most keys are of one line alone; what is left is little, and stored for all its uses.
     same = Window.partitionBy("key")
     several = (F.min("doc_id").over(same) != F.max("doc_id").over(same)) | (F.min("at").over(same) != F.max("at").over(same))
     counted = keyed.withColumn("n", F.count_if("is_index").over(same)).withColumn("several", several)
-    met = counted.where(F.col("several") & (F.col("n") > 0)).drop("several").repartition("key", "doc_id")
-
-    def part(is_index: bool, crowded: bool, name: str) -> DataFrame:
-        wanted = (F.col("is_index") == is_index) & ((F.col("n") > crowd) == crowded)
-        # Always true or false; being random, it stays behind the shuffle, so that the parts share it.
-        own = met.where(F.when(wanted, F.rand()).otherwise(2.0) < 1.5)
-        return own.select("key", F.col("doc_id").alias(f"doc_{name}"), F.col("at").alias(f"at_{name}"))
-
-    a, b = F.struct(F.col("doc_a").alias("doc_id"), F.col("at_a").alias("at")).alias("a"), F.struct(F.col("doc_b").alias("doc_id"), F.col("at_b").alias("at")).alias("b")
-    other = (F.col("doc_a") != F.col("doc_b")) | (F.col("at_a") != F.col("at_b"))
-    pairs = part(False, False, "b").join(part(True, False, "a"), "key").where(other).select(a, b).select(*_later_first()).distinct()
-
-    # Segments of a crowd: who has them, who probes for them, and the texts of both.
-    crowded, probing = part(True, True, "a"), part(False, True, "b")
-    ends = [
-        pairs.select("doc_id", "at"),
-        pairs.select(F.col("by_doc").alias("doc_id"), F.col("by_at").alias("at")),
-        crowded.select(F.col("doc_a").alias("doc_id"), F.col("at_a").alias("at")),
-        probing.select(F.col("doc_b").alias("doc_id"), F.col("at_b").alias("at")),
-    ]
-    texts = _at_lines(docs, ends[0].unionByName(ends[1]).unionByName(ends[2]).unionByName(ends[3]).distinct())
-
-    def of(name: str) -> DataFrame:
-        return texts.select(F.col("doc_id").alias(f"doc_{name}"), F.col("at").alias(f"at_{name}"), F.col("line").alias(f"line_{name}"))
-
-    near = F.levenshtein("line_a", "line_b", threshold) >= 0  # thins out, and is itself verified below
-    close = probing.join(of("b"), ["doc_b", "at_b"]).join(crowded.join(of("a"), ["doc_a", "at_a"]), (probing.key == crowded.key) & other & near)
-    close = close.select(a, b).select(*_later_first()).distinct()
-
-    by = texts.select(F.col("doc_id").alias("by_doc"), F.col("at").alias("by_at"), F.col("line").alias("by_line"))
-    both = pairs.unionByName(close).join(texts, ["doc_id", "at"]).join(by, ["by_doc", "by_at"])
-    thin = F.levenshtein("line", "by_line", threshold) >= 0
-    return both.where(thin).where(within("line", "by_line", threshold)).select("doc_id", "at").distinct()
+    met = cut(counted.where(F.col("several") & (F.col("n") > 0)).drop("several"))
+    texts = cut(_at_lines(docs, met.select("doc_id", "at").distinct()))
+    settled = cut(_near_later(_stars(met), texts, threshold))
+    open_ = met.join(settled.withColumn("settled", F.lit(True)), ["doc_id", "at"], "left").withColumn("open", F.col("settled").isNull())
+
+    def ends(is_index: bool, crowded: bool, name: str) -> DataFrame:
+        own = open_.where((F.col("is_index") == is_index) & ((F.col("n") > crowd) == crowded))
+        if crowded:  # the texts come along, and what is too far apart makes no row of the join
+            own = own.join(texts, ["doc_id", "at"]).withColumnRenamed("line", f"line_{name}")
+        return own.select("key", F.struct("doc_id", "at").alias(name), F.col("open").alias(f"open_{name}"), *([f"line_{name}"] if crowded else []))
+
+    def pairs(crowded: bool) -> list[DataFrame]:
+        found = []
+        for later, earlier in (("a", "b"), ("b", "a")):
+            on = F.col(earlier) < F.col(later)
+            if crowded:
+                on &= F.levenshtein("line_a", "line_b", threshold) >= 0
+            index, probe = (ends(name == "a", crowded, name).where(f"open_{name}" if name == later else "true").withColumnRenamed("key", f"key_{name}") for name in ("a", "b"))
+            found.append(index.join(probe, (F.col("key_a") == F.col("key_b")) & on).select("a", "b"))
+        return found
+
+    rest = reduce(DataFrame.unionByName, [*pairs(False), *pairs(True)]).distinct()
+    return settled.unionByName(_near_later(rest, texts, threshold)).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
