@@ -19,6 +19,7 @@ that any store that Spark reaches can hold them; parts ascend by doc_id, as do s
 from __future__ import annotations
 
 import functools
+import json
 import re
 import struct
 import zlib
@@ -35,6 +36,8 @@ from sessionloom.llm.common import Batches, in_order, map_batches, shown_id, sli
 #: Tokens of a segment, about; a document is never split between segments.
 SEGMENT_TOKENS = 1 << 20
 BATCH_BYTES = 8 << 20
+#: Tokens read at a time.
+READ_TOKENS = 1 << 18
 #: Encoded stretches, and matches, that a worker remembers, up to twice as many of either.
 REMEMBERED = 350_000
 _BLOCK = 512
@@ -61,9 +64,12 @@ _SPACE = _SHOWN[32]
 
 @functools.lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
-    """One per Python worker; special tokens' strings in a text are ordinary text."""
+    """One per Python worker. Its texts must be split as here: by bytes, without changing them before."""
     made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
+    said = json.loads(made.to_str())
+    split = said["pre_tokenizer"] or {}
+    if said["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError(f"{path}: not a byte-level tokenizer that leaves texts as they are")
     return made
 
 
@@ -90,11 +96,15 @@ class Encoder:
 
     Every match of the byte-level pattern is encoded by itself, by the library's model. No match
     holds a space after anything but white space, so a text may be cut before each such space, and
-    a new stretch into its matches.
+    a new stretch into its matches. Texts that hold an added token of the file (such as the one
+    that ends a text) are the library's to encode.
     """
 
     def __init__(self, path: str):
-        self.model = tokenizer(path).model
+        self.library = tokenizer(path)
+        self.model = self.library.model
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.matches = Remembered(self._match)
         self.first = Remembered(self._stretch)
         #: By the stretch without the space that it begins with.
@@ -120,6 +130,9 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Its ids as little-endian unsigned 32-bit integers."""
+        if self.added and self.added.search(text):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         parts = text.split(" ")
         if text[:1] == " " or _RUN.search(text):  # spaces after white space stay with what follows
             joined, open_end = [parts[0]], not parts[0] or parts[0][-1].isspace()
@@ -291,18 +304,33 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end: int, segment_t
     segments.write.mode("overwrite").option("compression", "none").parquet(folder)
 
 
+def _crcs(segment: Segment) -> list[int]:
+    """crc32 of every document's tokens; documents that follow each other are read at once."""
+    out, a, first = [], 0, 0
+    ends = segment.ends.tolist()
+    while first < len(ends):
+        last = max(first + 1, int(np.searchsorted(segment.ends, a + READ_TOKENS, "right")))
+        if ends[first] - a > READ_TOKENS:
+            crc = 0
+            for tokens in segment.document(first):
+                crc = zlib.crc32(tokens.astype("<u4").tobytes(), crc)
+            out.append(crc)
+            last = first + 1
+        else:
+            data = memoryview(segment.range(a, ends[last - 1]).astype("<u4").tobytes())
+            begins = [a, *ends[first : last - 1]]
+            out += [zlib.crc32(data[4 * (x - a) : 4 * (y - a)]) for x, y in zip(begins, ends[first:last])]
+        a, first = ends[last - 1], last
+    return out
+
+
 def _read(batches: Batches) -> Batches:
     for batch in batches:
         for part, number, data in zip(batch.column("part").to_pylist(), batch.column("segment").to_pylist(), batch.column("data")):
             segment = Segment(data.as_buffer())
             ends = segment.ends
             begins = np.concatenate((np.zeros(1, np.int64), ends[:-1])) if len(ends) else ends
-            crcs = []
-            for k in range(len(ends)):
-                crc = 0
-                for tokens in segment.document(k):
-                    crc = zlib.crc32(tokens.astype("<u4").tobytes(), crc)
-                crcs.append(crc)
+            crcs = _crcs(segment)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(ends), part), pa.int32()),

@@ -3,6 +3,7 @@
 import random
 import re
 import tempfile
+import zlib
 from collections import Counter
 from math import comb
 
@@ -12,7 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from sessionloom.llm import bpe, chat, dac, decontaminate, html, quality, simhash, suffix, urls
 
@@ -104,19 +105,36 @@ def test_codes_give_random_access(ids):
         assert np.concatenate([*segment.document(k, 64), np.empty(0, np.uint32)]).tolist() == document.tolist()
 
 
-ODD_TEXTS = ["", " ", "a", " a  b", "\n a\n\nb", "don't  's 't", "a\x1c b\u3000 c ", "né e", "<|endoftext|> a",
+ODD_TEXTS = ["", " ", "a", " a  b", "\n a\n\nb", "don't  's 't", "a\x1c b\u3000 c ", "né e", "<|endoftext|> a", "b<|endoftext|>c  <|endoftext|>",
              "x.y, z. 1 2½ ²", "word " * 50 + "\n" * 9, "𝔘nïcode 😀😀 z" * 9]
 
 
 def test_stretches_are_tokens_of_the_whole():
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     encode = dac.Encoder(path)
     for text in ODD_TEXTS:
         assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 18])
+def test_documents_read_at_once(monkeypatch, at_once):
+    monkeypatch.setattr(dac, "READ_TOKENS", at_once)
+    rng = np.random.default_rng(at_once)
+    documents = [rng.integers(0, 60_000, int(n)).astype(np.uint32) for n in rng.choice([0, 1, 2, 9, 700], 60)]
+    segment = dac.Segment(dac.encode_segment(list(range(60)), documents))
+    assert dac._crcs(segment) == [zlib.crc32(d.astype("<u4").tobytes()) for d in documents]
+    assert dac._crcs(dac.Segment(dac.encode_segment([], []))) == []
+
+
+def test_files_of_other_tokenizers_are_refused(tmp_path):
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    other.pre_tokenizer = pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "other.json"))
+    with pytest.raises(ValueError, match="byte-level"):
+        dac.Encoder(str(tmp_path / "other.json"))
+
+
 def test_long_texts_are_cut_safely(monkeypatch):
     enc = bpe.encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     assert isinstance(enc, tiktoken.Encoding)
