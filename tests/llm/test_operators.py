@@ -108,7 +108,6 @@ def test_byte_bpe(spark, folder, documents):
 
 def check_token_files(got, texts):
     library = Tokenizer.from_file(TOKENIZER)
-    library.encode_special_tokens = True
     start = 0
     for d in sorted(texts, key=lambda x: (x is not None, x)):
         ids = [*library.encode(texts[d] or "", add_special_tokens=False).ids, 2]
@@ -251,6 +250,29 @@ def test_line_dedup_of_odd_rows(spark, odd):
         assert got == {1: f"{one}\nshort", 2: f"short\nshort\n{far}", 3: "", -(2**63): "x"}
 
 
+def test_lines_of_one_template(spark):
+    """Lines that share their segments: each with an earlier line within two edits goes, no other."""
+    rng = np.random.default_rng(9)
+    numbers = rng.permutation(100_000)[:500].tolist()
+    template = [f"A report of the weather station near the old harbour, number {n:05d}, filed without remarks." for n in numbers]
+    copies = [f"Some line that was copied many times over, with a letter {c}changed here or there in it." for c in "abcdefghijkl" for _ in range(9)]
+    docs = spark.createDataFrame([(i, "\n".join([*template[i * 10 : i * 10 + 10], *copies[i * 2 : i * 2 + 2]])) for i in range(50)], "doc_id long, text string")
+    firsts = cut(lines.first_lines(docs))
+    got = {(r.doc_id, r["at"]) for r in lines.near_lines(docs, firsts).collect()}
+    seen, want = set(), set()
+    for i, n in enumerate(numbers):
+        digits = f"{n:05d}"
+        if any(digits[:a] + x + digits[a + 1 : b] + y + digits[b + 1 :] in seen for a in range(5) for b in range(a + 1, 5) for x in "0123456789" for y in "0123456789"):
+            want.add((i // 10, i % 10))
+        seen.add(digits)
+    moved = {w for w in got - want if w[1] < 10}  # a digit inserted and one deleted
+    assert want <= got
+    for d, at in moved:
+        own = f"{numbers[d * 10 + at]:05d}"
+        earlier = {f"{n:05d}" for n in numbers[: d * 10 + at]}
+        assert any(own[:a] + own[a + 1 :] == e[:b] + e[b + 1 :] for e in earlier for a in range(5) for b in range(5))
+
+
 def test_line_distance_is_the_edit_distance(spark):
     import random
 
@@ -387,3 +409,19 @@ def test_stages_on_odd_rows(spark, odd, tmp_path, folder):
             assert out.dtypes == docs.dtypes
             docs = out if out.count() > 2 else docs
         corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+
+
+def test_stages_keep_columns_of_any_name(spark, folder, tmp_path):
+    """Columns named as the operators name theirs inside come through with their values."""
+    for table in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(60)
+    for ids in ("doc_id", "doc_id % 50"):
+        own = docs.selectExpr(f"{ids} AS doc_id", "text", "lang", "source", "n_chars", *(f"concat('{c}', doc_id, '/', text) AS `{c}`" for c in ("_id", "_measured", "_row", "_text", "_rest", "_nth")))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = cut(stage(spark, own, str(tmp_path)))
+            assert out.dtypes == own.dtypes and out.count() > 0
+            for r in out.collect():
+                first = r["_id"].removeprefix("_id")
+                assert all(r[c] == c + first for c in ("_measured", "_row", "_text", "_rest", "_nth"))
+                assert r.doc_id in (int(first.split("/")[0]), int(first.split("/")[0]) % 50)
