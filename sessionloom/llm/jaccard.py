@@ -9,8 +9,8 @@ prefix_length). So
   in the inverted lists of its own; small sets near the boundary post them too, for larger partners.
 
 The boundary is the one of least cost, from the sizes of all sets and the mean length of a list.
-Rare elements come first: frequencies are counted over all documents, and the most frequent ones,
-a list of bounded length, go to the end in the order of their frequency.
+Rare elements come first: frequencies are counted over all documents, in classes by the power of
+two, and looked up in a table of bounded size.
 
 Sets that share a key are not all paired. First each is compared with one of them (the key's
 centre), which links families of near copies at once. Only sets of a key that are not connected
@@ -25,6 +25,7 @@ two sets of the corpus shared those, all are hashed anew with another seed.
 from __future__ import annotations
 
 from functools import lru_cache, reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,28 +38,39 @@ from sessionloom.llm.components import components
 
 WIDTH = 4
 PERCENT = 85
-#: Elements counted one by one to come last in the order: at most so many reach a total's share of 1 in so many.
-HEAVY_ELEMENTS = 1 << 20
-LEAST_HEAVY = 16
+#: Frequencies are known by the first so many bits of an element's hash: a table of 16 MB.
+CELL_BITS = 24
+#: Cells that travel as one row.
+_PIECE = 1 << 18
+#: Lists of elements found less often count for the cost of a key.
+FREQUENT = 16
 #: Elements that one task counts, about.
-_COUNTED = 1 << 22
+_COUNTED = 1 << 20
 #: Elements a worker holds before it hands their counts on.
-_HELD = 1 << 21
+_HELD = 1 << 20
 #: Cost of looking at a member of an inverted list, against that of writing a key.
 SCAN_COST = 0.1
 WORDS = 8
+#: Elements of the prefixes that two similar sets have in common at least, where one is large.
+SHARED = 4
 #: Members of a key compared in one block with each other.
 BLOCK = 1024
 #: Sets that one task compares with a centre.
 STAR = 2000
-_BATCH_BYTES = 16 << 20
-_ROWS = 1 << 17
+#: So many ids, 16 bytes each, may be sent to every executor.
+FEW_IDS = 1 << 20
+_BATCH_BYTES = 2 << 20
 _U = np.uint64
 
 
 # --- sets ---------------------------------------------------------------------------------------
 
 
+def _mixed_once(x: np.ndarray) -> np.ndarray:
+    x = x * _U(0x9E3779B97F4A7C15)
+    return x ^ (x >> _U(32))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits."""
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -66,44 +78,84 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Longer words are hashed one by one.
+_LONG = 24
+
+
 class Shingler:
-    """Distinct shingle hashes of texts, sorted. Remembers the hashes of words."""
+    """Distinct shingle hashes of texts, sorted per text; a run of bytes of all texts at a time."""
 
     def __init__(self, width: int, seed: int):
-        self.width, self.seed, self.known = width, seed, {}
-
-    def words(self, text: bytes) -> np.ndarray:
-        own, known, seed = text.lower().split(), self.known, self.seed
-        if len(known) > 1_000_000:
-            known.clear()
-        for w in own:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w, seed)
-        return np.fromiter(map(known.__getitem__, own), _U, len(own))
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = self.words(text)
-        if not len(words):
-            return words
-        n = min(len(words), self.width)
-        with np.errstate(over="ignore"):
-            h = np.full(len(words) - n + 1, n, _U)
-            for i in range(n):
-                h = _mixed(h + words[i : len(words) - n + 1 + i])
-        return np.unique(h)
-
-
-def _digest(elements: np.ndarray) -> tuple[int, int]:
-    """(identity, check): two halves of a 128-bit digest as longs."""
-    both = np.frombuffer(xxhash.xxh3_128_digest(elements.astype("<u8").tobytes()), "<i8")
-    return int(both[0]), int(both[1])
-
-
-def bitmap(elements: np.ndarray) -> np.ndarray:
-    """A bit is set where an odd number of elements falls on it."""
-    places = (elements >> _U(20)).astype(np.int64) % (64 * WORDS)
-    odd = (np.bincount(places, minlength=64 * WORDS) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view("<i8")
+        self.width, self.seed = width, seed
+        self.table = np.random.default_rng(seed).integers(0, 2**64, 256, dtype=_U)
+
+    def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of every word, words of each text)."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        data = b" ".join(texts).lower()
+        own = np.frombuffer(data, np.uint8)
+        edges = np.diff(_SPACE[own].view(np.int8), prepend=1, append=1)
+        starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+        h, live = np.full(len(starts), self.seed, _U), np.arange(len(starts))
+        length = ends - starts
+        for n in range(_LONG):
+            live = live[length[live] > n]
+            h[live] = _mixed_once(h[live] ^ self.table[own[starts[live] + n]])
+        for i in live[length[live] > _LONG].tolist():
+            h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]], self.seed)
+        before = np.searchsorted(starts, np.cumsum(sizes + 1))
+        return h, np.diff(before, prepend=0)
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(elements of all texts, where each text's end): one array for many texts."""
+        words, many = self.words(texts)
+        sizes = np.where(many, np.maximum(many - self.width + 1, 1), 0)
+        ends = np.cumsum(sizes)
+        text_of = np.repeat(np.arange(len(many)), sizes)
+        at = np.repeat(np.cumsum(many) - many - (ends - sizes), sizes) + np.arange(len(text_of))
+        length = np.repeat(np.minimum(many, self.width), sizes)
+        h = length.astype(_U)
+        for i in range(self.width):
+            there = i < length
+            h = _mixed(h + words[at + i]) if there.all() else np.where(there, _mixed(h + words[np.where(there, at + i, 0)]), h)
+        for first, end in zip((ends - sizes).tolist(), ends.tolist()):
+            h[first:end].sort()
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (text_of[1:] != text_of[:-1])
+        return h[new], np.cumsum(np.bincount(text_of[new], minlength=len(many)))
+
+    def one(self, text: bytes) -> np.ndarray:
+        return self([text])[0]
+
+
+def _texts(batches: Batches):
+    """(batch, its texts), of bounded size."""
+    for batch in batches:
+        for part in slices(batch, "text", _BATCH_BYTES):
+            yield part, raw(part.column("text"))
+
+
+def _digests(elements: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(identity, check) per set: two halves of a 128-bit digest as longs."""
+    data = memoryview(elements.astype("<u8").tobytes())
+    begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+    found = b"".join(xxhash.xxh3_128_digest(data[8 * a : 8 * b]) for a, b in zip(begins.tolist(), ends.tolist()))
+    return np.frombuffer(found, "<i8").reshape(-1, 2)
+
+
+def bitmaps(elements: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Per set WORDS longs: a bit is set where an odd number of its elements falls on it."""
+    bits, out = 64 * WORDS, np.empty((len(ends), WORDS), np.int64)
+    sizes = np.diff(ends, prepend=0)
+    place = ((elements >> _U(20)) % _U(bits)).astype(np.int64)
+    for at in range(0, len(ends), 1024):
+        to = min(at + 1024, len(ends))
+        first = ends[at - 1] if at else 0
+        own = np.repeat(np.arange(to - at), sizes[at:to]) * bits + place[first : ends[to - 1]]
+        odd = (np.bincount(own, minlength=(to - at) * bits) & 1).astype(np.uint8).reshape(-1, bits)
+        out[at:to] = np.packbits(odd, axis=1, bitorder="little").view("<i8")
+    return out
 
 
 _INFO = "doc_id long, n long, sid long, other long, " + ", ".join(f"s{i} long" for i in range(WORDS))
@@ -112,15 +164,11 @@ _INFO = "doc_id long, n long, sid long, other long, " + ", ".join(f"s{i} long" f
 def _infos(width: int, seed: int):
     def run(batches: Batches) -> Batches:
         shingles = Shingler(width, seed)
-        for batch in batches:
-            n, ids, maps = [], [], np.zeros((batch.num_rows, WORDS), np.int64)
-            for i, text in enumerate(raw(batch.column("text"))):
-                elements = shingles(text)
-                n.append(len(elements))
-                ids.append(_digest(elements))
-                maps[i] = bitmap(elements)
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(c, pa.int64()) for c in (zip(*ids) if ids else ((), ())))]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(m) for m in maps.T.copy())], ["doc_id", "n", "sid", "other", *(f"s{i}" for i in range(WORDS))])
+        for part, texts in _texts(batches):
+            elements, ends = shingles(texts)
+            n, ids, maps = np.diff(ends, prepend=0), _digests(elements, ends), bitmaps(elements, ends)
+            columns = [part.column("doc_id"), pa.array(n), pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), *(pa.array(m) for m in maps.T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "sid", "other", *(f"s{i}" for i in range(WORDS))])
 
     return run
 
@@ -134,8 +182,8 @@ def least_overlap(n, percent: int):
 
 
 def prefix_length(n, k: int, percent: int):
-    """So many first elements of a set of n hold k of those it shares with any similar set."""
-    return n - least_overlap(n, percent) + k
+    """So many first elements of a set of n hold k of those it shares with any similar set, or all."""
+    return np.minimum(n, n - least_overlap(n, percent) + k)
 
 
 def alone(n, percent: int):
@@ -154,7 +202,7 @@ def boundary(sizes: dict[int, int], met: float, percent: int) -> int:
     many = np.array([sizes[int(s)] for s in own], float)
     p = prefix_length(own, 2, percent).astype(float)
     subsets = np.concatenate(([0], np.cumsum(many * p * (p - 1) / 2)))
-    lists = many * prefix_length(own, 1, percent) * (1 + SCAN_COST * met)
+    lists = many * prefix_length(own, SHARED, percent) * (1 + SCAN_COST * met)
     rest = np.concatenate((np.cumsum(lists[::-1])[::-1], [0]))
     none_large = 2 * own[-1] * 100 // percent
     bounds = np.concatenate((own, [none_large]))
@@ -183,20 +231,19 @@ def _held_counts(held: list[np.ndarray], bits: int) -> pa.RecordBatch:
 def _counts(width: int, seed: int, bits: int):
     def run(batches: Batches) -> Batches:
         shingles, held, n = Shingler(width, seed), [], 0
-        for batch in batches:
-            for text in raw(batch.column("text")):
-                held.append(shingles(text))
-                n += len(held[-1])
-                if n > _HELD:
-                    yield _held_counts(held, bits)
-                    held, n = [], 0
+        for _, texts in _texts(batches):
+            held.append(shingles(texts)[0])
+            n += len(held[-1])
+            if n > _HELD:
+                yield _held_counts(held, bits)
+                held, n = [], 0
         yield _held_counts(held, bits)
 
     return run
 
 
-def _heavy(bits: int, least: int):
-    """Per bucket its elements counted at least so often; and, as element -1, totals over the others."""
+def _classes(bits: int):
+    """Per bucket the frequency class of each of its cells, and totals over elements that are not frequent."""
 
     def run(batches: Batches) -> Batches:
         at, values, numbers = None, [], []
@@ -204,18 +251,18 @@ def _heavy(bits: int, least: int):
         def close():
             elements, inverse = np.unique(np.concatenate(values), return_inverse=True)
             total = np.bincount(inverse, np.concatenate(numbers)).astype(np.int64)
-            heavy = total >= least
-            light = total[~heavy]
-            # At most all bits but one fit a long; the last ones are left out of it.
-            names = ((elements[heavy].astype(_U) | (_U(at) << _U(32))) & _U(2**63 - 1)).astype(np.int64)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate((names, [-1]))),
-                    pa.array(np.concatenate((total[heavy], [light.sum()]))),
-                    pa.array(np.concatenate((np.zeros(len(names)), [(light.astype(float) ** 2).sum()]))),
-                ],
-                ["element", "n", "squares"],
-            )
+            cells = np.zeros(1 << (CELL_BITS - bits), np.uint8)
+            np.maximum.at(cells, elements >> np.uint32(32 - CELL_BITS + bits), np.log2(total).astype(np.uint8))
+            rare = total[total < FREQUENT].astype(float)
+            places = list(range(0, len(cells), _PIECE))
+            none = [0.0] * (len(places) - 1)
+            columns = [
+                pa.array([at * len(cells) + p for p in places], pa.int64()),
+                pa.array([cells[p : p + _PIECE].tobytes() for p in places]),
+                pa.array([float(rare.sum()), *none]),
+                pa.array([float((rare**2).sum()), *none]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["first", "cells", "n", "squares"])
 
         for batch in batches:
             for bucket, once, often, counts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "once", "often", "counts"))):
@@ -232,39 +279,33 @@ def _heavy(bits: int, least: int):
 
 
 class Order:
-    """Elements by frequency class (0 for all that are not heavy), then by hash."""
-
-    def __init__(self, bits: int, elements: np.ndarray, counts: np.ndarray):
-        place = np.argsort(elements)
-        self.bits, self.elements = bits, elements[place]
-        self.classes = (1 + np.log2(np.maximum(counts[place], 1))).astype(np.int8)
+    """Elements by the class of their cell, then by hash. Any cells give an order that is right."""
 
-    def classes_of(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.elements):
-            return np.zeros(len(hashes), np.int8)
-        names = ((hashes >> _U(32 - self.bits)) & _U(2**63 - 1)).astype(np.int64)
-        at = np.minimum(np.searchsorted(self.elements, names), len(self.elements) - 1)
-        return np.where(self.elements[at] == names, self.classes[at], 0).astype(np.int8)
+    def __init__(self, cells: np.ndarray):
+        self.cells = cells
 
-    def first(self, elements: np.ndarray, n: int) -> np.ndarray:
-        """The n first elements of a sorted set, in order."""
-        return elements[np.argsort(self.classes_of(elements), kind="stable")[:n]]
+    def sorted(self, elements: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The elements of many sets, each set's in order."""
+        place = np.repeat(np.arange(len(ends)) * 64, np.diff(ends, prepend=0)) + self.cells[elements >> _U(65 - len(self.cells).bit_length())]
+        return elements[np.argsort(place, kind="stable")]
 
 
 def order_of(docs: DataFrame, total: int, width: int, seed: int) -> tuple[Order, float]:
-    """The order of elements by their frequency in docs, and the mean number of others in a light element's list.
+    """The order of elements by their frequency in docs, and the mean number of others in a rare element's list.
 
-    An element is heavy if it makes up 1 in HEAVY_ELEMENTS of all or more, so there are at most that many.
+    All elements are counted. What is sent to the executors is the class of 2**CELL_BITS cells, the
+    highest of its elements: bounded, whatever the corpus. In a large one a cell's elements are
+    more, so elements rarer than most cells' highest class lie among each other by hash.
     """
-    bits = min(31, max(0, int(total // _COUNTED).bit_length()))
-    least = max(LEAST_HEAVY, -(-total // HEAVY_ELEMENTS))
+    bits = min(CELL_BITS, int(total // _COUNTED).bit_length())
     counted = map_batches(docs, _counts(width, seed, bits), "bucket long, once binary, often binary, counts binary")
     grouped = counted.repartition("bucket").sortWithinPartitions("bucket")
-    found = cut(map_batches(grouped, _heavy(bits, least), "element long, n long, squares double"))
-    light = found.where("element < 0").agg(F.sum("n"), F.sum("squares")).first()
-    heavy = found.where("element >= 0").select("element", "n").toArrow()
-    order = Order(bits, heavy.column("element").to_numpy(), heavy.column("n").to_numpy())
-    return order, (light[1] / light[0] - 1 if light[0] else 0.0)
+    found = cut(map_batches(grouped, _classes(bits), "first long, cells binary, n double, squares double"))
+    rare = found.agg(F.sum("n"), F.sum("squares")).first()
+    cells = np.zeros(1 << CELL_BITS, np.uint8)
+    for r in found.select("first", "cells").toLocalIterator():
+        cells[r.first : r.first + len(r.cells)] = np.frombuffer(r.cells, np.uint8)
+    return Order(cells), (rare[1] / rare[0] - 1 if rare[0] else 0.0)
 
 
 # --- keys ---------------------------------------------------------------------------------------
@@ -275,50 +316,34 @@ def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
-def keys(elements: np.ndarray, order: Order, bound: int, percent: int) -> np.ndarray:
-    """The keys of a set: two similar sets have one in common at least."""
-    n = len(elements)
-    if not n or alone(n, percent):
-        return np.empty(0, _U)
-    first = order.first(elements, prefix_length(n, 2, percent))
-    out = []
-    with np.errstate(over="ignore"):
-        if n < bound:
-            a, b = _pairs(len(first))
-            out.append(_mixed(first[a] * _U(0x9E3779B97F4A7C15) + _mixed(first[b])))
-        if n >= least_overlap(bound, percent):
-            out.append(_mixed(first[: prefix_length(n, 1, percent)] ^ _U(0x5851F42D4C957F2D)))
-    return np.unique(np.concatenate(out))
+def keys(elements: np.ndarray, ends: np.ndarray, order: Order, bound: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, set) for many sets: two similar sets have a key in common, of single elements SHARED where one is large."""
+    first, n = order.sorted(elements, ends), np.diff(ends, prepend=0)
+    begins, able = ends - n, (n > 0) & ~alone(n, percent)
+    listed = np.where(able & (n >= least_overlap(bound, percent)), prefix_length(n, SHARED, percent), 0)
+    owner = np.repeat(np.arange(len(n)), listed)
+    at = begins[owner] + np.arange(len(owner)) - (np.cumsum(listed) - listed)[owner]
+    made, owners = [_mixed(first[at] ^ _U(0x5851F42D4C957F2D))], [owner]
+    for i in np.flatnonzero(able & (n < bound)):
+        own = first[begins[i] : begins[i] + prefix_length(n[i], 2, percent)]
+        a, b = _pairs(len(own))
+        made.append(_mixed(own[a] * _U(0x9E3779B97F4A7C15) + _mixed(own[b])))
+        owners.append(np.full(len(a), i))
+    return np.concatenate(made), np.concatenate(owners)
 
 
 def _postings(width: int, seed: int, order, bound: int, percent: int):
     def run(batches: Batches) -> Batches:
-        shingles, seen, held, n = Shingler(width, seed), set(), [], 0
-        own = order.value
-
-        def flush():
-            many = [len(k) for _, k in held]
-            columns = [pa.array(np.concatenate([k for _, k in held]).view(np.int64)), pa.array(np.repeat(np.array([s for s, _ in held], np.int64), many))]
-            return pa.RecordBatch.from_arrays(columns, ["key", "sid"])
-
-        for batch in batches:
-            for text in raw(batch.column("text")):
-                elements = shingles(text)
-                sid = _digest(elements)[0]
-                if sid in seen:
-                    continue
-                if len(seen) > 500_000:
-                    seen.clear()
-                seen.add(sid)
-                made = keys(elements, own, bound, percent)
-                if len(made):
-                    held.append((sid, made))
-                    n += len(made)
-                if n > _ROWS:
-                    yield flush()
-                    held, n = [], 0
-        if held:
-            yield flush()
+        shingles, seen = Shingler(width, seed), set()
+        for _, texts in _texts(batches):
+            elements, ends = shingles(texts)
+            sid = _digests(elements, ends)[:, 0]
+            new = np.fromiter((not (s in seen or seen.add(s)) for s in sid.tolist()), bool, len(sid))
+            if len(seen) > 500_000:
+                seen.clear()
+            made, owner = keys(elements, ends, order.value, bound, percent)
+            kept = new[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(made[kept].view(np.int64)), pa.array(sid[owner[kept]])], ["key", "sid"])
 
     return run
 
@@ -336,10 +361,11 @@ def _near(a: str, b: str, percent: int) -> Column:
 def _elements(width: int, seed: int):
     def run(batches: Batches) -> Batches:
         shingles = Shingler(width, seed)
-        for batch in batches:
-            for part in slices(batch, "text", _BATCH_BYTES):
-                found = [shingles(text).astype("<u8").tobytes() for text in raw(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("sid"), pa.array(found, pa.binary())], ["sid", "elements"])
+        for part, texts in _texts(batches):
+            elements, ends = shingles(texts)
+            data, begins = elements.astype("<u8").tobytes(), np.concatenate(([0], ends[:-1])) if len(ends) else ends
+            found = [data[8 * a : 8 * b] for a, b in zip(begins.tolist(), ends.tolist())]
+            yield pa.RecordBatch.from_arrays([part.column("sid"), pa.array(found, pa.binary())], ["sid", "elements"])
 
     return run
 
@@ -355,7 +381,7 @@ def _compare(percent: int):
 
     def run(batches: Batches) -> Batches:
         at, centre = None, np.empty(0, _U)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "elements", _BATCH_BYTES)):
             out = []
             for a, salt, b, data in zip(*(batch.column(c).to_pylist() for c in ("a", "_salt", "b", "elements"))):
                 elements = np.frombuffer(data, "<u8")
@@ -372,7 +398,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, width: int, se
     """The pairs (a, b) whose sets are similar. A set in many pairs is sent to several tasks."""
     spark = pairs.sparkSession
     wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    ids = wanted.join(info, "sid").select("sid", F.col("first_id").alias("doc_id"))
+    ids = cut(wanted.join(info, "sid").select("sid", F.col("first_id").alias("doc_id")))
+    # Few ids go to the texts, many meet them in a shuffle.
+    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
     folder = shared_folder(spark, "elements")
     map_batches(docs.join(ids, "doc_id").select("sid", "text"), _elements(width, seed), "sid long, elements binary").write.parquet(folder)
     sets = spark.read.parquet(folder)
@@ -398,48 +426,50 @@ def _near_pairs(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(_near("x", "y", percent)).select("a", "b")
 
 
-def _block_pairs(percent: int):
-    """Members of a key and of two of its blocks to the pairs that may be similar and are not connected yet."""
+def _block_pairs(percent: int, bound: int):
+    """Members of a key and of two of its blocks to the pairs that may be similar and are not connected yet.
+
+    ``need`` is the number of keys that a similar pair of these sizes has in common.
+    """
 
-    def pairs_of(rows: list[tuple]):
-        own = np.array([r[:-1] for r in rows], np.int64)  # block, sid, comp, n, bitmap
-        own = own[np.argsort(own[:, 3], kind="stable")]
-        block, sid, comp, n, maps = own[:, 0], own[:, 1], own[:, 2], own[:, 3], own[:, 4:].astype(_U)
-        first, second = rows[0][-1]
+    def pairs_of(own: np.ndarray) -> tuple[np.ndarray, ...]:
+        own = own[np.argsort(own[:, 6], kind="stable")]
+        first, second, block, sid, comp, n, maps = *own[:, 1:7].T, own[:, 7:].astype(_U)
         reach = np.searchsorted(n, n * 100 // percent, "right")
-        for i in range(len(own)):
-            j = slice(i + 1, reach[i])
+        found = []
+        for i in range(len(own) - 1):
+            j = i + 1 + np.flatnonzero(comp[i + 1 : reach[i]] != comp[i])
+            if first[0] != second[0]:
+                j = j[block[j] != block[i]]
             apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
-            hit = (comp[j] != comp[i]) & (apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent))
-            if first != second:
-                hit &= block[j] != block[i]
-            for other in sid[j][hit].tolist():
-                yield min(int(sid[i]), other), max(int(sid[i]), other)
+            j = j[apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
+            if len(j):
+                need = np.where(n[j] < bound, 1, np.minimum(SHARED, least_overlap(n[j], percent)))
+                found.append((np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]), need))
+        return tuple(map(np.concatenate, zip(*found))) if found else (np.empty(0, np.int64),) * 3
 
     def run(batches: Batches) -> Batches:
-        key, rows = None, []
-
-        def flush():
-            found = list(dict.fromkeys(pairs_of(rows))) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
-
-        names = ["_block", "sid", "comp", "n", *(f"s{i}" for i in range(WORDS))]
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in names]
-            for k, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "_i", "_j")), *columns):
-                if rows and (k, i, j) != key:
-                    yield flush()
-                    rows = []
-                key = k, i, j
-                rows.append((*row, (i, j)))
-        if rows:
-            yield flush()
+        names = ["key", "_i", "_j", "_block", "sid", "comp", "n", *(f"s{i}" for i in range(WORDS))]
+        rest = np.empty((0, len(names)), np.int64)
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                rest = np.concatenate((rest, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])))
+            starts = np.flatnonzero((rest[1:, :3] != rest[:-1, :3]).any(1)) + 1 if len(rest) else np.empty(0, np.int64)
+            groups = np.split(rest, starts)
+            if batch is not None:
+                rest = groups.pop()
+            found = [pairs_of(g) for g in groups if len(g) > 1]
+            columns = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "need"])
 
     return run
 
 
-def _rest(shared: DataFrame, links: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that share a key, may be similar, and that links do not connect.
+def _rest(shared: DataFrame, links: DataFrame, info: DataFrame, percent: int, bound: int) -> DataFrame:
+    """Pairs (a, b) that share as many keys as similar ones do, may be similar, and that links do not connect.
+
+    A key that is left out here, or a centre of a key, has been compared with the pair's other set;
+    all other keys a pair shares are met here, so they can be counted.
 
     Keys whose sets are all connected go, and those of two sets, which were compared. The others'
     sets are dealt to blocks of bounded size by a hash, and every two blocks of a key meet in a group.
@@ -453,7 +483,8 @@ def _rest(shared: DataFrame, links: DataFrame, info: DataFrame, percent: int) ->
     dealt = dealt.select("key", F.least("_block", "_with").alias("_i"), F.greatest("_block", "_with").alias("_j"), "_block", "sid", "comp")
     full = dealt.join(info.drop("first_id", "copies"), "sid")
     grouped = full.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
-    return map_batches(grouped, _block_pairs(percent), "a long, b long").distinct()
+    met = map_batches(grouped, _block_pairs(percent, bound), "a long, b long, need long")
+    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_keys"), F.max("need").alias("need")).where("_keys >= need").select("a", "b")
 
 
 def _sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
@@ -473,13 +504,14 @@ def links(docs: DataFrame, info: DataFrame, seed: int, width: int = WIDTH, perce
     sizes = info.groupBy("n").agg(F.count(F.lit(1)).alias("sets"), F.sum("copies").alias("docs")).collect()
     order, met = order_of(docs, sum(r.n * r.docs for r in sizes), width, seed)
     bound = boundary({r.n: r.sets for r in sizes}, met, percent)
-    made = _postings(width, seed, spark.sparkContext.broadcast(order), bound, percent)
-    posted = _stored(map_batches(docs, made, "key long, sid long"), "postings")
+    shared_order = spark.sparkContext.broadcast(order)
+    posted = _stored(map_batches(docs, _postings(width, seed, shared_order, bound, percent), "key long, sid long"), "postings")
+    shared_order.destroy()
     span = posted.groupBy("key").agg(F.min("sid").alias("centre"), F.max("sid").alias("_last")).where("centre <> _last").select("key", "centre")
     shared = _stored(posted.join(span, "key"), "shared")
     stars = shared.where("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
     found = _verified(cut(_near_pairs(stars, info, percent)), docs, info, width, seed, percent)
-    rest = cut(_rest(shared, found, info, percent).join(stars, ["a", "b"], "left_anti"))
+    rest = cut(_rest(shared, found, info, percent, bound).join(stars, ["a", "b"], "left_anti"))
     if rest.limit(1).count() == 0:
         return found
     return found.unionByName(_verified(rest, docs, info, width, seed, percent))

@@ -96,7 +96,7 @@ def test_every_boundary_gives_the_same(spark, monkeypatch, bound):
     monkeypatch.setattr(jaccard, "boundary", lambda *_: bound)
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     monkeypatch.setattr(jaccard, "STAR", 3)
-    monkeypatch.setattr(jaccard, "LEAST_HEAVY", 3)
+    monkeypatch.setattr(jaccard, "CELL_BITS", 8)
     assert shown(jaccard.similar_documents(table(spark, texts))) == plain(texts)
 
 
@@ -137,12 +137,25 @@ def test_prefixes_share_enough(k, percent):
                 assert len(a & b) >= k
 
 
+def test_shingles_of_many_texts():
+    rng = random.Random(6)
+    texts = ["", " ", *(" ".join(rng.choice("abc") for _ in range(rng.randrange(12))) for _ in range(200)), "a b c", "A  b\tc", "d"]
+    elements, ends = jaccard.Shingler(4, 0)([t.encode() for t in texts])
+    sets = [frozenset(x.tolist()) for x in np.split(elements, ends[:-1])]
+    assert [len(s) for s in sets] == [len(shingles(t)) for t in texts] == np.diff(ends, prepend=0).tolist()
+    same = {}
+    for t, s in zip(texts, sets):
+        assert same.setdefault(frozenset(shingles(t)), s) == s
+    assert len(set(same.values())) == len(same)
+
+
 def test_bitmaps_never_differ_in_more_than_the_sets():
     rng = np.random.default_rng(5)
     for _ in range(200):
         x, y = (np.unique(rng.integers(0, 2**63, int(rng.integers(0, 900)), dtype=np.uint64)) for _ in range(2))
         z = np.union1d(rng.choice(x, len(x) // 2, replace=False) if len(x) else x, y)
-        apart = int(np.bitwise_count((jaccard.bitmap(x) ^ jaccard.bitmap(z)).view(np.uint64)).sum())
+        maps = jaccard.bitmaps(np.concatenate((x, z)), np.array([len(x), len(x) + len(z)])).view(np.uint64)
+        apart = int(np.bitwise_count(maps[0] ^ maps[1]).sum())
         assert apart <= len(np.setxor1d(x, z))
 
 
@@ -150,11 +163,12 @@ def test_heavy_elements_come_last(spark):
     texts = [f"all these common words stand here and then {i} ends" for i in range(40)]
     docs = table(spark, dict(enumerate(texts)))
     order, met = jaccard.order_of(docs, 40 * 7, 4, 0)
-    elements = [jaccard.Shingler(4, 0)(t.encode()) for t in texts]
+    elements = [jaccard.Shingler(4, 0).one(t.encode()) for t in texts]
     common = set.intersection(*(set(e.tolist()) for e in elements))
     for e in elements:
-        first = order.first(e, len(e)).tolist()
+        first = order.sorted(e, np.array([len(e)])).tolist()
         assert set(first[-len(common) :]) == common and met == 0
+    assert set(order.cells.tolist()) == {0, 5}
 
 
 def test_boundary_is_the_cheapest():
@@ -162,7 +176,7 @@ def test_boundary_is_the_cheapest():
 
     def cost(bound, met):
         small = sum(c * jaccard.prefix_length(s, 2, 85) * (jaccard.prefix_length(s, 2, 85) - 1) / 2 for s, c in sizes.items() if s < bound and not jaccard.alone(s, 85))
-        large = sum(c * jaccard.prefix_length(s, 1, 85) * (1 + jaccard.SCAN_COST * met) for s, c in sizes.items() if s >= jaccard.least_overlap(bound, 85) and not jaccard.alone(s, 85))
+        large = sum(c * jaccard.prefix_length(s, jaccard.SHARED, 85) * (1 + jaccard.SCAN_COST * met) for s, c in sizes.items() if s >= jaccard.least_overlap(bound, 85) and not jaccard.alone(s, 85))
         return small + large
 
     bounds = []
