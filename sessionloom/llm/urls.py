@@ -28,8 +28,10 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-#: Characters of the longest word that segmentation looks for.
-MAX_WORD = 24
+#: Letters of the longest word: a domain label has at most 63 characters, so no word in one is longer.
+MAX_WORD = 63
+#: Parts that the pages of one host are dealt to.
+SALTS = 32
 #: Slots that features of host and path are hashed to.
 SLOTS = 1 << 16
 #: Different words that a task counts before it hands its sums on.
@@ -117,8 +119,8 @@ def segment(label: str, counts: dict[str, int], total: int) -> list[str]:
 
 
 def _labels(column: str) -> Column:
-    """The runs of letters of a host, each at most 64 characters, as domain labels are."""
-    return F.expr(f"array_distinct(filter(regexp_extract_all({column}, '([^\\\\W\\\\d_]{{1,64}})', 1), x -> x <> ''))")
+    """The runs of letters and of digits of a host; a run longer than a domain label may be is taken in pieces of MAX_WORD."""
+    return F.expr(f"array_distinct(regexp_extract_all({column}, '(\\\\p{{L}}{{1,{MAX_WORD}}}|[0-9]{{1,{MAX_WORD}}})', 1))")
 
 
 def _segment(total: int):
@@ -150,9 +152,9 @@ def segment_hosts(hosts: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def _features() -> Column:
-    """Slots of host words and path tokens; digits count by their number only."""
+    """Slots of host words and whole path tokens; digits count by their number only."""
     tokens = F.expr("filter(split(regexp_replace(lower(path), '[0-9]', '0'), '[^a-z0-9\\\\x{80}-\\\\x{10ffff}]+'), x -> x <> '')")
-    named = F.concat(F.transform(F.col("words"), lambda w: F.concat(F.lit("h:"), w)), F.transform(tokens, lambda w: F.concat(F.lit("p:"), F.left(w, F.lit(64)))))
+    named = F.concat(F.transform(F.col("words"), lambda w: F.concat(F.lit("h:"), F.regexp_replace(w, "[0-9]", "0"))), F.transform(tokens, lambda w: F.concat(F.lit("p:"), w)))
     return F.transform(named, lambda x: F.pmod(F.xxhash64(x), F.lit(SLOTS)).cast("int"))
 
 
@@ -193,7 +195,10 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = at.select("*", rule.alias("rule"), verdict.alias("verdict"))
     hosts = segment_hosts(ruled.where("host <> ''").select("host").distinct(), word_counts(pages))
-    urls = cut(ruled.join(hosts, "host", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))).withColumn("features", _features()))
+    # A host may have a third of all pages, and so may the empty one: each is dealt to SALTS parts.
+    dealt = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = ruled.withColumn("salt", F.pmod(F.xxhash64("page_id", "path"), F.lit(SALTS)).cast("int"))
+    urls = cut(salted.join(dealt, ["host", "salt"], "left").drop("salt").withColumn("words", F.coalesce("words", F.array().cast("array<string>"))).withColumn("features", _features()))
     odds, prior = train(urls)
     scored = map_batches(
         urls.withColumnRenamed("verdict", "decided"), _score(odds, prior), "page_id long, host string, path string, rule string, decided string, words array<string>, log_odds double"
