@@ -7,9 +7,9 @@ holdout, certifies all rules of a stratum together: beginning many steps above t
 going down to them, each set of cutoffs must have an exact binomial (Clopper-Pearson) upper bound
 on its share of rejected good documents that is at most LIMIT. The walk ends at the first set that
 fails; such a fixed sequence of tests needs no further correction, and strata are corrected for by
-Bonferroni. So with probability 1 - DELTA, in no stratum more than LIMIT of good documents are
-rejected by the rules. Languages with few labels are one stratum, for whose mix that holds, not for
-each of them; a language without labelled good documents has no cutoffs.
+Bonferroni. So with probability 1 - DELTA, in no language more than LIMIT of good documents are
+rejected by the rules. Each language is certified alone; where it has too few labelled good
+documents for any set to pass, it has no cutoffs and the base rules alone hold.
 """
 
 from __future__ import annotations
@@ -31,9 +31,6 @@ LIMIT = 0.02
 DELTA = 0.05
 #: A wrongly rejected good document of the proposing half weighs as many caught bad ones.
 COST = 20
-#: A stratum with fewer labelled good documents in either half is calibrated with all such strata together.
-LEAST_LABELLED = 250
-POOLED = "\x00pooled"
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -178,12 +175,12 @@ def _bucket(rule: str) -> Column:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame) -> dict[str, dict[str, float]]:
-    """Per language, the certified cutoff of each rule of its stratum; rules without one are absent.
+    """Per language, the certified cutoff of each rule; languages and rules without one are absent.
 
     measured is the result of measures; labels has doc_id and quality (1 good, 0 bad). A document
     that is labelled twice alike counts once, one labelled both ways not at all, NULL labels and ids
     neither. Documents that fail the base rules aren't used: the rules judge what is left. All
-    labelled documents are counted in Spark; sums per stratum, rule and cutoff come back.
+    labelled documents are counted in Spark; sums per language, rule and cutoff come back.
     """
     own = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     good = (F.col("quality") > 0).alias("good")
@@ -191,37 +188,36 @@ def cutoffs(measured: DataFrame, labels: DataFrame) -> dict[str, dict[str, float
     joined = measured.where(~base_failed()).join(own.where("quality = most").select("doc_id", "quality"), "doc_id")
     labelled = cut(joined.select("lang", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half"), good, buckets))
 
-    sizes = {(r.lang, r.half): r["count"] for r in labelled.where("good").groupBy("lang", "half").count().collect()}
-    strata = [s for s, _ in sizes if all(sizes.get((s, h), 0) >= LEAST_LABELLED for h in (0, 1))]
-    stratum = F.when(F.col("lang").isin(sorted(set(strata))), F.col("lang")).otherwise(POOLED).alias("stratum")
-    counted = labelled.where("half = 0").select(stratum, "good", F.posexplode("buckets").alias("rule", "bucket")).groupBy("stratum", "good", "rule", "bucket").count().collect()
+    counted = labelled.where("half = 0").select("lang", "good", F.posexplode("buckets").alias("rule", "bucket")).groupBy("lang", "good", "rule", "bucket").count().collect()
     over: dict[tuple[str, bool, int], np.ndarray] = {}
     for r in counted:
-        at = over.setdefault((r.stratum, r.good, r.rule), np.zeros(len(GRID), np.int64))
+        at = over.setdefault((r.lang, r.good, r.rule), np.zeros(len(GRID), np.int64))
         at[: r.bucket] += r["count"]
-    names, empty = [*sorted(set(strata)), POOLED], np.zeros(len(GRID), np.int64)
-    proposals = {
-        s: [propose(over.get((s, True, i), empty).tolist(), over.get((s, False, i), empty).tolist()) for i in range(len(RULES))] for s in names
-    }
-
-    never = len(GRID) + 1  # a rule without a proposal rejects at no step
-    table = [(s, [never if x is None else x for x in p]) for s, p in proposals.items()]
-    start = labelled.sparkSession.createDataFrame(table, "stratum string, start array<int>")
-    level = F.array_max(F.zip_with("buckets", "start", lambda b, p: F.greatest(b - p, F.lit(0)))).alias("level")
-    held = labelled.where("half = 1 and good").select(stratum, "buckets").join(start, "stratum").select("stratum", level)
+    strata = sorted(r.lang for r in labelled.select("lang").distinct().collect())
+    empty, never = np.zeros(len(GRID), np.int64), len(GRID) + 1  # a rule without a proposal rejects at no step
+    proposals = {}
+    for s in strata:
+        own = [propose(over.get((s, True, i), empty).tolist(), over.get((s, False, i), empty).tolist()) for i in range(len(RULES))]
+        if any(x is not None for x in own):
+            proposals[s] = own
+    if not proposals:
+        return {}
+
+    start = F.create_map(*(x for s, own in proposals.items() for x in (F.lit(s), F.array(*(F.lit(never if x is None else x) for x in own)))))[F.col("lang")]
+    level = F.array_max(F.zip_with("buckets", start, lambda b, p: F.greatest(b - p, F.lit(0)))).alias("level")
     levels: dict[str, dict[int, int]] = {}
-    for r in held.groupBy("stratum", "level").count().collect():
-        levels.setdefault(r.stratum, {})[r.level] = r["count"]
+    for r in labelled.where(F.col("lang").isin(list(proposals)) & (F.col("half") == 1) & F.col("good")).select("lang", level).groupBy("lang", "level").count().collect():
+        levels.setdefault(r.lang, {})[r.level] = r["count"]
     out: dict[str, dict[str, float]] = {}
-    for s, p in proposals.items():
-        step = certify(levels.get(s, {}), LIMIT, DELTA / len(names))
-        out[s] = {} if step is None else {rule: GRID[x + step] for rule, x in zip(RULES, p) if x is not None and x + step < len(GRID)}
-    pooled = out.pop(POOLED)
-    return out | {s: pooled for s, _ in sizes if s not in out}
+    for s, own in proposals.items():
+        step = certify(levels.get(s, {}), LIMIT, DELTA / len(strata))
+        if step is not None:
+            out[s] = {rule: GRID[x + step] for rule, x in zip(RULES, own) if x is not None and x + step < len(GRID)}
+    return out
 
 
 def rejected(limits: dict[str, dict[str, float]], numbers: dict[str, Column] | None = None, lang: Column | None = None) -> Column:
-    """Over any cutoff of the document's stratum; none is rejected in a language without cutoffs."""
+    """Over any cutoff of the document's language; none is rejected in a language without cutoffs."""
     lang = F.col("lang") if lang is None else lang
 
     def any_over(rules: dict[str, float]) -> Column:

@@ -202,6 +202,19 @@ def test_languages_without_labels_have_no_cutoffs(spark):
     assert kept == {("xx", True): 440, ("xx", False): 440, ("yy", True): 9}
 
 
+def test_each_language_is_certified_alone(spark):
+    """A language whose labels are too few for the bound keeps the base rules only, whatever others have."""
+    plain, shouted = (" ".join(f"{w}{i}" for i in range(60)) for w in "wW")
+    sizes = {"xx": 2000, "yy": 300, "zz": 40}
+    made = [(n * 10_000 + i, lang, shouted if i % 4 == 0 else plain) for n, (lang, size) in enumerate(sizes.items()) for i in range(size)]
+    docs = spark.createDataFrame(made, "doc_id long, lang string, text string")
+    labels = spark.createDataFrame([(d, int(t is plain)) for d, _, t in made], "doc_id long, quality int")
+    limits = quality.cutoffs(quality.measures(docs), labels)
+    assert set(limits) == {"xx"}
+    kept = {(r.lang, r.kept): r["count"] for r in quality.judge(docs, labels).groupBy("lang", "kept").count().collect()}
+    assert kept == {("xx", True): 1500, ("xx", False): 500, ("yy", True): 300, ("zz", True): 40}
+
+
 PIECES = ["<", "s", ">", "\\", "/", "[", "INST", "]", " ", "ROLE", "\n", "<SYS>>"]
 
 
