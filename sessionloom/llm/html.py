@@ -1,10 +1,16 @@
 """Main text of web pages by the maximum-scoring run of words and tags.
 
-A page is a sequence of words and tags. Words outside menus, notices, forms and the like have
-positive scores, tags negative ones (what is inside those elements counts nothing and goes); the contiguous run with the largest sum, found in one linear
-scan, is the content region. The scores are learned from labelled pages: those whose own markup
-names the content (article, main, or itemprop="articleBody"), where a token's score is the log of
-how much likelier it is inside than outside. Pages without such markup are scored by the same weights.
+A page is a sequence of words and tags. Words have a positive score, tags negative ones; the
+contiguous run with the largest sum, found in one linear scan, is the content region. What is never
+shown as running text (scripts, forms, menus) and what its names call a notice, an advert, comments
+and the like counts nothing and goes.
+
+The scores are learned from labelled pages: those whose own markup names the content (article, main,
+or itemprop="articleBody"). A tag's score is the log of how much likelier it is inside than outside.
+The word's score decides how many words outweigh a tag between them and the rest, so it is chosen
+by what it does: the labelled pages are stripped of all names and sectioning elements, and of
+WORD_SCORES the one holds whose runs agree best with the labelled content (the largest of equals).
+Pages without such markup are scored by the same weights.
 """
 
 from __future__ import annotations
@@ -18,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import Batches, map_batches, slices
+from sessionloom.llm.common import Batches, cut, map_batches, slices
 
 #: Labelled pages that the scores are learned from, about: a documented bound, drawn by a hash.
 TRAINING_PAGES = 2000
 BATCH_BYTES = 8 << 20
 #: The least score of a tag: a list or table in the content of a page unlike the labelled ones keeps a chance.
 LEAST = -2.0
+#: The smallest penalty of a tag.
+NEARLY_NONE = -0.001
 
 # Elements of HTML by their role.
 RAW_TEXT = ("script", "style", "textarea", "title", "iframe", "noscript", "xmp", "noembed", "noframes")
@@ -32,17 +40,29 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong "
     "sub sup time tt u var wbr".split()
 )
-LEFT_OUT = frozenset("head nav footer aside form menu dialog button select option svg math object audio video canvas template".split())
+LEFT_OUT = frozenset("head nav footer aside form menu dialog button select option svg object audio video canvas template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Closed by the next of its kind or by its parent, so kept on the stack only where left out.
 LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option".split()) | INLINE | VOID
-#: Words in class, id and role that name something beside the content.
+#: Sectioning elements, which a page made of div elements alone has not.
+SECTIONS = frozenset("article aside footer header main nav section".split())
+#: Words in class, id and role that name something beside the content, wherever they are.
 BESIDE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie "
-    "cookies consent disqus discussion footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification "
-    "outbrain pager pagination paywall popup promo promoted promotion recommended related replies reply responses search share sharing "
-    "sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toolbar topbar widget widgets".split()
+    "cookies consent disqus gdpr masthead menubar nav navbar navigation newsletter outbrain pager pagination paywall popup sidebar "
+    "signup sponsored subscribe subscription taboola toolbar topbar".split()
 )
+#: Words that do so only as a whole name, or with words of LAYOUT: class="share-buttons", not class="share-price".
+MAYBE_BESIDE = frozenset(
+    "discussion footer header menu modal notice notices notification promo promoted promotion recommended related replies reply response "
+    "responses search share sharing skip social sponsor teaser widget widgets".split()
+)
+LAYOUT = frozenset(
+    "area articles bar block bottom box btn button buttons column container content desktop form group icons inner item items left link "
+    "links list main mobile module outer overlay page panel post posts right row section site slot stories top wrap wrapper".split()
+)
+#: Elements that such a name can stand on: others hold content of their own (<table class="widget">, <span class="share">).
+BOXES = frozenset("aside dd div dl li ol p section ul".split())
 CONTENT = frozenset(("article", "main"))
 
 _TOKEN = re.compile(
@@ -70,7 +90,9 @@ _P_ENDS = frozenset(_ENDS) | frozenset(
 )
 _P = frozenset(("p",)), frozenset(("button", "table", "object", "template"))
 
-Token = tuple[str, str, bool, bool]  # kind, text, left out, in labelled content
+#: kind, text, left out (NAMED: only for its name or its sectioning element), in labelled content
+Token = tuple[str, str, int, bool]
+NAMED, HARD = 1, 2
 
 
 def _attributes(attrs: str) -> dict[str, str]:
@@ -86,11 +108,28 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return {w.lower() for k in ("class", "id", "role", "itemprop") if k in attributes for w in re.split(r"[\s_-]+|(?<=[a-z])(?=[A-Z])", attributes[k])}
 
 
+def _named_beside(tag: str, attributes: dict[str, str], content: bool) -> bool:
+    """Do class, id or role name the element as something beside the content?
+
+    An id is also an anchor (<section id="discussion">), so a word of MAYBE_BESIDE counts there
+    only on boxes other than sections, outside labelled content.
+    """
+    for key in ("class", "role", "id"):
+        for name in attributes.get(key, "").split():
+            words = {w.lower() for w in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if w and not w.isdigit()}
+            if words & BESIDE:
+                return True
+            maybe = words & (MAYBE_BESIDE - {"header"} if content else MAYBE_BESIDE)
+            if maybe and words <= MAYBE_BESIDE | LAYOUT and tag in BOXES and (key != "id" or not content and tag != "section"):
+                return True
+    return False
+
+
 def _hidden(attributes: dict[str, str]) -> bool:
     return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_NOT_SHOWN.search(attributes.get("style", "")))
 
 
-def _end(stack: list[tuple[str, bool, bool]], kinds: frozenset, bounds: frozenset) -> None:
+def _end(stack: list[tuple[str, int, bool]], kinds: frozenset, bounds: frozenset) -> None:
     """Ends the open elements of these kinds, and what is open in them, up to the innermost of bounds."""
     lowest = None
     for i in range(len(stack) - 1, -1, -1):
@@ -111,13 +150,13 @@ def tokens(page: str) -> list[Token]:
     without its opening one is passed over.
     """
     out: list[Token] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, int, bool]] = []
     for m in _TOKEN.finditer(page):
         name = (m["tag"] or m["tag2"] or "").lower()
-        beside, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        beside, content = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         if not name:
             if m["raw"]:
-                out.append((m["raw"].lower(), "", True, content))
+                out.append((m["raw"].lower(), "", HARD, content))
             elif m[0][:2] not in ("<!", "<?"):
                 out.append(("#text", m[0], beside, content))
             continue
@@ -135,45 +174,65 @@ def tokens(page: str) -> list[Token]:
             _end(stack, *_P)
             if name in _ENDS:
                 _end(stack, *_ENDS[name])
-            beside, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            beside, content = (stack[-1][1], stack[-1][2]) if stack else (0, False)
         attributes = _attributes(m["attrs"] or "")
         named = _names(attributes)
         if name not in VOID:
             labelled = content or name in CONTENT or "articlebody" in named or {"article", "body"} <= named and name in ("div", "section")
             kept = name in ("body", "html") or name in CONTENT
-            outside = name in LEFT_OUT or (name == "header" and not content) or not kept and (bool(named & (BESIDE - {"header"} if content else BESIDE)) or _hidden(attributes))
+            outside = 0
+            if name in LEFT_OUT - SECTIONS or not kept and _hidden(attributes):
+                outside = HARD
+            elif name in LEFT_OUT or (name == "header" and not content) or not kept and _named_beside(name, attributes, content):
+                outside = NAMED
             if name not in LOOSE or outside:
                 if name == "body" and stack:
                     stack = [x for x in stack if x[0] != "head"]
-                    beside = stack[-1][1] if stack else False
-                stack.append((name, beside or outside, labelled))
-            beside = beside or outside
+                    beside = stack[-1][1] if stack else 0
+                stack.append((name, max(beside, outside), labelled))
+            beside = max(beside, outside)
         out.append((name, "", beside, content))
     return out
 
 
+def bare(kind: str) -> str:
+    """The kind of a tag on a page without sectioning elements."""
+    name = kind.lstrip("/")
+    return kind[: len(kind) - len(name)] + "div" if name in SECTIONS else kind
+
+
 def counts(page: str) -> Counter:
-    """(kind, inside the labelled content?) of a labelled page's words and tags; others have none."""
+    """(kind, inside the labelled content?) of a labelled page's words and tags; others have none.
+
+    Sectioning elements count as div, too, which stands for them on other pages.
+    """
     seen = tokens(page)
     if not any(x[3] for x in seen):
         return Counter()
     out: Counter = Counter()
     for kind, text, beside, content in seen:
         out[kind, content and not beside] += len(text.split()) if kind == "#text" else 1
+        if bare(kind) != kind:
+            out[bare(kind), content and not beside] += 1
     return out
 
 
-def weights(seen: dict[tuple[str, bool], int]) -> dict[str, float]:
+#: Candidates for the word's score.
+WORD_SCORES = tuple(0.025 * 2**i for i in range(8))
+
+
+def weights(seen: dict[tuple[str, bool], int], word: float | None = None) -> dict[str, float]:
     """Score of a word and of each tag: words positive, tags negative, both at least a little.
 
-    A kind's score is the log-ratio of its smoothed shares inside and outside the content.
+    A kind's score is the log-ratio of its smoothed shares inside and outside the content; the
+    word's is the given one.
     """
     kinds = {k for k, _ in seen} | {"#text"}
     inside = sum(seen.get((k, True), 0) for k in kinds) + len(kinds)
     outside = sum(seen.get((k, False), 0) for k in kinds) + len(kinds)
     score = {k: math.log((seen.get((k, True), 0) + 1) / inside) - math.log((seen.get((k, False), 0) + 1) / outside) for k in kinds}
-    out = {k: max(LEAST, min(v, -0.001)) for k, v in score.items()}
-    out["#text"] = max(score["#text"], 0.25)
+    out = {k: max(LEAST, min(v, NEARLY_NONE)) for k, v in score.items()}
+    out["#text"] = max(score["#text"], 0.25) if word is None else word
     return out
 
 
@@ -193,17 +252,43 @@ def best_run(scores: list[float]) -> tuple[int, int]:
     return found
 
 
+def _words(text: str) -> int:
+    return len(html.unescape(text).split()) if "&" in text else len(text.split())
+
+
+def region(seen: list[Token], score: dict[str, float], by_names: bool = True) -> tuple[int, int]:
+    """The best run of a page's tokens; without by_names as if it had neither names nor sectioning elements.
+
+    By names, tags within labelled content have the smallest penalty: a list there is the content's.
+    """
+    scores = []
+    for kind, text, beside, content in seen:
+        if beside == HARD or beside and by_names:
+            scores.append(0.0)  # what is left out doesn't part the rest
+        elif kind == "#text":
+            scores.append(_words(text) * score["#text"])
+        elif content and by_names:
+            scores.append(NEARLY_NONE)
+        else:
+            scores.append(score.get(kind if by_names else bare(kind), UNSEEN))
+    return best_run(scores)
+
+
+def agreement(page: str, score: dict[str, float]) -> float | None:
+    """F1 over words of the run without names against the labelled content; None if nothing is labelled."""
+    seen = tokens(page)
+    sizes = [_words(text) if kind == "#text" and beside != HARD else 0 for kind, text, beside, _ in seen]
+    wanted = [n if content and not beside else 0 for n, (_, _, beside, content) in zip(sizes, seen)]
+    if not any(wanted):
+        return None
+    start, end = region(seen, score, by_names=False)
+    return 2 * sum(wanted[start:end]) / (sum(sizes[start:end]) + sum(wanted))
+
+
 def main_text(page: str, score: dict[str, float]) -> str:
     """The words of the best run, blocks joined by one space; empty if nothing scores."""
     seen = tokens(page)
-    scores = []
-    for kind, text, beside, _ in seen:
-        if kind == "#text":
-            n = 0 if beside else len(html.unescape(text).split()) if "&" in text else len(text.split())
-            scores.append(n * score["#text"])
-        else:
-            scores.append(0.0 if beside else score.get(kind, UNSEEN))  # what is left out doesn't part the rest
-    start, end = best_run(scores)
+    start, end = region(seen, score)
     blocks, block = [], []
     for kind, text, beside, _ in seen[start:end]:
         if kind == "#text":
@@ -216,29 +301,53 @@ def main_text(page: str, score: dict[str, float]) -> str:
     return " ".join(x for x in (" ".join(html.unescape(b).split()) for b in blocks) if x)
 
 
+#: Kinds of tokens that have a score of their own: elements of HTML by form, some thousand at most are in use.
+_KIND = re.compile(r"#text|/?(?:[a-z]{1,10}|h[1-6])")
+#: Marks that a page may label its content with, as a cheap test before it is drawn.
+_LABELLED = r"(?i)<(article|main)[\s>/]|article-?_?body"
+
+
 def learn(pages: DataFrame, training_pages: int = TRAINING_PAGES) -> dict[str, float]:
     """Scores from about training_pages labelled pages, drawn by a hash of url and page.
 
-    Only sums for each kind of tag come to the driver; kinds outside HTML count together.
+    Labelled pages are counted first, so the bound is on them, not on all pages. Only sums for each
+    kind of tag and each of WORD_SCORES come to the driver; the drawn pages bound the kinds.
     """
-    total = pages.count()
-    share = min(1.0, training_pages / max(1, total))
-    drawn = pages.where(F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
-
-    def run(batches: Batches) -> Batches:
+    labelled = pages.where(F.col("html").rlike(_LABELLED))
+    total = labelled.count()
+    drawn = labelled
+    if total > training_pages:
+        bound = int(-(2**63) + training_pages / total * 2**64)
+        drawn = labelled.where(F.xxhash64("page_id", "url") < F.lit(bound))
+
+    def count(batches: Batches) -> Batches:
         seen: Counter = Counter()
         for batch in batches:
             for page in batch.column("html").to_pylist():
-                seen.update({k: n for k, n in counts(page or "").items() if re.fullmatch(r"#text|/?[a-z]{1,10}[1-6]?", k[0])})
+                seen.update({k: n for k, n in counts(page or "").items() if _KIND.fullmatch(k[0])})
         rows = sorted(seen.items())
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())],
             ["kind", "inside", "n"],
         )
 
-    sums = map_batches(drawn.select("html"), run, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
-    top = sums.orderBy(F.desc("n"), "kind", "inside").limit(1000).collect()  # HTML has some 130 elements
-    return weights({(r.kind, r.inside): r.n for r in top})
+    drawn = cut(drawn.select("html"))
+    sums = map_batches(drawn, count, "kind string, inside boolean, n long").groupBy("kind", "inside").agg(F.sum("n").alias("n"))
+    seen = {(r.kind, r.inside): r.n for r in sums.collect()}
+    candidates = [weights(seen, w) for w in WORD_SCORES]
+
+    def agree(batches: Batches) -> Batches:
+        for batch in batches:
+            for page in batch.column("html").to_pylist():
+                found = [agreement(page or "", score) for score in candidates]
+                if found[0] is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(range(len(found)), pa.int32()), pa.array([round(x * 1e6) for x in found], pa.int64())], ["i", "f"])
+
+    sums = map_batches(drawn, agree, "i int, f long").groupBy("i").agg(F.sum("f").alias("f")).collect()
+    if not sums:
+        return weights(seen)
+    best = max(r.f for r in sums)
+    return candidates[max(r.i for r in sums if r.f == best)]
 
 
 def extract(pages: DataFrame, score: dict[str, float] | None = None) -> DataFrame:
