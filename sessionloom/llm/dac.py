@@ -18,6 +18,7 @@ that any store that Spark reaches can hold them; parts ascend by doc_id, as do s
 
 from __future__ import annotations
 
+import codecs
 import functools
 import json
 import re
@@ -56,7 +57,7 @@ def _shown_bytes() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
-_SHOWN = _shown_bytes()
+_SHOWN = "".join(_shown_bytes())
 _SPACE = _SHOWN[32]
 
 # Tokens of a text.
@@ -81,7 +82,7 @@ class Remembered(dict):
         self.make, self.older = make, {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
+        value = self.older.get(key) if self.older else None
         if value is None:
             value = self.make(key)
         if len(self) >= REMEMBERED:
@@ -114,18 +115,21 @@ class Encoder:
         if text.isascii() and text[1:].isalpha() and text[0] == " ":
             shown = _SPACE + text[1:]
         else:
-            shown = "".join([_SHOWN[b] for b in text.encode()])
+            shown = codecs.charmap_decode(text.encode(), "strict", _SHOWN)[0]
         ids = [t.id for t in self.model.tokenize(shown)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _stretch(self, text: str) -> bytes:
-        return b"".join(map(self.matches.__getitem__, _PATTERN.findall(text)))
+        found = _PATTERN.findall(text)
+        if found and found[0][0] == " " and found[0][1:].isalpha():  # shared with the stretches of letters only
+            return self.spaced[found[0][1:]] + b"".join(map(self.matches.__getitem__, found[1:]))
+        return b"".join(map(self.matches.__getitem__, found))
 
     def _spaced(self, rest: str) -> bytes:
         if rest.isalpha():  # letters only are one match
-            return self.matches[" " + rest]
+            return self._match(" " + rest)
         if rest[-1:] in (".", ",") and rest[:-1].isalpha():
-            return self.matches[" " + rest[:-1]] + self.matches[rest[-1]]
+            return self.spaced[rest[:-1]] + self.matches[rest[-1]]
         return self._stretch(" " + rest)
 
     def __call__(self, text: str) -> bytes:
