@@ -27,6 +27,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -150,6 +151,34 @@ class Encoder:
         return self.first[parts[0]] + b"".join(map(self.spaced.__getitem__, parts[1:]))
 
 
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Those that split at every space are split by Arrow, and each different stretch is looked up once."""
+        plain = [i for i, x in enumerate(texts) if x[:1] != " " and not _RUN.search(x) and not (self.added and self.added.search(x))]
+        alone = set(range(len(texts))).difference(plain)
+        out = [np.frombuffer(self(x), "<u4") if i in alone else None for i, x in enumerate(texts)]
+        if not plain:
+            return out
+        parts = pc.split_pattern(pa.array([texts[i] for i in plain], pa.string()), " ")
+        bounds = parts.offsets.to_numpy().astype(np.int64)
+        coded = parts.values.dictionary_encode()
+        which = coded.indices.to_numpy().astype(np.int64)
+        # Letters only are remembered, other stretches are put together from them once for all these texts.
+        known = [self.spaced[x] if x.isalpha() else self._spaced(x) for x in coded.dictionary.to_pylist()]
+        first = coded.dictionary.take(coded.indices.take(pa.array(bounds[:-1]))).to_pylist()  # no space before it
+        which[bounds[:-1]] = len(known) + np.arange(len(plain))
+        known += map(self.first.__getitem__, first)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = np.frombuffer(b"".join(known), "<u4")
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[which]
+        ends = np.cumsum(n)
+        flat = ids[np.repeat(begins[which] - ends + n, n) + np.arange(ends[-1])]
+        stops = ends[bounds[1:] - 1].tolist()
+        for i, a, b in zip(plain, [0, *stops], stops):
+            out[i] = flat[a:b]
+        return out
+
+
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     """One per Python worker, with what it remembers."""
@@ -271,7 +300,7 @@ class Segment:
 def _write(path: str, end: int, segment_tokens: int):
     def run(batches: Batches) -> Batches:
         """Texts of one part in the order of doc_id to segments."""
-        encode = encoder(path)
+        encode = encoder(path).many
         ids: list[int] = []
         held: list[np.ndarray] = []
         total = segment = 0
@@ -284,9 +313,9 @@ def _write(path: str, end: int, segment_tokens: int):
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 part = batch.column("part")[0].as_py()
-                for doc_id, data in zip(batch.column("doc_id").to_pylist(), map(encode, batch.column("text").to_pylist())):
+                for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text").to_pylist())):
                     ids.append(doc_id)
-                    held.append(np.append(np.frombuffer(data, "<u4"), np.uint32(end)))
+                    held.append(np.append(tokens, np.uint32(end)))
                     total += len(held[-1])
                     if total >= segment_tokens:
                         yield close()
