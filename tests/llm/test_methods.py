@@ -115,6 +115,15 @@ def test_stretches_are_tokens_of_the_whole():
     encode = dac.Encoder(path)
     for text in ODD_TEXTS:
         assert np.frombuffer(encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    for texts in (ODD_TEXTS, ODD_TEXTS[::-1] * 3, [], [""], [" a"], ["a b c", "c b. a"]):
+        assert [x.tolist() for x in encode.many(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+@given(st.lists(st.lists(st.sampled_from(["a", "B", " ", "  ", "\n", "\t", "é", "23", ".", ",", "'ll", "<|endoftext|>", " word", "日本", "😀"]), max_size=9).map("".join), max_size=9))
+@settings(deadline=None, max_examples=200)
+def test_many_texts_at_once(texts):
+    encode = dac.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [x.tobytes() for x in encode.many(texts)] == [encode(x) for x in texts]
 
 
 @pytest.mark.parametrize("at_once", [1, 7, 1 << 18])
