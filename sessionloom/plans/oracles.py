@@ -6,7 +6,6 @@ Spark operators get there.
 
 from __future__ import annotations
 
-from sessionloom.config import FUNNEL_EVENTS, REPORT_STEPS, Z_95
 from sessionloom.operators.metrics import (
     DEVICE_DIMENSIONS,
     METRICS,
@@ -19,6 +18,10 @@ from sessionloom.operators.snapshot import run_micros
 from sessionloom.plans.queries import CUT_DAY, DAY, RUNS, WINDOW, digits
 from sessionloom.sources import adapter
 
+# Fixed values of the definitions, stated here again so that a change in the library shows.
+FUNNEL_EVENTS = ("session_start", "view_item", "add_to_cart", "begin_checkout", "add_shipping_info", "add_payment_info", "purchase")
+REPORT_STEPS = ("sessions", "view_item", "add_to_cart", "begin_checkout", "add_shipping_info", "add_payment_info", "purchase")
+Z_95 = 1.959964
 NULL_TOKEN = "_dbt_utils_surrogate_key_null_"
 ORDER = "time_stamp NULLS FIRST, session_id NULLS FIRST, event_name NULLS FIRST"
 BACK = "time_stamp DESC NULLS LAST, session_id DESC NULLS LAST, event_name DESC NULLS LAST"
