@@ -8,17 +8,15 @@ Equal lines are grouped by two hashes. Near ones are found by the segment-partit
 (Pass-Join): a line is cut into THRESHOLD + 1 segments of about equal length; a line within the
 threshold must hold one of them unchanged, at a place that the lengths and the edits left over
 allow. So the index has each line's segments by line length and segment number, and a line probes
-it with its few substrings at such places. Where many lines have a segment in common (copies of a
-template, each with a change of its own), the lines' texts come along and what is too far apart
-makes no row of the join. Spark's own bounded distance thins out the pairs, and those left are
-verified with a banded bit-parallel edit distance: the vertical differences of one column of the
+it with its few substrings at such places. Lines' texts come along into the join, which stops at a
+line's first hit. Where many lines have a segment in common (copies of a template, each with a
+change of its own), bitmaps of their letters are compared first. Spark's own bounded distance thins
+out the pairs, and those left are verified with a banded bit-parallel edit distance: the vertical differences of one column of the
 band are two bitmaps, and a column is a handful of bit operations.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +24,10 @@ from sessionloom.llm.common import cut, keyed, named, shown_id
 
 THRESHOLD = 2
 MIN_CHARS = 40
-#: Lines with the same segment from which the join looks at texts.
-CROWD = 32
+#: Lines with the same segment from which the join looks at bitmaps of letters ahead of texts.
+CROWD = 2
+#: Words of 64 bits in the table of places whose lines are read again: 2 MB of bits, whatever the corpus.
+WORDS = 1 << 18
 
 
 def _lines() -> Column:
@@ -56,7 +56,8 @@ def probe_keys(threshold: int) -> Column:
     """Keys of the substrings that can be a segment of an equally long or shorter line.
 
     Before segment k at most k edits are left over (else an earlier segment is unchanged), after it
-    threshold - k, which bounds how far the substring can be from the segment's place.
+    threshold - k, which bounds how far the substring can be from the segment's place. The line's own
+    segments in their places are left out: index_keys has them.
     """
     keys = []
     for shorter in range(threshold + 1):
@@ -64,8 +65,9 @@ def probe_keys(threshold: int) -> Column:
         for k in range(threshold + 1):
             begin, width = _segment(length, k, threshold)
             for shift in range(max(-k, shorter - (threshold - k)), min(k, shorter + (threshold - k)) + 1):
-                keys.append(_key(k, length, begin + shift, width))
-    return F.array(*keys)
+                if shorter or shift:
+                    keys.append(_key(k, length, begin + shift, width))
+    return F.array(*keys) if keys else F.expr("cast(array() as array<bigint>)")
 
 
 def within(a: str, b: str, threshold: int) -> Column:
@@ -117,6 +119,26 @@ def _at_lines(docs: DataFrame, places: DataFrame) -> DataFrame:
     return taken.select("doc_id", "x.at", "x.line")
 
 
+def _at_few_lines(docs: DataFrame, places: DataFrame, min_chars: int) -> DataFrame:
+    """_at_lines for places of a small part of the lines, of at least min_chars: no text is shuffled but theirs.
+
+    Hashes of the places set bits of a table of bounded size. Lines without their bit stay behind,
+    and the rest, of which some have it by chance, meet the places.
+    """
+    cell = F.xxhash64("doc_id", "at")
+    word, bit = F.pmod(cell, F.lit(WORDS)), F.shiftrightunsigned(cell, 58).cast("int")
+    one = F.expr("shiftleft(1L, _bit)")
+    bits = places.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(one).alias("_bits"))
+    lines = docs.select("doc_id", F.posexplode(_lines()).alias("at", "line")).where(F.length("line") >= min_chars)
+    met = lines.select("*", word.alias("_word"), bit.alias("_bit")).join(F.broadcast(bits), "_word")
+    return met.where(F.col("_bits").bitwiseAND(one) != 0).select("doc_id", "at", "line").join(places, ["doc_id", "at"])
+
+
+def _letters(line: str) -> Column:
+    """64 bits: which characters, by the last bits of their codes, are there an odd number of times. An edit changes two at most."""
+    return F.expr(f"aggregate(regexp_extract_all({line}, '(?s).', 0), 0L, (acc, c) -> acc ^ shiftleft(1L, ascii(c) & 63))")
+
+
 def first_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, at) of the first of equal lines; at is the line's number from 0."""
     lines = docs.select("doc_id", F.posexplode(_lines()).alias("at", "line")).where(F.length("line") >= min_chars)
@@ -137,49 +159,48 @@ def _near_later(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame
 def _stars(met: DataFrame) -> DataFrame:
     """Pairs (a, b) of places: every line of a key with the first that it can be near to there."""
     place, is_index = F.struct("doc_id", "at"), F.col("is_index")
-    heads = met.groupBy("key").agg(F.min(F.when(is_index, place)).alias("index"), F.min(F.when(~is_index, place)).alias("probe"))
-    both = met.join(heads, "key").select(F.when(is_index, F.col("probe")).otherwise(F.col("index")).alias("a"), place.alias("b"))
+    heads = met.groupBy("key").agg(F.min(F.when(is_index, place)).alias("index"), F.min(place).alias("any"))
+    both = met.join(heads, "key").select(F.when(is_index, F.col("any")).otherwise(F.col("index")).alias("a"), place.alias("b"))
     return both.where("a <> b").distinct()
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
-    """(doc_id, at) of the first lines that have an earlier first line within the threshold.
+def _open_later(met: DataFrame, texts: DataFrame, settled: DataFrame, threshold: int, crowd: int) -> DataFrame:
+    """(doc_id, at) of the lines of met that are not settled and near an earlier one of the same key.
+
+    A line's first hit ends its search, so the join makes no more rows than it is given lines.
+    """
+    whole = met.join(texts, ["doc_id", "at"]).select("key", "n", "is_index", F.struct("doc_id", "at").alias("place"), "line", "letters")
+    later = whole.join(settled.select(F.struct("doc_id", "at").alias("place")), "place", "left_anti")
+    earlier = whole.select(F.col("key").alias("by_key"), F.col("is_index").alias("by_index"), F.col("place").alias("by_place"), F.col("line").alias("by_line"), F.col("letters").alias("by_letters"))
+    can_be = (F.col("is_index") | F.col("by_index")) & (F.col("by_place") < F.col("place"))
+    alike = (F.col("n") <= crowd) | (F.bit_count(F.col("letters").bitwiseXOR(F.col("by_letters"))) <= 2 * threshold)
+    thin = F.levenshtein("line", "by_line", threshold) >= 0  # thins out, and is itself verified
+    on = (F.col("key") == F.col("by_key")) & can_be & alike & thin & within("line", "by_line", threshold)
+    return later.join(earlier, on, "left_semi").select("place.doc_id", "place.at").distinct()
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, at) of the first lines, of at least min_chars, that have an earlier first line within the threshold.
 
     One such line is enough. So each line of a key is compared with the key's first line, which
-    settles most lines of a template, and only lines that are not settled are compared with all
-    earlier ones of their keys.
+    settles most lines of a template, and only lines that are not settled are compared with
+    earlier ones of their keys, up to the first that is near.
     """
     lines = _at_lines(docs, firsts)
     keys = F.concat(index_keys(threshold), probe_keys(threshold))
     sized = lines.withColumn("size", F.length("line"))  # a pass over the line, and many keys need it
-    keyed = sized.select("doc_id", "at", F.posexplode(keys).alias("nth", "key")).select("key", "doc_id", "at", (F.col("nth") <= threshold).alias("is_index"))
+    exploded = sized.select("doc_id", "at", F.posexplode(keys).alias("nth", "key"))
+    # The place in the text and the kind of key are one number in the shuffle: _at is odd for segments.
+    keyed = exploded.select("key", "doc_id", (F.col("at") * 2 + (F.col("nth") <= threshold).cast("int")).alias("_at"))
     # Most keys are of one line alone; what is left is little, and stored for all its uses.
     same = Window.partitionBy("key")
-    several = (F.min("doc_id").over(same) != F.max("doc_id").over(same)) | (F.min("at").over(same) != F.max("at").over(same))
-    counted = keyed.withColumn("n", F.count_if("is_index").over(same)).withColumn("several", several)
-    met = cut(counted.where(F.col("several") & (F.col("n") > 0)).drop("several"))
-    texts = cut(_at_lines(docs, met.select("doc_id", "at").distinct()))
+    least, most = F.min("_at").over(same), F.max("_at").over(same)
+    several = (F.min("doc_id").over(same) != F.max("doc_id").over(same)) | (F.shiftright(least, 1) != F.shiftright(most, 1))
+    counted = keyed.select("*", F.sum(F.col("_at").bitwiseAND(1)).over(same).alias("n"), several.alias("_several")).where("_several and n > 0")
+    met = cut(counted.select("key", "doc_id", F.shiftright("_at", 1).alias("at"), (F.col("_at").bitwiseAND(1) == 1).alias("is_index"), "n"))
+    texts = cut(_at_few_lines(docs, met.select("doc_id", "at").distinct(), min_chars).withColumn("letters", _letters("line")))
     settled = cut(_near_later(_stars(met), texts, threshold))
-    open_ = met.join(settled.withColumn("settled", F.lit(True)), ["doc_id", "at"], "left").withColumn("open", F.col("settled").isNull())
-
-    def ends(is_index: bool, crowded: bool, name: str) -> DataFrame:
-        own = open_.where((F.col("is_index") == is_index) & ((F.col("n") > crowd) == crowded))
-        if crowded:  # the texts come along, and what is too far apart makes no row of the join
-            own = own.join(texts, ["doc_id", "at"]).withColumnRenamed("line", f"line_{name}")
-        return own.select("key", F.struct("doc_id", "at").alias(name), F.col("open").alias(f"open_{name}"), *([f"line_{name}"] if crowded else []))
-
-    def pairs(crowded: bool) -> list[DataFrame]:
-        found = []
-        for later, earlier in (("a", "b"), ("b", "a")):
-            on = F.col(earlier) < F.col(later)
-            if crowded:
-                on &= F.levenshtein("line_a", "line_b", threshold) >= 0
-            index, probe = (ends(name == "a", crowded, name).where(f"open_{name}" if name == later else "true").withColumnRenamed("key", f"key_{name}") for name in ("a", "b"))
-            found.append(index.join(probe, (F.col("key_a") == F.col("key_b")) & on).select("a", "b"))
-        return found
-
-    rest = reduce(DataFrame.unionByName, [*pairs(False), *pairs(True)]).distinct()
-    return settled.unionByName(_near_later(rest, texts, threshold)).distinct()
+    return settled.unionByName(_open_later(met, texts, settled, threshold, crowd)).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
@@ -193,7 +214,7 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
         raise ValueError("segments of such short lines say too little")
     own, names = keyed(docs)
     firsts = cut(first_lines(own, min_chars))
-    kept = firsts.join(near_lines(own, firsts, threshold, crowd), ["doc_id", "at"], "left_anti")
+    kept = firsts.join(near_lines(own, firsts, threshold, crowd, min_chars), ["doc_id", "at"], "left_anti")
     by_doc = kept.groupBy("doc_id").agg(F.array_sort(F.collect_list("at")).alias("kept"))
     flags = F.expr(
         "if(kept is null, cast(array() as array<boolean>), flatten(transform(kept, (k, i) -> concat(array_repeat(false, k - if(i = 0, -1, kept[i - 1]) - 1), array(true)))))"

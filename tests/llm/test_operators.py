@@ -314,6 +314,27 @@ def test_line_dedup_of_odd_rows(spark, odd):
         assert got == {1: f"{one}\nshort", 2: f"short\nshort\n{far}", 3: "", -(2**63): "x"}
 
 
+def test_lines_of_a_template_far_apart_make_no_pairs(spark, monkeypatch):
+    """Lines that share segments with all others and are near none: pairs of rows only with the first of a key."""
+    words = np.random.default_rng(3).choice(list("abcdefghijklmnopqrstuvwxyz"), (30, 14))
+    texts = [f"A report of the weather station near the old harbour, {''.join(w)}, filed without any remarks." for w in words]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made, near_later = [], lines._near_later
+    monkeypatch.setattr(lines, "_near_later", lambda pairs, *more: made.append(pairs.count()) or near_later(pairs, *more))
+    assert lines.near_lines(docs, cut(lines.first_lines(docs))).count() == 0
+    assert 0 < sum(made) <= 2 * len(texts)
+
+
+@pytest.mark.parametrize("words", [1, 1 << 18])
+def test_few_lines_by_a_table_of_bits(spark, monkeypatch, words):
+    """Lines of other places whose bits are set by chance stay out, and only texts of places in question are shuffled."""
+    monkeypatch.setattr(lines, "WORDS", words)
+    docs = spark.createDataFrame([(d, "\n".join(f"line {i} of text {d}" for i in range(20))) for d in (-3, *range(40))], "doc_id long, text string")
+    places = [(d, at) for d in (-3, 5, 39) for at in (0, 7, 19)]
+    got = lines._at_few_lines(docs, spark.createDataFrame(places, "doc_id long, at int"), 1)
+    assert sorted(map(tuple, got.collect())) == sorted((d, at, f"line {at} of text {d}") for d, at in places)
+
+
 def test_lines_of_one_template(spark):
     """Lines that share their segments: each with an earlier line within two edits goes, no other."""
     rng = np.random.default_rng(9)
