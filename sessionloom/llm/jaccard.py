@@ -13,10 +13,12 @@ Rare elements come first: frequencies are counted over all documents, in classes
 two, and looked up in a table of bounded size.
 
 Sets that share a key are not all paired. First each is compared with one of them (the key's
-centre), which links families of near copies at once. Only sets of a key that are not connected
+centre), then, where that leaves a key's sets apart, with the one in the middle of most that may be
+similar; this links families of near copies at once. Only sets of a key that are not connected
 then are compared with each other, by bitmaps of odd and even counts (the Hamming distance of two
-such bitmaps is never above the number of elements that only one of two sets has), and what passes
-is checked on the elements. Links of connected sets are not looked for, so components are exact.
+such bitmaps is never above the number of elements that only one of two sets has), each pair at one
+of the keys it shares, and what passes is checked on the elements. Links of connected sets are not
+looked for, so components are exact.
 
 Elements are 64-bit hashes of shingles, sets are known by 64 bits of a digest of their elements; if
 two sets of the corpus shared those, all are hashed anew with another seed.
@@ -55,6 +57,8 @@ WORDS = 8
 SHARED = 4
 #: Members of a key compared in one block with each other.
 BLOCK = 1024
+#: Keys a set carries, by which a pair knows the first key that both have.
+CARRIED = 32
 #: Sets that one task compares with a centre.
 STAR = 2000
 #: So many ids, 16 bytes each, may be sent to every executor.
@@ -426,65 +430,153 @@ def _near_pairs(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(_near("x", "y", percent)).select("a", "b")
 
 
+def _grouped(batches: Batches, names: list[str], by: int):
+    """Rows as longs, a group of equal first ``by`` columns at a time; ``carried`` keys as CARRIED columns."""
+
+    def rows(batch: pa.RecordBatch) -> np.ndarray:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+        if "carried" in batch.schema.names:
+            lists = batch.column("carried")
+            many = lists.value_lengths().to_numpy(zero_copy_only=False)
+            keys_ = np.zeros((len(many), CARRIED), np.int64)
+            keys_[np.arange(CARRIED) < many[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+            columns += [many, *keys_.T]
+        return np.column_stack(columns)
+
+    rest = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            if not len(batch):
+                continue
+            rest = rows(batch) if rest is None else np.concatenate((rest, rows(batch)))
+        if rest is None:
+            return
+        groups = np.split(rest, np.flatnonzero((rest[1:, :by] != rest[:-1, :by]).any(1)) + 1)
+        if batch is not None:
+            rest = groups.pop()
+        yield groups
+
+
+def _candidates(comp: np.ndarray, n: np.ndarray, maps: np.ndarray, percent: int):
+    """(i, the j after i) that may be similar and are not connected; sets rise by size."""
+    reach = np.searchsorted(n, n * 100 // percent, "right")
+    for i in range(len(n) - 1):
+        j = i + 1 + np.flatnonzero(comp[i + 1 : reach[i]] != comp[i])
+        apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
+        j = j[apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
+        if len(j):
+            yield i, j
+
+
+def _middles(percent: int):
+    """Members of a key to the bitmap in the middle of the one with most candidates and these."""
+
+    def middle_of(own: np.ndarray) -> np.ndarray | None:
+        own = own[np.argsort(own[:, 2], kind="stable")]
+        found = list(_candidates(own[:, 1], own[:, 2], own[:, 3:].astype(_U), percent))
+        if not found:
+            return None
+        a, b = np.concatenate([np.full(len(j), i) for i, j in found]), np.concatenate([j for _, j in found])
+        best = np.argmax(np.bincount(np.concatenate((a, b)), minlength=len(own)))
+        near = own[[best, *b[a == best], *a[b == best]], 3:]
+        bits = np.unpackbits(np.ascontiguousarray(near).view(np.uint8), axis=1, bitorder="little")
+        return np.packbits(2 * bits.sum(0) > len(near), bitorder="little").view("<i8")
+
+    def run(batches: Batches) -> Batches:
+        maps = [f"s{i}" for i in range(WORDS)]
+        for groups in _grouped(batches, ["key", "comp", "n", *maps], 1):
+            found = [(g[0, 0], m) for g in groups if len(g) > 1 and (m := middle_of(g)) is not None]
+            rows = np.array([(k, *m) for k, m in found], np.int64).reshape(-1, 1 + WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c.copy()) for c in rows.T], ["key", *(f"m{i}" for i in range(WORDS))])
+
+    return run
+
+
 def _block_pairs(percent: int, bound: int):
     """Members of a key and of two of its blocks to the pairs that may be similar and are not connected yet.
 
-    ``need`` is the number of keys that a similar pair of these sizes has in common.
+    ``need`` is the number of keys that a similar pair of these sizes has in common. A pair that has
+    so many among those carried is a row at the first of them only, another one at each key.
     """
 
     def pairs_of(own: np.ndarray) -> tuple[np.ndarray, ...]:
         own = own[np.argsort(own[:, 6], kind="stable")]
-        first, second, block, sid, comp, n, maps = *own[:, 1:7].T, own[:, 7:].astype(_U)
-        reach = np.searchsorted(n, n * 100 // percent, "right")
-        found = []
-        for i in range(len(own) - 1):
-            j = i + 1 + np.flatnonzero(comp[i + 1 : reach[i]] != comp[i])
-            if first[0] != second[0]:
+        key, first, second = own[0, :3]
+        block, sid, comp, n, maps = *own[:, 3:7].T, own[:, 7 : 7 + WORDS].astype(_U)
+        many, carried = own[:, 7 + WORDS], own[:, 8 + WORDS :]
+        held, found = np.arange(carried.shape[1]) < many[:, None], []
+        for i, j in _candidates(comp, n, maps, percent):
+            if first != second:
                 j = j[block[j] != block[i]]
-            apart = np.bitwise_count(maps[j] ^ maps[i]).sum(1, dtype=np.int64)
-            j = j[apart * (100 + percent) <= (n[j] + n[i]) * (100 - percent)]
-            if len(j):
-                need = np.where(n[j] < bound, 1, np.minimum(SHARED, least_overlap(n[j], percent)))
-                found.append((np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]), need))
-        return tuple(map(np.concatenate, zip(*found))) if found else (np.empty(0, np.int64),) * 3
+            need = np.where(n[j] < bound, 1, np.minimum(SHARED, least_overlap(n[j], percent)))
+            both = np.isin(carried[j], carried[i, : many[i]]) & held[j]
+            enough = both.sum(1) >= need
+            least = carried[j, both.argmax(1)]
+            here = ~enough | (least == key)
+            j, need, enough = j[here], need[here], enough[here]
+            found.append((np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j]), np.where(enough, need, 1), need))
+        return tuple(map(np.concatenate, zip(*found))) if found else (np.empty(0, np.int64),) * 4
 
     def run(batches: Batches) -> Batches:
-        names = ["key", "_i", "_j", "_block", "sid", "comp", "n", *(f"s{i}" for i in range(WORDS))]
-        rest = np.empty((0, len(names)), np.int64)
-        for batch in chain(batches, [None]):
-            if batch is not None:
-                rest = np.concatenate((rest, np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])))
-            starts = np.flatnonzero((rest[1:, :3] != rest[:-1, :3]).any(1)) + 1 if len(rest) else np.empty(0, np.int64)
-            groups = np.split(rest, starts)
-            if batch is not None:
-                rest = groups.pop()
+        for groups in _grouped(batches, ["key", "_i", "_j", "_block", "sid", "comp", "n", *(f"s{i}" for i in range(WORDS))], 3):
             found = [pairs_of(g) for g in groups if len(g) > 1]
-            columns = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "need"])
+            columns = map(np.concatenate, zip(*found)) if found else (np.empty(0, np.int64),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", "met", "need"])
 
     return run
 
 
-def _rest(shared: DataFrame, links: DataFrame, info: DataFrame, percent: int, bound: int) -> DataFrame:
-    """Pairs (a, b) that share as many keys as similar ones do, may be similar, and that links do not connect.
-
-    A key that is left out here, or a centre of a key, has been compared with the pair's other set;
-    all other keys a pair shares are met here, so they can be counted.
+def _open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members (key, sid, ...) with the component (comp) that links give them, of keys that have several, and the _blocks of their key.
 
-    Keys whose sets are all connected go, and those of two sets, which were compared. The others'
-    sets are dealt to blocks of bounded size by a hash, and every two blocks of a key meet in a group.
+    Keys whose sets are all connected go, and those of two sets, which were compared.
     """
     roots = components(links).select(F.col("node").alias("sid"), F.col("root"))
-    named_ = shared.select("key", "sid").distinct().join(roots, "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"))
-    open_ = named_.groupBy("key").agg(F.count(F.lit(1)).alias("_members"), F.min("comp").alias("_low"), F.max("comp").alias("_high"))
+    placed = members.drop("comp", "_blocks").join(roots, "sid", "left").withColumn("comp", F.coalesce("root", "sid")).drop("root")
+    open_ = placed.groupBy("key").agg(F.count(F.lit(1)).alias("_members"), F.min("comp").alias("_low"), F.max("comp").alias("_high"))
     open_ = open_.where("_members > 2 and _low <> _high").select("key", F.ceil(F.col("_members") / BLOCK).alias("_blocks"))
-    members = named_.join(open_, "key").withColumn("_block", F.pmod(F.xxhash64("sid"), F.col("_blocks")))
-    dealt = members.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_with"))
-    dealt = dealt.select("key", F.least("_block", "_with").alias("_i"), F.greatest("_block", "_with").alias("_j"), "_block", "sid", "comp")
-    full = dealt.join(info.drop("first_id", "copies"), "sid")
+    return placed.join(open_, "key")
+
+
+def _block() -> Column:
+    return F.pmod(F.xxhash64("sid"), F.col("_blocks"))
+
+
+def _middle_stars(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a key's set in the middle, a, and each that may be similar and is not connected with it.
+
+    Which bitmap is the middle is told by one block; the key's set nearest to it is a. Sets
+    which this does not pair are met later, so a middle that is ill chosen costs time only.
+    """
+    sample = members.where(_block() == 0).select("key", "comp", "n", *(f"s{i}" for i in range(WORDS)))
+    grouped = sample.repartition("key").sortWithinPartitions("key")
+    middles = cut(map_batches(grouped, _middles(percent), "key long, " + ", ".join(f"m{i} long" for i in range(WORDS))))
+    off = reduce(Column.__add__, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"m{i}"))) for i in range(WORDS)])
+    set_ = F.struct("sid", "comp", "n", *(f"s{i}" for i in range(WORDS)))
+    centres = members.join(middles, "key").groupBy("key").agg(F.min_by(set_, F.struct(off, "sid")).alias("x"))
+    return members.withColumn("y", set_).join(centres, "key").where((F.col("x.comp") != F.col("y.comp")) & _near("x", "y", percent)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+
+
+def _rest(members: DataFrame, percent: int, bound: int) -> DataFrame:
+    """Pairs (a, b) that share as many keys as similar ones do, may be similar, and are not connected.
+
+    A key that is left out here (see _open), or a centre of a key, has been compared with the pair's
+    other set; all other keys a pair shares are met here, so they can be counted.
+
+    Sets are dealt to blocks of bounded size by a hash, and every two blocks of a key meet in a group.
+    """
+    carried = members.groupBy("sid").agg(F.slice(F.sort_array(F.collect_set("key")), 1, CARRIED).alias("carried"))
+    placed = members.join(carried, "sid").withColumn("_block", _block())
+    dealt = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_with"))
+    maps = [f"s{i}" for i in range(WORDS)]
+    full = dealt.select("key", F.least("_block", "_with").alias("_i"), F.greatest("_block", "_with").alias("_j"), "_block", "sid", "comp", "n", *maps, "carried")
     grouped = full.repartition("key", "_i", "_j").sortWithinPartitions("key", "_i", "_j")
-    met = map_batches(grouped, _block_pairs(percent, bound), "a long, b long, need long")
-    return met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_keys"), F.max("need").alias("need")).where("_keys >= need").select("a", "b")
+    met = map_batches(grouped, _block_pairs(percent, bound), "a long, b long, met long, need long")
+    return met.groupBy("a", "b").agg(F.sum("met").alias("_keys"), F.max("need").alias("need")).where("_keys >= need").select("a", "b")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _sets(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
@@ -511,8 +603,15 @@ def links(docs: DataFrame, info: DataFrame, seed: int, width: int = WIDTH, perce
     shared = _stored(posted.join(span, "key"), "shared")
     stars = shared.where("sid <> centre").select(F.col("centre").alias("a"), F.col("sid").alias("b")).distinct()
     found = _verified(cut(_near_pairs(stars, info, percent)), docs, info, width, seed, percent)
-    rest = cut(_rest(shared, found, info, percent, bound).join(stars, ["a", "b"], "left_anti"))
-    if rest.limit(1).count() == 0:
+    members = cut(_open(shared.select("key", "sid").distinct(), found).join(info.drop("first_id", "copies"), "sid"))
+    compared = _ordered(stars)
+    middle = cut(_middle_stars(members, percent).join(compared.union(compared.select("b", "a")), ["a", "b"], "left_anti"))
+    if not middle.isEmpty():
+        found = found.unionByName(_verified(middle, docs, info, width, seed, percent))
+        stars = stars.unionByName(middle)
+        members = cut(_open(members, found))
+    rest = cut(_rest(members, percent, bound).join(_ordered(stars), ["a", "b"], "left_anti"))
+    if rest.isEmpty():
         return found
     return found.unionByName(_verified(rest, docs, info, width, seed, percent))
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sessionloom.llm import jaccard
@@ -184,3 +185,48 @@ def test_boundary_is_the_cheapest():
         bounds.append(jaccard.boundary(sizes, met, 85))
         assert cost(bounds[-1], met) == pytest.approx(min(cost(b, met) for b in [*range(6, 400), 1000]))
     assert bounds == sorted(bounds) and bounds[0] < bounds[-1]
+
+
+def test_a_family_gives_few_pairs(spark, monkeypatch):
+    """Near copies of one text, most of them too far from the first star's centre, are not all paired with each other."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = {i: " ".join(altered(rng, base, rng.randrange(1, 4))) for i in range(300)}
+    rows, plain_map = [], jaccard.map_batches
+
+    def counted(df, fn, schema):
+        out = plain_map(df, fn, schema)
+        if "need" in schema:
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "map_batches", counted)
+    assert shown(jaccard.similar_documents(table(spark, texts))) == plain(texts)
+    assert sum(rows) < 2 * len(texts)
+
+
+@pytest.mark.parametrize("carried", [1, 3])
+def test_pairs_at_the_first_key_that_both_carry(spark, monkeypatch, carried):
+    texts = {i: t for i, t in mixed_texts(5).items() if len(t.split()) < 400}
+    monkeypatch.setattr(jaccard, "CARRIED", carried)
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "_middle_stars", lambda members, _: members.selectExpr("sid AS a", "sid AS b").limit(0))
+    assert shown(jaccard.similar_documents(table(spark, texts))) == plain(texts)
+
+
+def test_pairs_of_a_key_by_hand():
+    """Two sets that share keys 5, 7, 8 and 9 are one row where all are carried, else one at each key; too few keys are left to the count."""
+
+    def rows(keys, *lists):
+        fields = {"key": [], "sid": [], "carried": []}
+        for k in keys:
+            for sid, own in enumerate(lists):
+                fields["key"].append(k), fields["sid"].append(sid), fields["carried"].append(own)
+        n = len(fields["key"])
+        rest = {"_i": [0] * n, "_j": [0] * n, "_block": [0] * n, "comp": fields["sid"], "n": [100] * n, **{f"s{i}": [0] * n for i in range(jaccard.WORDS)}}
+        made = jaccard._block_pairs(85, 0)(iter([pa.RecordBatch.from_pydict(fields | rest)]))
+        return [tuple(r.values()) for batch in made for r in batch.to_pylist()]
+
+    assert rows([5, 7, 8, 9], [5, 7, 8, 9], [4, 5, 7, 8, 9]) == [(0, 1, 4, 4)]
+    assert rows([5, 7, 8, 9], [5, 7, 8], [4, 5, 7, 8]) == [(0, 1, 1, 4)] * 4
+    assert rows([5, 7], [5, 6, 7], [5, 7]) == [(0, 1, 1, 4)] * 2
